@@ -8,16 +8,16 @@ from pyspark.sql import functions as F
 from subsight.constants import TIER_UPPER_BOUNDS
 
 
-def tier_of(when: Column | str, bounds: list[str] = TIER_UPPER_BOUNDS) -> Column:
+def tier_of(date_col: str, bounds: list[str] = TIER_UPPER_BOUNDS) -> Column:
     """Tier number of a date: the first band whose upper bound it does not pass.
 
     Tier 0 has no lower bound. NULL and dates past the last band get NULL.
     """
-    when = F.col(when) if isinstance(when, str) else when
-    tier = F.when(when <= F.lit(bounds[0]).cast("timestamp"), 0)
-    for number, bound in enumerate(bounds[1:], start=1):
-        tier = tier.when(when <= F.lit(bound).cast("timestamp"), number)
-    return tier.cast("int")
+    branches = [
+        f"when {date_col} <= timestamp '{bound} 00:00:00' then {number}"
+        for number, bound in enumerate(bounds)
+    ]
+    return F.expr(f"case {' '.join(branches)} end")
 
 
 def assign_tier(df: DataFrame, date_col: str = "account_creation_date") -> DataFrame:

@@ -23,7 +23,7 @@ from subsight.functions.hashing import SEED
 from subsight.functions.ordered import ranked_sample, running_totals
 from subsight.operators.counts import text_of
 
-TREATED = F.col("variant") == "B"
+IN_A, IN_B = "variant = 'A'", "variant = 'B'"
 STEPS_PER_RANGE = 4096
 
 
@@ -85,10 +85,10 @@ def conversion(subscribers: DataFrame) -> DataFrame:
 def rates(subscribers: DataFrame) -> DataFrame:
     """One row: sizes ``n0, n1`` and conversion rates ``p0, p1`` of variants A and B."""
     one_row = variants(subscribers).agg(
-        F.count_if(~TREATED).alias("n0"),
-        F.count_if(TREATED).alias("n1"),
-        F.count_if(~TREATED & F.col("paid_TF")).alias("x0"),
-        F.count_if(TREATED & F.col("paid_TF")).alias("x1"),
+        F.expr(f"count_if({IN_A}) as n0"),
+        F.expr(f"count_if({IN_B}) as n1"),
+        F.expr(f"count_if({IN_A} and paid_TF) as x0"),
+        F.expr(f"count_if({IN_B} and paid_TF) as x1"),
     )
     return one_row.withColumns(
         {"p0": F.try_divide("x0", "n0"), "p1": F.try_divide("x1", "n1")}
@@ -157,7 +157,7 @@ def z_trials(
     """
     baseline = rates(subscribers).select("p0").scalar()
     numbers = F.sequence(F.lit(1), F.lit(trials))
-    draws = variants(subscribers).where(TREATED).select(
+    draws = variants(subscribers).where(IN_B).select(
         "subid", "paid_TF", F.explode(numbers).alias("trial")
     )
     return (
@@ -187,7 +187,7 @@ def sprt_steps(subscribers: DataFrame, n: int = SPRT_SAMPLE, seed=SEED) -> DataF
     base = rates(subscribers)
     p0, p1 = base.select("p0").scalar(), base.select("p1").scalar()
     sample = ranked_sample(
-        variants(subscribers).where(TREATED).select("subid", "paid_TF"), n, "subid", seed
+        variants(subscribers).where(IN_B).select("subid", "paid_TF"), n, "subid", seed
     ).select(
         F.col("sample_rank").alias("step"),
         F.coalesce(F.col("paid_TF").cast("int"), F.lit(0)).alias("paid"),

@@ -9,8 +9,6 @@ from subsight.constants import PAID_CHANNELS, UNUSED_SPEND_PERIOD
 from subsight.functions.tiers import assign_tier, tier_list
 from subsight.operators.counts import long_to_wide, wide_to_long
 
-CHANNEL = F.col("attribution_technical")
-
 
 def signups_by_tier(customer: DataFrame) -> DataFrame:
     """Distinct subscribers per tier; a tier without any shows 0."""
@@ -31,8 +29,8 @@ def acquisition(subscribers: DataFrame) -> DataFrame:
     """Subscribers (``n``) and payers (``n_paid``) per tier and channel, in one pass."""
     return (
         assign_tier(subscribers)
-        .where(F.col("tier").isNotNull() & CHANNEL.isNotNull())
-        .groupBy("tier", CHANNEL.alias("channel"))
+        .dropna(subset=["tier", "attribution_technical"])
+        .groupBy("tier", F.col("attribution_technical").alias("channel"))
         .agg(F.count("*").alias("n"), F.count_if("paid_TF").alias("n_paid"))
     )
 

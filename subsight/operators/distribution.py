@@ -117,13 +117,11 @@ def _curve_frame(value: Column, points: int) -> list[Column]:
     return [n.alias("n"), width.alias("h"), start.alias("start"), step.alias("step")]
 
 
-def _heights(value: Column, points: int) -> list[Column]:
+def _heights(col: str, points: int) -> list[Column]:
     """One sum per grid point: values are read once and only the sums are shuffled."""
-    heights = []
-    for i in range(points):
-        z = (F.col("start") + i * F.col("step") - value) / F.col("h")
-        heights.append(F.sum(F.exp(z * z * -0.5)).alias(f"_{i}"))
-    return heights
+    z = f"((start + {{i}} * step - {col}) / h)"
+    height = f"sum(exp({z} * {z} * -0.5e0)) as _{{i}}"
+    return [F.expr(height.format(i=i)) for i in range(points)]
 
 
 def _curve(summed: DataFrame, points: int, *keys: str) -> DataFrame:
@@ -134,7 +132,7 @@ def _curve(summed: DataFrame, points: int, *keys: str) -> DataFrame:
         "h",
         "start",
         "step",
-        F.posexplode(F.array(*[f"_{i}" for i in range(points)])).alias("point", "height"),
+        F.expr(f"posexplode(array({', '.join(f'_{i}' for i in range(points))})) as (point, height)"),
     ).select(
         *keys,
         F.col("point").cast("int").alias("point"),
@@ -151,7 +149,7 @@ def kde(df: DataFrame, col: str, points: int = DENSITY_POINTS) -> DataFrame:
     parts = ["n", "h", "start", "step"]
     placed = known.withColumn("_f", frame).select(col, *[F.col("_f")[p].alias(p) for p in parts])
     kept = [F.first(p).alias(p) for p in parts]
-    return _curve(placed.where(F.col("h") > 0).agg(*kept, *_heights(value, points)), points)
+    return _curve(placed.where(F.col("h") > 0).agg(*kept, *_heights(col, points)), points)
 
 
 def kde_by(df: DataFrame, group: str, col: str, points: int = DENSITY_POINTS) -> DataFrame:
@@ -160,5 +158,5 @@ def kde_by(df: DataFrame, group: str, col: str, points: int = DENSITY_POINTS) ->
     known = df.where(F.col(group).isNotNull() & value.isNotNull()).select(group, col)
     frames = small_side(known.groupBy(group).agg(*_curve_frame(value, points)).where(F.col("h") > 0))
     kept = [F.first(p).alias(p) for p in ("n", "h", "start", "step")]
-    summed = known.join(frames, group).groupBy(group).agg(*kept, *_heights(value, points))
+    summed = known.join(frames, group).groupBy(group).agg(*kept, *_heights(col, points))
     return _curve(summed, points, group)

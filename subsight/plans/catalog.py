@@ -10,7 +10,18 @@ from pyspark.sql import types as T
 
 from subsight import constants as C
 from subsight.functions import tiers
-from subsight.operators import abtest, acquisition, clv, cohort, counts, distribution, metrics, prep
+from subsight.operators import (
+    abtest,
+    acquisition,
+    clv,
+    cohort,
+    counts,
+    distribution,
+    metrics,
+    models,
+    prep,
+    tuning,
+)
 from subsight.operators import engagement as eng
 from subsight.plans import churn_value
 from subsight.plans.acquisition_cost import AcquisitionCost, acquisition_cost
@@ -331,7 +342,25 @@ def impute_by_frequency(t: StarInputs) -> DataFrame:
 
 @query
 def subscriber_features(t: StarInputs) -> DataFrame:
-    table = churn_value.modelling_table(t.subscribers, t.engagement)
+    # Which other columns survive the pruning depends on the data.
+    table = churn_value.modelling_table(t.subscribers, t.engagement).select(
+        "subid",
+        "account_creation_date",
+        "trial_end_date",
+        "paid_TF",
+        "refund_after_trial_TF",
+        "cancel_before_trial_end",
+        "retarget_TF",
+        "discount_price",
+        "revenue_net",
+        *C.CATEGORICAL_FEATURES,
+        "active_days",
+        "duration",
+        "max_day",
+        "min_day",
+        *C.NUMERIC_FEATURES,
+        "churn",
+    )
     return _time_text(table, "account_creation_date", "trial_end_date")
 
 
@@ -531,3 +560,102 @@ def clv_kde_by_gender(t: StarInputs) -> DataFrame:
 @query
 def clv_kde_by_churn(t: StarInputs) -> DataFrame:
     return distribution.kde_by(_written(_valued(t), "churn", "CLV_i"), "churn", "CLV_i")
+
+
+# --- models -----------------------------------------------------------------------
+
+
+def _training(t: StarInputs) -> models.TrainingData:
+    return models.training_data(churn_value.modelling_table(t.subscribers, t.engagement))
+
+
+@query
+def logistic_scores(t: StarInputs) -> DataFrame:
+    data = _training(t)
+    return models.score(data.test, models.PenalisedLogit().fit(data.train))
+
+
+@query
+def rfe_ranking(t: StarInputs) -> DataFrame:
+    return models.rfe(_training(t))
+
+
+@query
+def logit_summary(t: StarInputs) -> DataFrame:
+    return models.logit_summary(_training(t))
+
+
+@query
+def logit_fit(t: StarInputs) -> DataFrame:
+    return models.logit_fit(_training(t))
+
+
+@query
+def forest_scores(t: StarInputs) -> DataFrame:
+    data = _training(t)
+    return models.score(data.test, models.fit_forest(data.train))
+
+
+@query
+def top_features(t: StarInputs) -> DataFrame:
+    data = _training(t)
+    return models.top_features(models.importances(models.fit_forest(data.train), data))
+
+
+@query
+def voted_features(t: StarInputs) -> DataFrame:
+    data = _training(t)
+    importance = models.importances(models.fit_forest(data.train), data)
+    return models.vote_features(models.rfe(data), importance)
+
+
+@query
+def curve_c_accuracy(t: StarInputs) -> DataFrame:
+    return tuning.validation_curve(_training(t))
+
+
+@query
+def curve_c_auc(t: StarInputs) -> DataFrame:
+    return tuning.sweep_c(_training(t))
+
+
+@query
+def curve_depth_auc(t: StarInputs) -> DataFrame:
+    return tuning.sweep_depth(_training(t))
+
+
+@query
+def curve_trees_auc(t: StarInputs) -> DataFrame:
+    return tuning.sweep_trees(_training(t))
+
+
+@query
+def grid_logistic_best(t: StarInputs) -> DataFrame:
+    data = _training(t)
+    return tuning.search_results(data, tuning.search_logistic(data))
+
+
+@query
+def grid_forest_best(t: StarInputs) -> DataFrame:
+    data = _training(t)
+    return tuning.search_results(data, tuning.search_forest(data))
+
+
+@query
+def churn_scores(t: StarInputs) -> DataFrame:
+    data = _training(t)
+    return models.score(data.test, tuning.search_forest(data).model)
+
+
+@query
+def logistic_metrics(t: StarInputs) -> DataFrame:
+    data = _training(t)
+    return metrics.binary_metrics(models.score(data.test, models.PenalisedLogit().fit(data.train)))
+
+
+@query
+def clv_from_model(t: StarInputs) -> DataFrame:
+    people = churn_value.modelling_table(t.subscribers, t.engagement)
+    data = models.training_data(people)
+    scores = models.score(data.test, models.fit_forest(data.train))
+    return clv.clv_summary(_written(churn_value.valued(people, _cost(t).cost, scores), "CLV_i"))

@@ -9,6 +9,7 @@ from subsight.functions.tiers import assign_tier
 from subsight.operators import clv as value
 from subsight.operators import engagement as eng
 from subsight.operators import prep
+from subsight.sources.tables import materialize
 
 
 def merged(subscribers: DataFrame, engagement: DataFrame) -> DataFrame:
@@ -22,8 +23,12 @@ def merged(subscribers: DataFrame, engagement: DataFrame) -> DataFrame:
 
 
 def prepared_subscribers(subscribers: DataFrame, engagement: DataFrame) -> DataFrame:
-    """Engaged subscribers, sparse and unused columns dropped, categories filled."""
-    engaged = eng.engaged_only(subscribers, engagement)
+    """Engaged subscribers, sparse and unused columns dropped, categories filled.
+
+    Written before the looks at NULL shares and frequencies, so that the
+    engagement table is read once and not for each of them.
+    """
+    engaged = materialize(eng.engaged_only(subscribers, engagement))
     return prep.impute_by_frequency(prep.drop_unused(prep.prune_null_columns(engaged)))
 
 

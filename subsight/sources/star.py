@@ -7,7 +7,7 @@ become advertising spend.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -67,23 +67,32 @@ _EVENT_COUNTERS = {
 }
 
 
-@dataclass(frozen=True)
+# The columns in use; a given schema spares a look into the files.
+_STAR_SCHEMAS = {
+    "customer": "c_custkey bigint, c_nationkey int, c_acctbal double, c_mktsegment string",
+    "orders": "o_orderkey bigint, o_custkey bigint, o_orderdate timestamp_ntz, o_orderpriority string",
+    "events": "ts timestamp_ntz, user_id bigint, event_type string, value double",
+    "nation": "n_nationkey int",
+}
+
+
 class StarInputs:
     """Lazy access to the four input tables over one data folder."""
 
-    spark: SparkSession
-    directory: str
+    def __init__(self, spark: SparkSession, directory: str):
+        self.spark = spark
+        self.directory = directory.rstrip("/")
 
     def _read(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.directory.rstrip('/')}/{name}.parquet")
+        return self.spark.read.schema(_STAR_SCHEMAS[name]).parquet(f"{self.directory}/{name}.parquet")
 
-    @property
+    @cached_property
     def subscribers(self) -> DataFrame:
-        return self._read("customer").select(
-            *[F.expr(text).alias(name) for name, text in _SUBSCRIBERS.items()]
+        return self._read("customer").selectExpr(
+            *[f"{text} as {name}" for name, text in _SUBSCRIBERS.items()]
         )
 
-    @property
+    @cached_property
     def engagement(self) -> DataFrame:
         """Daily counters. A very active user shrinks to a row per day before the shuffle."""
         return (
@@ -93,10 +102,10 @@ class StarInputs:
                 F.to_date("ts").alias("date"),
                 F.when(F.dayofmonth("ts") <= 14, 0).otherwise(1).alias("payment_period"),
             )
-            .agg(*[F.count_if(F.expr(test)).alias(name) for name, test in _EVENT_COUNTERS.items()])
+            .agg(*[F.expr(f"count_if({test}) as {name}") for name, test in _EVENT_COUNTERS.items()])
         )
 
-    @property
+    @cached_property
     def _order_facts(self) -> DataFrame:
         return self._read("orders").select(
             F.col("o_custkey").alias("subid"),
@@ -114,7 +123,7 @@ class StarInputs:
         )
         return facts.join(accounts, "subid")
 
-    @property
+    @cached_property
     def customer(self) -> DataFrame:
         """All payment periods of all subscribers, numbered from 0 by order date.
 
@@ -141,26 +150,26 @@ class StarInputs:
         )
         return self._with_account(periods).select("subid", "account_creation_date", "payment_period")
 
-    @property
+    @cached_property
     def customer_facts(self) -> DataFrame:
         """The customer table without its period number, which costs a shuffle to derive."""
         return self._with_account(self._order_facts).select(
             "subid", "account_creation_date", "billing_channel", "trial_completed_TF", "num_trial_days"
         )
 
-    @property
+    @cached_property
     def customer_accounts(self) -> DataFrame:
         """One row per subscriber in the customer table, reduced before the join."""
         seen = self._order_facts.select("subid").distinct()
         return self._with_account(seen).select("subid", "account_creation_date")
 
-    @property
+    @cached_property
     def trial_facts(self) -> DataFrame:
         """Customer rows counted per subscriber and trial outcome, reduced before the join."""
         counted = self._order_facts.groupBy("subid", "num_trial_days").agg(F.count("*").alias("n"))
         return self._with_account(counted).select("subid", "trial_completed_TF", "num_trial_days", "n")
 
-    @property
+    @cached_property
     def spend(self) -> DataFrame:
         period = F.col("n_nationkey")
         # Base and slope of each channel's spend rise with its place in the list.
