@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from subsight.constants import ACTIVITY_COUNTERS, NUMERIC_FEATURES, PER_ACTIVE_DAY
+from subsight.functions.joins import split_join
 
 
 def trial_engagement(engagement: DataFrame) -> DataFrame:
@@ -66,11 +67,18 @@ def merge_features(subscribers: DataFrame, features: DataFrame) -> DataFrame:
     return subscribers.join(features, "subid")
 
 
-def validation_join(customer: DataFrame, subscribers: DataFrame) -> DataFrame:
-    """Trial outcome in the customer table beside the subscriber's own; repeats per period."""
-    return customer.select("subid", "trial_completed_TF", "num_trial_days").join(
-        subscribers.select("subid", "cancel_before_trial_end"), "subid"
-    )
+def validation_join(
+    customer: DataFrame, subscribers: DataFrame, spread_by: str = "num_trial_days"
+) -> DataFrame:
+    """Trial outcome in the customer table beside the subscriber's own; repeats per period.
+
+    ``spread_by`` is a customer column that varies within a subscriber, to split
+    those with very many rows.
+    """
+    outcome = ["subid", "trial_completed_TF", "num_trial_days"]
+    cancelled = subscribers.select("subid", "cancel_before_trial_end")
+    left = customer.select(*outcome, F.col(spread_by).alias("_spread"))
+    return split_join(left, cancelled, "subid", "_spread").select(*outcome, "cancel_before_trial_end")
 
 
 def validation_counts(counted: DataFrame, subscribers: DataFrame, *cols: str) -> DataFrame:

@@ -79,18 +79,26 @@ def _all_scores(t: StarInputs) -> DataFrame:
     return fixed_scores(eng.churn_label(t.subscribers))
 
 
-def _valued(t: StarInputs) -> DataFrame:
-    return churn_value.valued(_merged(t), _cost(t).cost, _all_scores(t))
+def _written(df: DataFrame, *cols: str) -> DataFrame:
+    """Columns that several passes will read: joined once, written, then only scanned."""
+    return tables.materialize(df.select(*cols))
 
 
-def _valued_prepared(t: StarInputs) -> DataFrame:
-    people = churn_value.modelling_table(t.subscribers, t.engagement)
-    return churn_value.valued(people, _cost(t).cost, _all_scores(t))
+VALUE_COLUMNS = ["subid", "account_creation_date", "attribution_technical", "discount_price"]
 
 
-def _written(df: DataFrame, *cols: str) -> DataFrame:
-    """Columns that several passes will read: joined once, written, then only scanned."""
-    return tables.materialize(df.select(*cols))
+def _value(t: StarInputs, people: DataFrame, *groups: str) -> DataFrame:
+    # The mean price is a second pass over the people.
+    kept = _written(people, *VALUE_COLUMNS, *groups)
+    return churn_value.valued(kept, _cost(t).cost, _all_scores(t))
+
+
+def _valued(t: StarInputs, *groups: str) -> DataFrame:
+    return _value(t, _merged(t), *groups)
+
+
+def _valued_prepared(t: StarInputs, *groups: str) -> DataFrame:
+    return _value(t, churn_value.modelling_table(t.subscribers, t.engagement), *groups)
 
 
 # --- scans --------------------------------------------------------------------
@@ -367,7 +375,7 @@ def subscriber_features(t: StarInputs) -> DataFrame:
 @query
 def validation_join(t: StarInputs) -> DataFrame:
     engaged = eng.engaged_only(t.subscribers, t.engagement)
-    return eng.validation_join(t.customer_facts, engaged)
+    return eng.validation_join(t.customer_facts, engaged, spread_by="o_orderkey")
 
 
 @query
@@ -429,13 +437,13 @@ def fold_counts(t: StarInputs) -> DataFrame:
 
 @query
 def one_hot(t: StarInputs) -> DataFrame:
-    encoded, names = prep.one_hot(_merged(t).select("subid", *C.CATEGORICAL_FEATURES))
+    encoded, names = prep.one_hot(_written(_merged(t), "subid", *C.CATEGORICAL_FEATURES))
     return encoded.unpivot(["subid"], names, "feature", "value")
 
 
 @query
 def minmax_scaled(t: StarInputs) -> DataFrame:
-    rows = _merged(t).select("subid", *C.NUMERIC_FEATURES)
+    rows = _written(_merged(t), "subid", *C.NUMERIC_FEATURES)
     train, _ = prep.split(rows)
     return prep.minmax(rows, train)
 
@@ -539,12 +547,12 @@ def clv_hist_by_tier(t: StarInputs) -> DataFrame:
 
 @query
 def clv_hist_by_intended_use(t: StarInputs) -> DataFrame:
-    return distribution.histogram_by(_written(_valued_prepared(t), "intended_use", "CLV_i"), "intended_use", "CLV_i")
+    return distribution.histogram_by(_written(_valued_prepared(t, "intended_use"), "intended_use", "CLV_i"), "intended_use", "CLV_i")
 
 
 @query
 def clv_hist_by_op_sys(t: StarInputs) -> DataFrame:
-    return distribution.histogram_by(_written(_valued_prepared(t), "op_sys", "CLV_i"), "op_sys", "CLV_i")
+    return distribution.histogram_by(_written(_valued_prepared(t, "op_sys"), "op_sys", "CLV_i"), "op_sys", "CLV_i")
 
 
 @query
@@ -554,12 +562,12 @@ def clv_kde(t: StarInputs) -> DataFrame:
 
 @query
 def clv_kde_by_gender(t: StarInputs) -> DataFrame:
-    return distribution.kde_by(_written(_valued(t), "male_TF", "CLV_i"), "male_TF", "CLV_i")
+    return distribution.kde_by(_written(_valued(t, "male_TF"), "male_TF", "CLV_i"), "male_TF", "CLV_i")
 
 
 @query
 def clv_kde_by_churn(t: StarInputs) -> DataFrame:
-    return distribution.kde_by(_written(_valued(t), "churn", "CLV_i"), "churn", "CLV_i")
+    return distribution.kde_by(_written(_valued(t, "churn"), "churn", "CLV_i"), "churn", "CLV_i")
 
 
 # --- models -----------------------------------------------------------------------
@@ -655,7 +663,7 @@ def logistic_metrics(t: StarInputs) -> DataFrame:
 
 @query
 def clv_from_model(t: StarInputs) -> DataFrame:
-    people = churn_value.modelling_table(t.subscribers, t.engagement)
+    people = tables.materialize(churn_value.modelling_table(t.subscribers, t.engagement))
     data = models.training_data(people)
     scores = models.score(data.test, models.fit_forest(data.train))
     return clv.clv_summary(_written(churn_value.valued(people, _cost(t).cost, scores), "CLV_i"))

@@ -154,7 +154,12 @@ class StarInputs:
     def customer_facts(self) -> DataFrame:
         """The customer table without its period number, which costs a shuffle to derive."""
         return self._with_account(self._order_facts).select(
-            "subid", "account_creation_date", "billing_channel", "trial_completed_TF", "num_trial_days"
+            "subid",
+            "account_creation_date",
+            "billing_channel",
+            "trial_completed_TF",
+            "num_trial_days",
+            "o_orderkey",
         )
 
     @cached_property

@@ -7,7 +7,7 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from subsight.functions import hashing, ordered, sizes, tiers
+from subsight.functions import hashing, joins, ordered, sizes, tiers
 
 
 def test_tier_bounds_are_inclusive_at_midnight(spark):
@@ -104,3 +104,17 @@ def test_small_side_is_broadcast_only_when_it_is_small(spark):
     joined = spark.range(5).join(sizes.small_side(df, 50), "id")
     assert "BroadcastHashJoin" in joined._jdf.queryExecution().executedPlan().toString()
     assert joined.count() == 5
+
+
+@pytest.mark.parametrize("how", ["inner", "left", "left_semi"])
+def test_split_join_equals_a_plain_join(spark, how):
+    rng = random.Random(9)
+    rows = [(7 if i % 3 == 0 else rng.randrange(200), i) for i in range(3000)] + [(None, 5000), (900, 5001)]
+    large = spark.createDataFrame(rows, "k long, row long").repartition(6)
+    lookup = spark.createDataFrame([(k, k * 2) for k in range(300)], "k long, v long")
+    assert [r.k for r in joins.hot_keys(large, "k", share=100).collect()] == [7]
+    got = joins.split_join(large, lookup, "k", "row", how, salts=8)
+    plain = large.join(lookup, "k", how)
+    assert got.columns == plain.columns
+    key = lambda r: tuple((x is None, x) for x in r)
+    assert sorted(map(tuple, got.collect()), key=key) == sorted(map(tuple, plain.collect()), key=key)
