@@ -1,4 +1,8 @@
-"""Acquisition cost by sign-up tier and paid channel."""
+"""Acquisition cost by sign-up tier and paid channel.
+
+Results have a row per tier (nine) or per tier and paid channel (72), so they
+are broadcast to each other without a further check.
+"""
 
 from __future__ import annotations
 
@@ -20,7 +24,7 @@ def signups_by_tier(customer: DataFrame) -> DataFrame:
     )
     return (
         tier_list(customer.sparkSession)
-        .join(counted, "tier", "left")
+        .join(F.broadcast(counted), "tier", "left")
         .select("tier", F.coalesce("total_signups", F.lit(0)).alias("total_signups"))
     )
 
@@ -58,7 +62,7 @@ def known_share(acquired: DataFrame, signups: DataFrame) -> DataFrame:
         .agg(F.sum("n").alias("known_signups"))
     )
     return (
-        signups.join(known, "tier", "left")
+        signups.join(F.broadcast(known), "tier", "left")
         .withColumn("known_signups", F.coalesce("known_signups", F.lit(0)))
         .withColumn("known_share", F.try_divide("known_signups", "total_signups"))
     )
@@ -70,35 +74,37 @@ def scaled_spend(spend: DataFrame, share: DataFrame) -> DataFrame:
     cells = wide_to_long(used, "period_idx", PAID_CHANNELS, "channel", "spend")
     return (
         cells.withColumnRenamed("period_idx", "tier")
-        .join(share.select("tier", "known_share"), "tier", "left")
+        .join(F.broadcast(share.select("tier", "known_share")), "tier", "left")
         .select("tier", "channel", (F.col("spend") * F.col("known_share")).alias("spend"))
     )
 
 
 def cost_per_person(scaled: DataFrame, acquired: DataFrame, people: str = "n") -> DataFrame:
-    """Cost per acquired person for each tier and channel, then the mean of each channel.
+    """Cost per acquired person for each tier and channel; a cell without people is NULL.
 
     ``people`` is the count to divide by: ``n`` for all, ``n_paid`` for payers.
-    Mean rows have a NULL ``tier``. A cell without people is NULL and the mean
-    leaves it out.
     """
-    cells = scaled.join(paid_channels_only(acquired), ["tier", "channel"], "left").select(
+    known = F.broadcast(paid_channels_only(acquired))
+    return scaled.join(known, ["tier", "channel"], "left").select(
         "tier", "channel", F.try_divide("spend", people).alias("cost")
     )
-    means = cells.groupBy("channel").agg(F.avg("cost").alias("cost"))
-    return cells.unionByName(means, allowMissingColumns=True)
 
 
-def tier_costs(costs: DataFrame) -> DataFrame:
-    """The cost rows without the mean rows."""
-    return costs.where(F.col("tier").isNotNull())
+def with_means(costs: DataFrame) -> DataFrame:
+    """Add the mean of each channel over its tiers, in rows with a NULL ``tier``.
+
+    A cell is a group of one, so one aggregate gives cells and means alike.
+    """
+    by_cell, by_channel = ["tier", "channel"], ["channel"]
+    return costs.groupingSets([by_cell, by_channel], "tier", "channel").agg(F.avg("cost").alias("cost"))
 
 
 def cost_wide(costs: DataFrame) -> DataFrame:
     """Cost table as written to file: a labelled row per tier, then the mean row."""
     label = F.coalesce(F.concat(F.lit("tier"), F.col("tier")), F.lit("mean"))
     wide = (
-        costs.withColumn("row_label", label)
+        with_means(costs)
+        .withColumn("row_label", label)
         .groupBy("row_label", "tier")
         .pivot("channel", PAID_CHANNELS)
         .agg(F.first("cost"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from dataclasses import dataclass
+from statistics import NormalDist
 
 from pyspark import keyword_only
 from pyspark.ml import Estimator, PipelineModel, Transformer
@@ -255,8 +256,9 @@ def logit_summary(data: TrainingData, names: list[str] = LOGIT_SUMMARY_FEATURES)
     used = _present(data, names)
     model = _plain_logit(data, used)
     summary = model.summary
+    margin = NormalDist().inv_cdf(0.975)
     rows = [
-        (n, float(w), float(e), float(z), float(p), float(w - 1.959963984540054 * e), float(w + 1.959963984540054 * e))
+        (n, *(float(v) for v in (w, e, z, p, w - margin * e, w + margin * e)))
         for n, w, e, z, p in zip(
             used,
             model.coefficients.toArray(),

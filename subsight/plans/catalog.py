@@ -32,26 +32,29 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 
 
-def rounded(df: DataFrame, places: int = 6) -> DataFrame:
-    """Round doubles at the very end, to compare with other engines."""
-    doubles = [f.name for f in df.schema.fields if isinstance(f.dataType, T.DoubleType)]
-    return df.withColumns({c: F.round(c, places) for c in doubles})
+def comparable(df: DataFrame, places: int = 6) -> DataFrame:
+    """Round doubles and write dates as text at the very end, to compare with other engines."""
+    changed = {}
+    for field in df.schema.fields:
+        if isinstance(field.dataType, T.DoubleType):
+            changed[field.name] = F.round(field.name, places)
+        elif isinstance(field.dataType, T.DateType):
+            changed[field.name] = F.date_format(field.name, "yyyy-MM-dd")
+        elif isinstance(field.dataType, T.TimestampType):
+            changed[field.name] = F.date_format(field.name, "yyyy-MM-dd HH:mm:ss")
+    return df.withColumns(changed)
 
 
 def query(build: Callable[[StarInputs], DataFrame]) -> Query:
     """Register a function of the inputs as a query under its own name."""
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return rounded(build(StarInputs(spark, sf_dir)))
+        return comparable(build(StarInputs(spark, sf_dir)))
 
     QUERIES[build.__name__] = run
     return run
 
 
-def _time_text(df: DataFrame, *cols: str) -> DataFrame:
-    return df.withColumns({c: F.date_format(c, "yyyy-MM-dd HH:mm:ss") for c in cols})
-
-
 def _cost(t: StarInputs) -> AcquisitionCost:
     return acquisition_cost(t.customer_accounts, t.subscribers, t.spend)
 
@@ -93,12 +96,18 @@ def _value(t: StarInputs, people: DataFrame, *groups: str) -> DataFrame:
     return churn_value.valued(kept, _cost(t).cost, _all_scores(t))
 
 
-def _valued(t: StarInputs, *groups: str) -> DataFrame:
-    return _value(t, _merged(t), *groups)
+def _valued(t: StarInputs) -> DataFrame:
+    return _value(t, _merged(t))
+
 
+def _modelling_table(t: StarInputs) -> DataFrame:
+    return churn_value.modelling_table(t.subscribers, t.engagement)
 
-def _valued_prepared(t: StarInputs, *groups: str) -> DataFrame:
-    return _value(t, churn_value.modelling_table(t.subscribers, t.engagement), *groups)
+
+def _values_by(t: StarInputs, group: str, people: DataFrame | None = None) -> DataFrame:
+    """Lifetime value beside one column to group by, written for the passes to come."""
+    carried = [] if group == "tier" else [group]
+    return _written(_value(t, _merged(t) if people is None else people, *carried), group, "CLV_i")
 
 
 # --- scans --------------------------------------------------------------------
@@ -106,7 +115,7 @@ def _valued_prepared(t: StarInputs, *groups: str) -> DataFrame:
 
 @query
 def scan_subscribers(t: StarInputs) -> DataFrame:
-    return _time_text(t.subscribers, "account_creation_date", "trial_end_date")
+    return t.subscribers
 
 
 @query
@@ -165,8 +174,7 @@ def null_share_by_column(t: StarInputs) -> DataFrame:
 
 @query
 def audit_activity_after_trial(t: StarInputs) -> DataFrame:
-    late = eng.activity_after_trial(_merged(t)).select("subid", "max_day", "trial_end_date")
-    return _time_text(late, "trial_end_date")
+    return eng.activity_after_trial(_merged(t)).select("subid", "max_day", "trial_end_date")
 
 
 @query
@@ -243,7 +251,7 @@ def sprt_trace(t: StarInputs) -> DataFrame:
 @query
 def account_date_range(t: StarInputs) -> DataFrame:
     day = F.col("account_creation_date")
-    return _time_text(t.subscribers.agg(F.min(day).alias("first"), F.max(day).alias("last")), "first", "last")
+    return t.subscribers.agg(F.min(day).alias("first"), F.max(day).alias("last"))
 
 
 @query
@@ -278,12 +286,12 @@ def cac_scaled_spend(t: StarInputs) -> DataFrame:
 
 @query
 def cac_by_tier_channel(t: StarInputs) -> DataFrame:
-    return _cost(t).cost
+    return acquisition.with_means(_cost(t).cost)
 
 
 @query
 def cac_by_tier_channel_paid(t: StarInputs) -> DataFrame:
-    return _cost(t).cost_paid
+    return acquisition.with_means(_cost(t).cost_paid)
 
 
 @query
@@ -351,7 +359,7 @@ def impute_by_frequency(t: StarInputs) -> DataFrame:
 @query
 def subscriber_features(t: StarInputs) -> DataFrame:
     # Which other columns survive the pruning depends on the data.
-    table = churn_value.modelling_table(t.subscribers, t.engagement).select(
+    return churn_value.modelling_table(t.subscribers, t.engagement).select(
         "subid",
         "account_creation_date",
         "trial_end_date",
@@ -369,7 +377,6 @@ def subscriber_features(t: StarInputs) -> DataFrame:
         *C.NUMERIC_FEATURES,
         "churn",
     )
-    return _time_text(table, "account_creation_date", "trial_end_date")
 
 
 @query
@@ -492,13 +499,13 @@ def channel_fold(t: StarInputs) -> DataFrame:
 @query
 def cac_per_subscriber(t: StarInputs) -> DataFrame:
     people = tiers.assign_tier(_merged(t))
-    return clv.cac_audit(clv.assign_cac(people, acquisition.tier_costs(_cost(t).cost)))
+    return clv.cac_audit(clv.assign_cac(people, _cost(t).cost))
 
 
 @query
 def cac_null_channels(t: StarInputs) -> DataFrame:
     people = tiers.assign_tier(_merged(t))
-    return clv.cac_null_channels(clv.assign_cac(people, acquisition.tier_costs(_cost(t).cost)))
+    return clv.cac_null_channels(clv.assign_cac(people, _cost(t).cost))
 
 
 @query
@@ -542,17 +549,18 @@ def clv_hist(t: StarInputs) -> DataFrame:
 
 @query
 def clv_hist_by_tier(t: StarInputs) -> DataFrame:
-    return distribution.histogram_by(_written(_valued(t), "tier", "CLV_i"), "tier", "CLV_i")
+    return distribution.histogram_by(_values_by(t, "tier"), "tier", "CLV_i")
 
 
 @query
 def clv_hist_by_intended_use(t: StarInputs) -> DataFrame:
-    return distribution.histogram_by(_written(_valued_prepared(t, "intended_use"), "intended_use", "CLV_i"), "intended_use", "CLV_i")
+    values = _values_by(t, "intended_use", _modelling_table(t))
+    return distribution.histogram_by(values, "intended_use", "CLV_i")
 
 
 @query
 def clv_hist_by_op_sys(t: StarInputs) -> DataFrame:
-    return distribution.histogram_by(_written(_valued_prepared(t, "op_sys"), "op_sys", "CLV_i"), "op_sys", "CLV_i")
+    return distribution.histogram_by(_values_by(t, "op_sys", _modelling_table(t)), "op_sys", "CLV_i")
 
 
 @query
@@ -562,19 +570,29 @@ def clv_kde(t: StarInputs) -> DataFrame:
 
 @query
 def clv_kde_by_gender(t: StarInputs) -> DataFrame:
-    return distribution.kde_by(_written(_valued(t, "male_TF"), "male_TF", "CLV_i"), "male_TF", "CLV_i")
+    return distribution.kde_by(_values_by(t, "male_TF"), "male_TF", "CLV_i")
 
 
 @query
 def clv_kde_by_churn(t: StarInputs) -> DataFrame:
-    return distribution.kde_by(_written(_valued(t, "churn"), "churn", "CLV_i"), "churn", "CLV_i")
+    return distribution.kde_by(_values_by(t, "churn"), "churn", "CLV_i")
 
 
 # --- models -----------------------------------------------------------------------
 
 
 def _training(t: StarInputs) -> models.TrainingData:
-    return models.training_data(churn_value.modelling_table(t.subscribers, t.engagement))
+    return models.training_data(_modelling_table(t))
+
+
+def _final_metrics(data: models.TrainingData, found: tuning.Search) -> DataFrame:
+    """Metrics of the best model of a search on train and on test rows."""
+    parts = []
+    for name, rows in (("train", data.train), ("test", data.test)):
+        scored = models.score(rows, found.model)
+        area = metrics.auc(scored).scalar()
+        parts.append(metrics.binary_metrics(scored).select(F.lit(name).alias("rows"), "*", area.alias("auc")))
+    return parts[0].unionByName(parts[1])
 
 
 @query
@@ -656,14 +674,20 @@ def churn_scores(t: StarInputs) -> DataFrame:
 
 
 @query
-def logistic_metrics(t: StarInputs) -> DataFrame:
+def final_logistic_metrics(t: StarInputs) -> DataFrame:
+    data = _training(t)
+    return _final_metrics(data, tuning.search_logistic(data))
+
+
+@query
+def final_forest_metrics(t: StarInputs) -> DataFrame:
     data = _training(t)
-    return metrics.binary_metrics(models.score(data.test, models.PenalisedLogit().fit(data.train)))
+    return _final_metrics(data, tuning.search_forest(data))
 
 
 @query
 def clv_from_model(t: StarInputs) -> DataFrame:
-    people = tables.materialize(churn_value.modelling_table(t.subscribers, t.engagement))
+    people = tables.materialize(_modelling_table(t))
     data = models.training_data(people)
     scores = models.score(data.test, models.fit_forest(data.train))
     return clv.clv_summary(_written(churn_value.valued(people, _cost(t).cost, scores), "CLV_i"))

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from subsight.functions.tiers import assign_tier
 from subsight.operators import clv as value
@@ -40,5 +39,5 @@ def modelling_table(subscribers: DataFrame, engagement: DataFrame) -> DataFrame:
 
 def valued(people: DataFrame, cost: DataFrame, scores: DataFrame) -> DataFrame:
     """Tier, cost, churn probability and lifetime value of each subscriber."""
-    costed = value.assign_cac(assign_tier(people), cost.where(F.col("tier").isNotNull()))
+    costed = value.assign_cac(assign_tier(people), cost)
     return value.clv(value.attach_probability(costed, scores), value.mean_payment(people))

@@ -278,6 +278,7 @@ _KEPT = """subid, strftime(account_creation_date, '%Y-%m-%d %H:%M:%S') AS accoun
   refund_after_trial_TF, cancel_before_trial_end, retarget_TF, op_sys, intended_use, male_TF, plan_type,
   attribution_technical, discount_price, ROUND(revenue_net, 6) AS revenue_net,
   strftime(trial_end_date, '%Y-%m-%d %H:%M:%S') AS trial_end_date"""
+_DAYS = "CAST(max_day AS VARCHAR) AS max_day, CAST(min_day AS VARCHAR) AS min_day"
 _FEATURES = ", ".join(f"ROUND({c}, 6) AS {c}" for c in C.NUMERIC_FEATURES)
 _ONE_HOT = " UNION ALL ".join(
     f"""SELECT m.subid, '{c}_' || k.v AS feature, CAST(CASE WHEN m.{c} = k.v THEN 1 ELSE 0 END AS INT) AS value
@@ -302,14 +303,15 @@ BODIES = {
     " ROUND(revenue_net, 6) AS revenue_net) FROM f_subscribers",
     "scan_ads": "SELECT * FROM f_ads",
     "table_shapes": " UNION ALL ".join(_shape(n, _SHAPE_VIEWS[n], cols) for n, cols in _tables().items()),
-    "engagement_preview": "SELECT * FROM f_engagement ORDER BY subid, date, payment_period LIMIT 5",
+    "engagement_preview": "SELECT * REPLACE (CAST(date AS VARCHAR) AS date) FROM f_engagement"
+    " ORDER BY f_engagement.subid, f_engagement.date, f_engagement.payment_period LIMIT 5",
     # filters and projections
     "ab_variants": "SELECT subid, ROUND(join_fee, 6) AS join_fee, variant FROM variants",
     "paid_subscribers": "SELECT subid, plan_type, discount_price FROM f_subscribers WHERE paid_TF",
     "tier_assign": "SELECT subid, tier FROM tiered",
     "tier_assign_range_join": "SELECT subid, tier FROM tiered",
     "null_share_by_column": _NULL_SHARES,
-    "audit_activity_after_trial": f"SELECT subid, max_day, {_TIMES.format('trial_end_date')} FROM merged"
+    "audit_activity_after_trial": f"SELECT subid, CAST(max_day AS VARCHAR) AS max_day, {_TIMES.format('trial_end_date')} FROM merged"
     " WHERE max_day > trial_end_date",
     "churn_label": "SELECT subid, paid_TF, refund_after_trial_TF, churn FROM merged",
     # A/B test
@@ -378,11 +380,11 @@ FROM sprt_all WHERE step = (SELECT COALESCE(MIN(step) FILTER {_CROSSED}, MAX(ste
     " COUNT(DISTINCT subid) FILTER (payment_period = 0) AS trial_users FROM f_engagement",
     "engagement_agg": "SELECT * REPLACE ("
     + ", ".join(f"ROUND(avg_{c}, 6) AS avg_{c}" for c in C.ACTIVITY_COUNTERS)
-    + ") FROM eng_totals",
-    "engagement_features": f"SELECT subid, active_days, duration, max_day, min_day, {_FEATURES} FROM eng_features",
+    + ", CAST(max_day AS VARCHAR) AS max_day, CAST(min_day AS VARCHAR) AS min_day) FROM eng_totals",
+    "engagement_features": f"SELECT subid, active_days, duration, {_DAYS}, {_FEATURES} FROM eng_features",
     "engaged_subscribers": "SELECT subid, plan_type, op_sys FROM engaged",
     "impute_by_frequency": _imputed("(SELECT subid, intended_use, op_sys FROM f_subscribers)"),
-    "subscriber_features": f"SELECT {_KEPT}, active_days, duration, max_day, min_day, {_FEATURES}, churn FROM ("
+    "subscriber_features": f"SELECT {_KEPT}, active_days, duration, {_DAYS}, {_FEATURES}, churn FROM ("
     "SELECT m.* EXCLUDE (intended_use, op_sys), e.intended_use, e.op_sys FROM merged m JOIN engaged_filled e ON e.subid = m.subid)",
     "validation_join": "SELECT c.subid, c.trial_completed_TF, c.num_trial_days, e.cancel_before_trial_end"
     " FROM f_customer c JOIN engaged e ON e.subid = c.subid",

@@ -32,13 +32,13 @@ def test_cost_of_cells_and_means(spark):
     assert len(signups) == 9 and signups[0] == 3 and signups[1] == 1 and signups[2] == 0
     share = {r.tier: r.known_share for r in cost.share.collect()}
     assert share[0] == pytest.approx(2 / 3) and share[1] == 1.0 and share[2] is None
-    cells = {(r.tier, r.channel): r.cost for r in cost.cost.collect()}
+    cells = {(r.tier, r.channel): r.cost for r in acquisition.with_means(cost.cost).collect()}
     assert len(cells) == 9 * 8 + 8
     assert cells[0, "email"] == pytest.approx(100 * 2 / 3 / 2)
     assert cells[1, "email"] == pytest.approx(200.0)
     assert cells[0, "search"] is None and cells[None, "search"] is None
     assert cells[None, "email"] == pytest.approx((100 / 3 + 200) / 2)
-    paid = {(r.tier, r.channel): r.cost for r in cost.cost_paid.collect()}
+    paid = {(r.tier, r.channel): r.cost for r in acquisition.with_means(cost.cost_paid).collect()}
     assert paid[0, "email"] == pytest.approx(100 * 2 / 3) and paid[1, "email"] is None
     wide = {r.row_label: r for r in acquisition.cost_wide(cost.cost).collect()}
     assert len(wide) == 10 and wide["mean"]["email"] == pytest.approx((100 / 3 + 200) / 2)

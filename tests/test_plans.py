@@ -60,8 +60,8 @@ def test_only_needed_columns_are_scanned(spark, sf_dir):
 def test_cost_counts_subscribers_in_one_pass_per_use(spark, sf_dir):
     t = StarInputs(spark, sf_dir)
     cost = acquisition_cost(t.customer_accounts, t.subscribers, t.spend)
-    everyone, payers = cost.cost.count(), cost.cost_paid.count()
-    assert everyone == payers == 9 * 8 + 8
+    assert cost.cost.count() == cost.cost_paid.count() == 9 * 8
+    assert plan_of(cost.acquired).count("FileScan") == 1
 
 
 def test_one_subscriber_with_a_third_of_all_rows(spark):
