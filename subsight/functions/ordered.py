@@ -2,78 +2,89 @@
 
 from __future__ import annotations
 
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from subsight.functions.hashing import hash_text
 
-BUCKETS = 64
+RANGES = 512
 HASH_DIGITS = 3
 
 
-def _add_bucket(df: DataFrame, order: str, buckets: int) -> DataFrame:
-    """Put each value into one of ``buckets`` ranges of about the same size.
+def range_cuts(df: DataFrame, col: str, ranges: int = RANGES) -> list[float]:
+    """Values that cut a column into ranges of about the same number of rows.
 
-    The cut points are the values with the smallest hashes: a fair sample of
-    the distinct values that comes out the same however the data is split.
+    One pass over ``df`` with a mergeable sketch; fewer than ``ranges`` numbers
+    come back. Rows may repeat a value: a range holds no more distinct values
+    than rows.
     """
-    cuts = (
-        df.select(order)
-        .orderBy(F.xxhash64(order), order)
-        .limit(buckets - 1)
-        .agg(F.sort_array(F.collect_list(order)).alias("cuts"))
-        .scalar()
-    )
-    below = F.filter(F.col("_cuts"), lambda cut: cut < F.col(order))
-    return df.withColumn("_cuts", cuts).withColumn("_bucket", F.size(below)).drop("_cuts")
+    if ranges < 2:
+        return []
+    shares = [i / ranges for i in range(1, ranges)]
+    return sorted(set(df.approxQuantile(col, shares, 1 / (4 * ranges))))
+
+
+def _add_range(df: DataFrame, order: str, cuts: list[float]) -> DataFrame:
+    if not cuts:
+        return df.withColumn("_range", F.lit(0))
+    splits = [float("-inf"), *[c for c in cuts if abs(c) != float("inf")], float("inf")]
+    cutter = Bucketizer(splits=splits, inputCol=order, outputCol="_range", handleInvalid="keep")
+    return cutter.transform(df).withColumn("_range", F.col("_range").cast("int"))
 
 
 def running_totals(
     df: DataFrame,
     order: str,
     sums: dict[str, str],
+    cuts: list[float] | None = None,
     descending: bool = False,
-    bucket: Column | None = None,
-    buckets: int = BUCKETS,
+    known_range: Column | None = None,
 ) -> DataFrame:
     """Add running sums (including the own row) over the order of a unique column.
 
     Rows are split into ranges of the order column; each range is summed by its
     own task and the totals of the ranges before it are added on. Only the
-    range totals, one row per range, meet in one place.
+    range totals, one row per range, meet in one place. The cuts decide how
+    even the work is, not the result.
 
-    ``sums`` maps new column to summed column. ``bucket`` may give the ranges
-    if they are known; it must rise with ``order``.
+    ``sums`` maps new column to summed column. ``cuts`` come from
+    ``range_cuts``; ``known_range`` may give the range directly and must rise
+    with ``order``.
     """
-    ranged = _add_bucket(df, order, buckets) if bucket is None else df.withColumn("_bucket", bucket)
+    ranged = (
+        _add_range(df, order, cuts or [])
+        if known_range is None
+        else df.withColumn("_range", known_range)
+    )
     direction = F.desc if descending else F.asc
-    before = W.orderBy(direction("_bucket")).rowsBetween(W.unboundedPreceding, -1)
+    before = W.orderBy(direction("_range")).rowsBetween(W.unboundedPreceding, -1)
     offsets = (
-        ranged.groupBy("_bucket")
+        ranged.groupBy("_range")
         .agg(*[F.sum(source).alias(f"_total_{name}") for name, source in sums.items()])
         .select(
-            "_bucket",
+            "_range",
             *[
                 F.coalesce(F.sum(f"_total_{name}").over(before), F.lit(0)).alias(f"_before_{name}")
                 for name in sums
             ],
         )
     )
-    inside = W.partitionBy("_bucket").orderBy(direction(order)).rowsBetween(W.unboundedPreceding, 0)
+    inside = W.partitionBy("_range").orderBy(direction(order)).rowsBetween(W.unboundedPreceding, 0)
     summed = ranged.withColumns({name: F.sum(source).over(inside) for name, source in sums.items()})
     # One row per range on the small side. A left join, as an inner one would
-    # push a bucket check down to the raw rows.
-    joined = summed.join(F.broadcast(offsets), "_bucket", "left")
+    # push a check of the range down to the raw rows.
+    joined = summed.join(F.broadcast(offsets), "_range", "left")
     return joined.withColumns(
         {name: F.col(name) + F.col(f"_before_{name}") for name in sums}
-    ).drop("_bucket", *[f"_before_{name}" for name in sums])
+    ).drop("_range", *[f"_before_{name}" for name in sums])
 
 
 def exact_median(df: DataFrame, col: str) -> Column:
     """Exact median as a scalar subquery; the built-in one holds all values in one task."""
     counted = df.where(F.col(col).isNotNull()).groupBy(col).agg(F.count("*").alias("n"))
-    ranked = running_totals(counted, col, {"upto": "n"}).withColumn(
+    ranked = running_totals(counted, col, {"upto": "n"}, range_cuts(df, col)).withColumn(
         "rows", counted.agg(F.sum("n").alias("rows")).scalar()
     )
 

@@ -197,7 +197,7 @@ def sprt_steps(subscribers: DataFrame, n: int = SPRT_SAMPLE, seed=SEED) -> DataF
         sample,
         "step",
         {"n_paid": "paid", "n_unpaid": "unpaid"},
-        bucket=F.floor(F.col("step") / STEPS_PER_RANGE),
+        known_range=F.floor(F.col("step") / STEPS_PER_RANGE),
     )
     gain = F.ln(F.try_divide(p1, p0))
     loss = F.ln(F.try_divide(1 - p1, 1 - p0))

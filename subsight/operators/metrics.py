@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from subsight.functions.ordered import running_totals
+from subsight.functions.ordered import range_cuts, running_totals
 
 
 def _cells(df: DataFrame, label: str, prediction: str) -> DataFrame:
@@ -94,7 +94,9 @@ def roc(df: DataFrame, label: str = "churn", score: str = "prob") -> DataFrame:
     grouped = _by_score(df, label, score)
     totals = grouped.agg(F.struct(F.sum("pos").alias("p"), F.sum("neg").alias("n"))).scalar()
     points = (
-        running_totals(grouped, "threshold", {"tp": "pos", "fp": "neg"}, descending=True)
+        running_totals(
+            grouped, "threshold", {"tp": "pos", "fp": "neg"}, range_cuts(df, score), descending=True
+        )
         .withColumn("_all", totals)
         .select(
             "threshold",
@@ -110,8 +112,14 @@ def roc(df: DataFrame, label: str = "churn", score: str = "prob") -> DataFrame:
 
 def auc(df: DataFrame, label: str = "churn", score: str = "prob") -> DataFrame:
     """Area under the ROC curve by trapezoids; equal scores count half. NULL with one class only."""
-    steps = running_totals(_by_score(df, label, score), "threshold", {"tp": "pos"}, descending=True)
-    area = F.sum(F.col("neg") * (F.col("tp") - F.col("pos") / 2))
-    return steps.agg(
-        F.try_divide(area, F.sum("pos").cast("double") * F.sum("neg")).alias("auc")
+    steps = running_totals(
+        _by_score(df, label, score),
+        "threshold",
+        {"tp": "pos", "fp": "neg"},
+        range_cuts(df, score),
+        descending=True,
     )
+    area = F.sum(F.col("neg") * (F.col("tp") - F.col("pos") / 2))
+    # The last running totals are the class sizes. Taken from there, all parts
+    # of the plan need both counts and share one grouping of the scores.
+    return steps.agg(F.try_divide(area, F.max("tp").cast("double") * F.max("fp")).alias("auc"))

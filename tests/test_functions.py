@@ -48,14 +48,16 @@ def test_hash_uniform_is_repeatable_and_spread(spark):
 
 
 @pytest.mark.parametrize("descending", [False, True])
-@pytest.mark.parametrize("buckets", [1, 4, 64])
-def test_running_totals_match_a_plain_loop(spark, descending, buckets):
+@pytest.mark.parametrize("ranges", [1, 4, 64])
+def test_running_totals_match_a_plain_loop(spark, descending, ranges):
     rng = random.Random(3)
     # Most values crowd into a small stretch of the range.
     values = {rng.random() * 1e-6 for _ in range(400)} | {rng.random() * 100 for _ in range(50)} | {-5.0}
     rows = [(v, rng.randrange(10), rng.randrange(10)) for v in values]
     df = spark.createDataFrame(rows, "v double, a long, b long").repartition(7)
-    got = ordered.running_totals(df, "v", {"ra": "a", "rb": "b"}, descending, buckets=buckets)
+    cuts = ordered.range_cuts(df, "v", ranges)
+    assert len(cuts) < ranges
+    got = ordered.running_totals(df, "v", {"ra": "a", "rb": "b"}, cuts, descending)
     expected, a, b = {}, 0, 0
     for v, x, y in sorted(rows, reverse=descending):
         a, b = a + x, b + y
@@ -63,6 +65,12 @@ def test_running_totals_match_a_plain_loop(spark, descending, buckets):
     assert {r.v: (r.ra, r.rb) for r in got.collect()} == expected
 
 
+def test_ranges_are_even_when_values_crowd(spark):
+    df = spark.range(20000).select(F.pow(F.rand(5), 8).alias("v"))
+    ranged = ordered._add_range(df, "v", ordered.range_cuts(df, "v", 32)).groupBy("_range").count()
+    assert max(r["count"] for r in ranged.collect()) < 3 * 20000 / 32
+
+
 @settings(max_examples=12, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 @given(st.lists(st.one_of(st.none(), st.floats(-50, 50).map(lambda x: round(x, 1))), max_size=30))
 def test_exact_median(spark, values):
