@@ -184,8 +184,8 @@ def sprt_steps(subscribers: DataFrame, n: int = SPRT_SAMPLE, seed=SEED) -> DataF
     Conversions so far are counted and weighted at the end, which gives the
     same sum in any order of work. A row with unknown payment adds nothing.
     """
-    base = rates(subscribers)
-    p0, p1 = base.select("p0").scalar(), base.select("p1").scalar()
+    # Both rates in one subquery, so in one pass.
+    base = rates(subscribers).select(F.struct("p0", "p1").alias("base")).scalar()
     sample = ranked_sample(
         variants(subscribers).where(IN_B).select("subid", "paid_TF"), n, "subid", seed
     ).select(
@@ -199,9 +199,10 @@ def sprt_steps(subscribers: DataFrame, n: int = SPRT_SAMPLE, seed=SEED) -> DataF
         {"n_paid": "paid", "n_unpaid": "unpaid"},
         known_range=F.floor(F.col("step") / STEPS_PER_RANGE),
     )
+    p0, p1 = F.col("_base")["p0"], F.col("_base")["p1"]
     gain = F.ln(F.try_divide(p1, p0))
     loss = F.ln(F.try_divide(1 - p1, 1 - p0))
-    return counted.select(
+    return counted.withColumn("_base", base).select(
         "step", (F.col("n_paid") * gain + F.col("n_unpaid") * loss).alias("log_ratio")
     )
 
