@@ -88,7 +88,7 @@ def cross_validate(
     spent: Callable[[Model], float] | None = None,
     folds: int = FOLDS,
 ) -> Search:
-    """Fit every setting on every fold.
+    """Fit every setting on every fold; a fold without rows is left out.
 
     ``limit`` names a setting that only cuts a fit short (iterations, depth)
     and ``spent`` tells how much of it a model used. A model that stopped by
@@ -118,7 +118,8 @@ def cross_validate(
             found.append((i, *(settled or pair)))
         return found
 
-    tasks = [(fold, members) for members in groups.values() for fold in range(folds)]
+    filled = [row[0] for row in train.select("fold").distinct().collect() if row[0] < folds]
+    tasks = [(fold, members) for members in groups.values() for fold in sorted(filled)]
     train_scores = [[] for _ in settings]
     scores = [[] for _ in settings]
     try:
