@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -67,13 +66,14 @@ def read_spend(spark: SparkSession, path: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """A new folder name under the folder the cluster shares for checkpoints.
 
-    Only a local session without that setting gets a temporary folder.
+    Without that setting the folder lies in the warehouse, which all executors
+    share too.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-        base = tempfile.mkdtemp(prefix="subsight-")
+    base = (
+        spark.conf.get("spark.checkpoint.dir", None)
+        or spark.sparkContext.getCheckpointDir()
+        or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/checkpoints"
+    )
     return f"{base.rstrip('/')}/subsight-{uuid.uuid4().hex}"
 
 
