@@ -7,13 +7,31 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from subsight.llm import fingerprints, simhash
+from subsight.llm import fingerprints, langid, line_dedup, mixing, simhash, toxicity, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_warc_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages through Zstandard WARC archives and back."""
+    found = warc.through_archives(_table(spark, sf_dir, "pages"))
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op2_line_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without the lines of windows seen before."""
+    found = line_dedup.dedup_lines(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "text", "lines_removed")
+
+
+def op3_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many words of each document the mix takes."""
+    planned = mixing.plan_mix(_table(spark, sf_dir, "documents"))
+    return planned.select("doc_id", "size", "source_size", "target", "taken")
+
+
 def op4_minhash_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of all documents and of their edited texts."""
     return fingerprints.compare_edited(_table(spark, sf_dir, "documents"))
@@ -26,7 +44,33 @@ def op6_simhash_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", digits.alias("fingerprint"), "component_id")
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity scores of all documents from a model that saw no held-out label."""
+    docs = _table(spark, sf_dir, "documents")
+    model = toxicity.train_on_open(docs, _table(spark, sf_dir, "labels"))
+    scored = toxicity.add_score(docs.select("doc_id", "text"), model)
+    return scored.select(
+        "doc_id",
+        toxicity.is_held_out().alias("held_out"),
+        "score",
+        (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"),
+    )
+
+
+def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of all documents from a model that saw no held-out document."""
+    docs = _table(spark, sf_dir, "documents")
+    model = langid.fit(docs.where(~langid.is_held_out()))
+    found = langid.add_language(docs.select("doc_id", "text"), model)
+    return found.select("doc_id", langid.is_held_out().alias("held_out"), "lang_pred", "score")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_warc_archives": op1_warc_archives,
+    "op2_line_windows": op2_line_windows,
+    "op3_source_mix": op3_source_mix,
     "op4_minhash_fingerprints": op4_minhash_fingerprints,
     "op6_simhash_neighbours": op6_simhash_neighbours,
+    "op8_toxicity": op8_toxicity,
+    "op10_language": op10_language,
 }
