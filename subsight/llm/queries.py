@@ -7,7 +7,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from subsight.llm import fingerprints, langid, line_dedup, mixing, simhash, toxicity, warc
+from subsight.llm import (
+    decontaminate,
+    fingerprints,
+    html_text,
+    langid,
+    line_dedup,
+    mixing,
+    pseudonyms,
+    simhash,
+    toxicity,
+    warc,
+)
+
+#: For these tests only; whoever runs the operator brings a secret key.
+PSEUDONYM_KEY = b"subsight test key"
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,6 +51,14 @@ def op4_minhash_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.compare_edited(_table(spark, sf_dir, "documents"))
 
 
+def op5_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents with pseudonyms for personal data."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pseudonyms.replace_personal_data(docs, PSEUDONYM_KEY).select(
+        "doc_id", "text", F.to_json("found").alias("found")
+    )
+
+
 def op6_simhash_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The near-duplicate component of each document."""
     found = simhash.near_duplicates(_table(spark, sf_dir, "documents"))
@@ -44,6 +66,11 @@ def op6_simhash_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", digits.alias("fingerprint"), "component_id")
 
 
+def op7_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of all pages."""
+    return html_text.extract(_table(spark, sf_dir, "pages")).drop("shared_lines")
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity scores of all documents from a model that saw no held-out label."""
     docs = _table(spark, sf_dir, "documents")
@@ -57,6 +84,11 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_benchmark_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every benchmark item found in every document."""
+    return decontaminate.find_items(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The language of all documents from a model that saw no held-out document."""
     docs = _table(spark, sf_dir, "documents")
@@ -70,7 +102,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_line_windows": op2_line_windows,
     "op3_source_mix": op3_source_mix,
     "op4_minhash_fingerprints": op4_minhash_fingerprints,
+    "op5_pseudonyms": op5_pseudonyms,
     "op6_simhash_neighbours": op6_simhash_neighbours,
+    "op7_main_text": op7_main_text,
     "op8_toxicity": op8_toxicity,
+    "op9_benchmark_passages": op9_benchmark_passages,
     "op10_language": op10_language,
 }

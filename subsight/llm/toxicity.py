@@ -26,9 +26,11 @@ HASH_BITS = 22
 TRAIN_ROWS = 20_000
 #: Terms in fewer training documents are not learned; of the others the most telling so many are.
 MIN_DOCS = 3
+#: How many standard deviations a term's toxic count must lie from what chance gives.
+MIN_TELLING = 2.5
 TERMS = 8_000
 FACTORS = 8
-EPOCHS = 30
+EPOCHS = 15
 BATCH = 256
 RATE = 0.1
 L2 = 1e-4
@@ -162,14 +164,14 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> Mod
     )
     expected = F.col("n") * F.lit(float(bad / max(1.0, sizes["n"])))
     telling = F.abs(F.col("bad") - expected) / F.sqrt(expected + F.lit(0.5))
-    top = counts.orderBy(telling.desc(), "term").limit(TERMS).select("term")
+    ranked = counts.withColumn("telling", telling).where(F.col("telling") >= MIN_TELLING)
+    top = ranked.orderBy(F.col("telling").desc(), "term").limit(TERMS).select("term")
     known = {r["term"]: i for i, r in enumerate(sorted(top.collect()))} if bad and good else {}
     if not known:
         share = float(bad / sizes["n"]) if sizes["n"] else 0.5
         share = min(max(share, 1e-6), 1 - 1e-6)
         return Model({}, float(np.log(share / (1 - share))), np.zeros(1), np.zeros((1, FACTORS)))
-    wanted = F.array(*[]) if not known else F.lit(list(known))
-    rows = drawn.select(F.array_intersect("terms", wanted).alias("terms"), "toxic").toArrow()
+    rows = drawn.select(F.array_intersect("terms", F.lit(list(known))).alias("terms"), "toxic").toArrow()
     features = [sorted(known[t] for t in terms) for terms in rows.column("terms").to_pylist()]
     return learn(features, rows.column("toxic").to_numpy(), known)
 
