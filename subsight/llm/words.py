@@ -8,7 +8,7 @@ import xxhash
 #: A-Z to a-z; all other bytes stay.
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 #: A worker's word cache is emptied beyond so many words.
-CACHE_WORDS = 1_000_000
+CACHE_WORDS = 300_000
 
 
 def lower_words(text: bytes | None) -> list[bytes]:
