@@ -2,4 +2,49 @@
 
 from __future__ import annotations
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op1_warc_archives": """
+WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+d AS (SELECT page_id, CAST(strlen(h) AS BIGINT) AS n, sha1(h) AS g FROM p),
+m AS (SELECT *, CASE WHEN n >= 1000 THEN max(page_id) OVER (PARTITION BY g, n) END AS f FROM d)
+SELECT page_id, n AS payload_bytes, g AS payload_digest,
+  CASE WHEN f <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN f <> page_id THEN f END AS refers_to
+FROM m""",
+    "op2_line_windows": r"""
+WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line,
+    generate_subscripts(string_split(text, chr(10)), 1) AS p FROM documents),
+b AS (SELECT *, trim(line, ' ' || chr(9) || chr(13)) AS bare FROM l),
+s AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY p) AS i FROM b WHERE bare <> ''),
+w AS (SELECT doc_id, i, bare || chr(10) || lead(bare) OVER d || chr(10) || lead(bare, 2) OVER d AS run
+    FROM s WINDOW d AS (PARTITION BY doc_id ORDER BY i)),
+r AS (SELECT doc_id, i FROM w WHERE run IS NOT NULL
+    QUALIFY row_number() OVER (PARTITION BY run ORDER BY doc_id, i) > 1),
+c AS (SELECT DISTINCT doc_id, i + k AS i FROM r, (VALUES (0), (1), (2)) AS t(k)),
+g AS (SELECT s.doc_id, s.p FROM s JOIN c USING (doc_id, i)),
+k AS (SELECT l.doc_id, string_agg(l.line, chr(10) ORDER BY l.p) AS kept, count(*) AS n
+    FROM l ANTI JOIN g USING (doc_id, p) GROUP BY l.doc_id),
+n AS (SELECT doc_id, count(*) AS gone FROM g GROUP BY doc_id)
+SELECT documents.doc_id,
+  CASE WHEN gone IS NULL THEN text ELSE coalesce(kept, '') END AS text,
+  CAST(coalesce(gone, 0) AS INT) AS lines_removed
+FROM documents LEFT JOIN n USING (doc_id) LEFT JOIN k USING (doc_id)""",
+    "op3_source_mix": r"""
+WITH d AS (SELECT doc_id, source,
+    CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size FROM documents),
+s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
+o AS (SELECT *, CAST([5, 2, 1][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS DOUBLE) AS weight,
+    CAST(source_size AS DOUBLE) * 2 AS cap FROM s),
+f AS (SELECT cap / weight AS fill, sum(cap) AS caps, sum(weight) AS weights FROM o GROUP BY 1),
+u AS (SELECT *, sum(caps) OVER (ORDER BY fill) - caps AS caps_before,
+    sum(weights) OVER () - (sum(weights) OVER (ORDER BY fill) - weights) AS open FROM f),
+v AS (SELECT fill, ((SELECT sum(source_size) FROM s) * CAST(1.5 AS DOUBLE) - caps_before) / open AS level FROM u),
+x AS (SELECT min_by(level, fill) AS level FROM v WHERE level <= fill),
+t AS (SELECT source, source_size, coalesce(least(cap, weight * level), cap) AS target FROM o, x),
+q AS (SELECT d.*, source_size, target, CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS rate,
+    CAST('0x' || substr(md5('11:' || doc_id), 1, 8) AS BIGINT) / CAST(4294967296 AS DOUBLE) AS draw
+    FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
+SELECT doc_id, size, source_size, target,
+  CAST(size * (floor(rate) + CASE WHEN draw < rate - floor(rate) THEN 1 ELSE 0 END) AS BIGINT) AS taken
+FROM q""",
+}

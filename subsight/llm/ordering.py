@@ -27,7 +27,7 @@ def in_order(df: DataFrame, key: str, ties: str, ranges: int = RANGES) -> DataFr
         "_place", F.col("_key").cast("double")
     )
     cuts = range_cuts(keyed, "_place", ranges)
-    splits = [float("-inf"), *cuts, float("inf")]
+    splits = [float("-inf"), *(cuts or [0.0]), float("inf")]
     cutter = Bucketizer(splits=splits, inputCol="_place", outputCol="_range")
     ranged = cutter.transform(keyed).withColumn("_range", F.col("_range").cast("int")).drop("_place")
     # At most ``ranges`` rows come to the driver.

@@ -135,7 +135,8 @@ def _labelled(docs: DataFrame, labels: DataFrame, rows: int) -> DataFrame:
     drawn = F.pmod(F.xxhash64("_id", F.lit("sample")), F.lit(1 << 30)) < int(share * (1 << 30))
     # About ``rows`` ids and labels at most, whatever the size of the tables.
     chosen = F.broadcast(marked.where(drawn))
-    texts = docs.join(chosen, F.col("doc_id") == F.col("_id")).select(F.col("text").cast("binary"), "toxic")
+    own = docs.select(F.col("doc_id").alias("_own"), F.col("text").cast("binary").alias("text"))
+    texts = own.join(chosen, F.col("_own") == F.col("_id")).select("text", "toxic")
 
     def per_batch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         terms = _Terms()
