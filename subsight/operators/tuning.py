@@ -31,8 +31,6 @@ from subsight.operators.models import (
     PenalisedLogit,
     TrainingData,
     forest,
-    grown_depth,
-    iterations_of,
 )
 
 FITS_AT_ONCE = 8
@@ -84,49 +82,26 @@ def cross_validate(
     data: TrainingData,
     make: Callable[..., Estimator],
     settings: list[dict],
-    limit: str | None = None,
-    spent: Callable[[Model], float] | None = None,
     folds: int = FOLDS,
 ) -> Search:
-    """Fit every setting on every fold; a fold without rows is left out.
-
-    ``limit`` names a setting that only cuts a fit short (iterations, depth)
-    and ``spent`` tells how much of it a model used. A model that stopped by
-    itself below its limit is the model of every higher limit as well, so it
-    is fitted once.
-    """
+    """Fit every setting on every fold; a fold without rows is left out."""
     judge = MulticlassClassificationEvaluator(labelCol=LABEL, metricName="accuracy")
-    groups: dict[tuple, list[int]] = {}
-    for i, setting in enumerate(settings):
-        key = tuple(sorted((k, v) for k, v in setting.items() if k != limit))
-        groups.setdefault(key, []).append(i)
-    for members in groups.values():
-        members.sort(key=lambda i: settings[i][limit] if limit else i)
-
     train = data.train.persist(StorageLevel.MEMORY_AND_DISK)
 
-    def run(task: tuple[int, list[int]]) -> list[tuple[int, float, float]]:
-        fold, members = task
+    def run(task: tuple[int, int]) -> tuple[int, float, float]:
+        fold, i = task
         fit_rows, held_out = train.where(F.col("fold") != fold), train.where(F.col("fold") == fold)
-        found, settled = [], None
-        for i in members:
-            if settled is None:
-                model = make(**settings[i]).fit(fit_rows)
-                pair = (judge.evaluate(model.transform(fit_rows)), judge.evaluate(model.transform(held_out)))
-                if limit and spent(model) < settings[i][limit]:
-                    settled = pair
-            found.append((i, *(settled or pair)))
-        return found
+        model = make(**settings[i]).fit(fit_rows)
+        return i, judge.evaluate(model.transform(fit_rows)), judge.evaluate(model.transform(held_out))
 
     filled = [row[0] for row in train.select("fold").distinct().collect() if row[0] < folds]
-    tasks = [(fold, members) for members in groups.values() for fold in sorted(filled)]
+    tasks = [(fold, i) for i in range(len(settings)) for fold in sorted(filled)]
     train_scores = [[] for _ in settings]
     scores = [[] for _ in settings]
     try:
-        for found in _side_by_side(data, run, tasks):
-            for i, on_train, on_held_out in found:
-                train_scores[i].append(on_train)
-                scores[i].append(on_held_out)
+        for i, on_train, on_held_out in _side_by_side(data, run, tasks):
+            train_scores[i].append(on_train)
+            scores[i].append(on_held_out)
     finally:
         train.unpersist()
     means = [fmean(s) for s in scores]
@@ -162,7 +137,7 @@ def search_logistic(
 ) -> Search:
     """Grid search over C and the iteration limit."""
     settings = [{"C": c, "maxIter": m} for c in cs for m in iterations]
-    return cross_validate(data, PenalisedLogit, settings, "maxIter", iterations_of)
+    return cross_validate(data, PenalisedLogit, settings)
 
 
 def search_forest(
@@ -177,7 +152,7 @@ def search_forest(
         return forest(trees, depth, features_per_split=str(features))
 
     settings = [{"depth": d, "features": f} for d in depths for f in features]
-    return cross_validate(data, make, settings, "depth", grown_depth)
+    return cross_validate(data, make, settings)
 
 
 # --- sweeps -------------------------------------------------------------------------

@@ -96,7 +96,7 @@ def test_search_equals_fitting_every_setting(data):
     assert max(r.mean_accuracy for r in rows) == next(r.mean_accuracy for r in rows if r.is_best)
 
 
-def test_forest_search_reuses_trees_that_stopped_growing(data):
+def test_forest_search_fits_every_depth(data):
     found = tuning.search_forest(data, depths=[3, 29, 30], features=[2], trees=5)
     assert found.scores[1] == found.scores[2]
     assert models.grown_depth(found.model) <= 29
