@@ -17,15 +17,17 @@ def hot_keys(df: DataFrame, key: str, share: int = HOT_SHARE) -> DataFrame:
 
 
 def split_join(
-    large: DataFrame, lookup: DataFrame, key: str, spread_by: str, how: str = "inner", salts: int = SALTS
+    large: DataFrame, lookup: DataFrame, key: str, spread_by: str, how: str = "inner", salts: int = SALTS,
+    hot: DataFrame | None = None,
 ) -> DataFrame:
     """Join a table whose keys repeat to one where they do not, splitting the hot keys.
 
     Rows of a hot key are spread over ``salts`` parts by a column that varies
     within the key, and only its lookup row is copied to each part. All other
-    keys are joined as usual. ``how`` may be inner, left or left_semi.
+    keys are joined as usual. ``how`` may be inner, left or left_semi. ``hot`` may
+    give the hot keys where they can be told from a cheaper table than ``large``.
     """
-    hot = F.broadcast(hot_keys(large, key).withColumn("_hot", F.lit(True)))
+    hot = F.broadcast((hot_keys(large, key) if hot is None else hot).withColumn("_hot", F.lit(True)))
     part = F.pmod(F.xxhash64(spread_by), F.lit(salts)).cast("int")
     parts = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
     spread = large.join(hot, key, "left").withColumn(

@@ -37,8 +37,12 @@ def cohort_retention_wide(retention: DataFrame, last_period: int = LAST_COHORT_P
     return wide.select("tier", *[F.col(str(p)).alias(f"period_{p}") for p in periods])
 
 
-def cohort_counts_wide(counts: DataFrame, last_period: int = LAST_COHORT_PERIOD) -> DataFrame:
-    """One row per tier, one column per period."""
-    periods = list(range(last_period + 1))
+def cohort_counts_wide(counts: DataFrame) -> DataFrame:
+    """One row per tier, one column for each period that occurs.
+
+    The columns depend on the data, so the periods come to the driver, as the
+    names they become.
+    """
+    periods = sorted(r[0] for r in counts.select("payment_period").distinct().collect())
     wide = long_to_wide(counts, "tier", "payment_period", periods, "n_alive")
     return wide.select("tier", *[F.col(str(p)).alias(f"period_{p}") for p in periods])

@@ -31,30 +31,36 @@ from subsight.constants import (
     TOP_VOTES,
     TREES,
 )
+from subsight.functions.hashing import hash_uniform
 from subsight.operators import prep
 from subsight.sources.tables import materialize
 
 LABEL = "churn"
 # Spark grows trees to this depth at most.
 DEEPEST = 30
+# About so many train rows are fitted; more are thinned by a hash of the key. Trees lie on the driver
+# and grow with the rows, so this bounds them.
+MAX_TRAIN_ROWS = 1_000_000
 
 
 @dataclass(frozen=True)
 class TrainingData:
-    """Train and test rows with assembled features, and the names of the features."""
+    """Train and test rows with assembled features, the names of the features, and all rows."""
 
     train: DataFrame
     test: DataFrame
     names: list[str]
+    everyone: DataFrame | None = None
 
     def index(self, name: str) -> int:
         return self.names.index(name)
 
 
-def training_data(people: DataFrame) -> TrainingData:
+def training_data(people: DataFrame, max_train_rows: int = MAX_TRAIN_ROWS) -> TrainingData:
     """Encode, split, scale on train rows and assemble.
 
-    The merged rows are written once, as encoding and scaling look at them
+    Scaling sees all train rows; fits see about ``max_train_rows`` of them. Test
+    rows and those to score are never thinned. The merged rows are written once, as encoding and scaling look at them
     first. So are the assembled ones, which all fits read: a lost executor
     costs a re-read and not a re-join.
     """
@@ -74,10 +80,13 @@ def training_data(people: DataFrame) -> TrainingData:
     table = materialize(
         prep.assemble(scaled, plain).select("subid", LABEL, "fold", "is_test", "features")
     )
+    train_rows = table.where(~F.col("is_test")).drop("is_test")
+    share = max_train_rows / max(1, train_rows.count())
     return TrainingData(
-        train=table.where(~F.col("is_test")).drop("is_test"),
+        train=train_rows.where(hash_uniform("subid", "fit") < share) if share < 1 else train_rows,
         test=table.where("is_test").drop("is_test"),
         names=names,
+        everyone=table.drop("is_test"),
     )
 
 
@@ -140,11 +149,14 @@ def iterations_of(model: PipelineModel) -> int:
 
 
 def score(df: DataFrame, model: Transformer) -> DataFrame:
-    """Keyed churn probabilities ``(subid, churn, prob, prediction)``."""
+    """Keyed churn probabilities ``(subid, churn, prob, prediction)``.
+
+    A model that saw no churn has no second class; its probability is 0.
+    """
     return model.transform(df).select(
         "subid",
         F.col(LABEL).cast("int").alias(LABEL),
-        vector_to_array("probability")[1].alias("prob"),
+        F.coalesce(F.try_element_at(vector_to_array("probability"), F.lit(2)), F.lit(0e0)).alias("prob"),
         F.col("prediction").cast("int").alias("prediction"),
     )
 
@@ -186,16 +198,18 @@ def forest(
     features_per_split: str = "sqrt",
     seed: int = 0,
 ) -> RandomForestClassifier:
-    """The unfitted forest.
+    """The unfitted forest. Depths past Spark's limit are refused.
 
     Rows remember their place in each tree instead of walking down from the
     root at every level, which halves the time of deep trees.
     """
+    if depth > DEEPEST:
+        raise ValueError(f"depth {depth}: Spark grows trees to depth {DEEPEST} at most")
     return RandomForestClassifier(
         labelCol=LABEL,
         featuresCol="features",
         numTrees=trees,
-        maxDepth=min(depth, DEEPEST),
+        maxDepth=depth,
         impurity=impurity,
         featureSubsetStrategy=features_per_split,
         seed=seed,
@@ -231,10 +245,11 @@ def vote_features(ranking: DataFrame, importance: DataFrame, k: int = TOP_VOTES)
     )
 
 
-def _present(data: TrainingData, names: list[str]) -> list[str]:
-    """The named features that exist and vary in the train rows."""
+def _left_out(data: TrainingData, names: list[str]) -> dict[str, str]:
+    """Why a named feature cannot be fitted: ``absent``, or ``constant`` in the train rows."""
     variances = data.train.select(Summarizer.variance(F.col("features"))).first()[0]
-    return [n for n in names if n in data.names and variances[data.index(n)] > 0]
+    absent = {n: "absent" for n in names if n not in data.names}
+    return absent | {n: "constant" for n in names if n in data.names and not variances[data.index(n)] > 0}
 
 
 def _plain_logit(data: TrainingData, names: list[str]):
@@ -252,13 +267,18 @@ def _plain_logit(data: TrainingData, names: list[str]):
 
 
 def logit_summary(data: TrainingData, names: list[str] = LOGIT_SUMMARY_FEATURES) -> DataFrame:
-    """Unpenalised logit without intercept: weight, standard error, z, p and 95 % bounds."""
-    used = _present(data, names)
+    """Unpenalised logit without intercept: weight, standard error, z, p and 95 % bounds.
+
+    One row per named feature. One that cannot be fitted has NULL statistics and
+    a ``reason``.
+    """
+    reasons = _left_out(data, names)
+    used = [n for n in names if n not in reasons]
     model = _plain_logit(data, used)
     summary = model.summary
     margin = NormalDist().inv_cdf(0.975)
-    rows = [
-        (n, *(float(v) for v in (w, e, z, p, w - margin * e, w + margin * e)))
+    fitted = {
+        n: tuple(float(v) for v in (w, e, z, p, w - margin * e, w + margin * e))
         for n, w, e, z, p in zip(
             used,
             model.coefficients.toArray(),
@@ -266,10 +286,12 @@ def logit_summary(data: TrainingData, names: list[str] = LOGIT_SUMMARY_FEATURES)
             summary.tValues,
             summary.pValues,
         )
-    ]
+    }
+    rows = [(n, *fitted.get(n, (None,) * 6), reasons.get(n)) for n in names]
     return data.train.sparkSession.createDataFrame(
         rows,
-        "feature string, coef double, std_err double, z double, p_value double, low double, high double",
+        "feature string, coef double, std_err double, z double, p_value double, low double, high double,"
+        " reason string",
     )
 
 
@@ -287,9 +309,11 @@ def logit_fit(data: TrainingData, names: list[str] = LOGIT_SUMMARY_FEATURES) ->
     """How well the plain logit fits: log-likelihoods, pseudo R2, AIC, BIC, ratio test.
 
     The null model has a constant only, so its log-likelihood comes from the
-    share of churn.
+    share of churn. ``n_features`` counts the named features and ``n_fitted`` those
+    with a weight, which AIC, BIC and the test go by.
     """
-    used = _present(data, names)
+    reasons = _left_out(data, names)
+    used = [n for n in names if n not in reasons]
     model = _plain_logit(data, used)
     n, share = data.train.agg(F.count("*"), F.avg(LABEL)).first()
     fitted = -model.summary.deviance / 2
@@ -297,6 +321,7 @@ def logit_fit(data: TrainingData, names: list[str] = LOGIT_SUMMARY_FEATURES) ->
     k = len(used)
     row = (
         int(n),
+        len(names),
         k,
         float(fitted),
         float(null),
@@ -307,6 +332,6 @@ def logit_fit(data: TrainingData, names: list[str] = LOGIT_SUMMARY_FEATURES) ->
     )
     return data.train.sparkSession.createDataFrame(
         [row],
-        "n_rows long, n_features int, log_likelihood double, null_log_likelihood double,"
+        "n_rows long, n_features int, n_fitted int, log_likelihood double, null_log_likelihood double,"
         " pseudo_r2 double, aic double, bic double, ratio_test_p double",
     )

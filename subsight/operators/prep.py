@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import re
-
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -21,7 +19,7 @@ from subsight.constants import (
 )
 from subsight.functions.hashing import SEED, hash_uniform
 from subsight.functions.sizes import small_side
-from subsight.operators.counts import distinct_values, null_shares
+from subsight.operators.counts import null_shares
 
 SLOTS = 256
 
@@ -99,11 +97,6 @@ def impute_by_frequency(
     return df
 
 
-def category_names(df: DataFrame, col: str) -> list:
-    """The categories of a column, sorted. They name columns, so they come to the driver."""
-    return sorted(row[0] for row in distinct_values(df, col).collect())
-
-
 def one_hot(df: DataFrame, cols: list[str] = CATEGORICAL_FEATURES) -> tuple[DataFrame, list[str]]:
     """Replace categories by 0/1 columns ``column_value``; none is left out, NULL is all 0.
 
@@ -171,11 +164,6 @@ def minmax(df: DataFrame, train: DataFrame, cols: list[str] = NUMERIC_FEATURES)
     )
 
 
-def safe_name(name: str) -> str:
-    """A column name the feature assembler takes as one name."""
-    return re.sub(r"[^0-9A-Za-z_]", "_", name)
-
-
 def assemble(df: DataFrame, cols: list[str], output: str = "features") -> DataFrame:
     """Collect feature columns into one vector."""
     return VectorAssembler(inputCols=cols, outputCol=output, handleInvalid="error").transform(df)

@@ -72,6 +72,7 @@ class Search:
                 fmean(self.train_scores[i]),
                 fmean(self.scores[i]),
                 pstdev(self.scores[i]),
+                len(self.scores[i]),
                 i == self.best,
             )
             for i, setting in enumerate(self.settings)
@@ -84,7 +85,7 @@ def cross_validate(
     settings: list[dict],
     folds: int = FOLDS,
 ) -> Search:
-    """Fit every setting on every fold; a fold without rows is left out."""
+    """Fit every setting on every fold. A fold without rows has no score; ``folds_used`` tells."""
     judge = MulticlassClassificationEvaluator(labelCol=LABEL, metricName="accuracy")
     train = data.train.persist(StorageLevel.MEMORY_AND_DISK)
 
@@ -114,7 +115,8 @@ def search_results(data: TrainingData, found: Search) -> DataFrame:
     return _table(
         data,
         found.rows(),
-        "setting string, train_accuracy double, mean_accuracy double, std_accuracy double, is_best boolean",
+        "setting string, train_accuracy double, mean_accuracy double, std_accuracy double,"
+        " folds_used int, is_best boolean",
     )
 
 
@@ -122,13 +124,14 @@ def validation_curve(data: TrainingData, values: list[float] = C_VALIDATION) ->
     """Accuracy on the fitted and on the held-out folds for each value of C."""
     found = cross_validate(data, PenalisedLogit, [{"C": c} for c in values])
     rows = [
-        (c, fmean(t), pstdev(t), fmean(s), pstdev(s))
+        (c, fmean(t), pstdev(t), fmean(s), pstdev(s), len(s))
         for c, t, s in zip(values, found.train_scores, found.scores)
     ]
     return _table(
         data,
         rows,
-        "c double, train_accuracy double, train_std double, mean_accuracy double, std_accuracy double",
+        "c double, train_accuracy double, train_std double, mean_accuracy double, std_accuracy double,"
+        " folds_used int",
     )
 
 
@@ -186,10 +189,10 @@ def sweep_trees(data: TrainingData, values: list[int] = TREES_SWEEP) -> DataFram
 def sweep_depth(data: TrainingData, values: list[int] = DEPTH_SWEEP, trees: int = TREES) -> DataFrame:
     """Train and test AUC of a forest for each depth.
 
-    Depths past Spark's limit grow the same trees as the limit, which
-    ``depth_used`` shows; they are fitted once.
+    Spark cannot grow trees past its limit, so deeper settings have NULL areas
+    and a NULL ``depth_used``.
     """
-    used = sorted({min(v, DEEPEST) for v in values})
+    used = sorted({v for v in values if v <= DEEPEST})
     areas = {d: pair for d, *pair in _sweep(data, lambda d: forest(trees, d), used)}
-    rows = [(v, min(v, DEEPEST), *areas[min(v, DEEPEST)]) for v in values]
+    rows = [(v, v if v in areas else None, *areas.get(v, (None, None))) for v in values]
     return _table(data, rows, "max_depth int, depth_used int, train_auc double, test_auc double")

@@ -309,8 +309,7 @@ def cohort_counts(t: StarInputs) -> DataFrame:
 
 @query
 def cohort_counts_wide(t: StarInputs) -> DataFrame:
-    alive = cohort.cohort_counts(t.customer_up_to(C.LAST_COHORT_PERIOD))
-    return cohort.cohort_counts_wide(alive)
+    return cohort.cohort_counts_wide(tables.materialize(cohort.cohort_counts(t.customer)))
 
 
 @query
@@ -689,5 +688,5 @@ def final_forest_metrics(t: StarInputs) -> DataFrame:
 def clv_from_model(t: StarInputs) -> DataFrame:
     people = tables.materialize(_modelling_table(t))
     data = models.training_data(people)
-    scores = models.score(data.test, models.fit_forest(data.train))
+    scores = models.score(data.everyone, models.fit_forest(data.train))
     return clv.clv_summary(_written(churn_value.valued(people, _cost(t).cost, scores), "CLV_i"))

@@ -368,7 +368,8 @@ FROM sprt_all WHERE step = (SELECT COALESCE(MIN(step) FILTER {_CROSSED}, MAX(ste
     ),
     # cohorts
     "cohort_counts": "SELECT * FROM cohorts",
-    "cohort_counts_wide": _pivot("tier", _PERIODS, "payment_period", "n_alive", "cohorts", "period_{}"),
+    "cohort_counts_wide": "SELECT * FROM (PIVOT (SELECT tier, n_alive, 'period_' || payment_period AS period FROM cohorts)"
+    " ON period USING MAX(n_alive) GROUP BY tier)",
     "cohort_retention": "SELECT tier, payment_period, n_alive, ROUND(retention, 6) AS retention FROM retained",
     "cohort_retention_wide": _pivot(
         "tier", _PERIODS, "payment_period", "round_even(retention, 1)", "retained", "period_{}"
@@ -491,4 +492,7 @@ def _in_order(names: set[str]) -> list[str]:
     return done
 
 
+# A table written as CSV and read again is the same table.
+BODIES["cac_csv_roundtrip"] = BODIES["cac_wide"]
+
 ORACLES = {name: oracle(body) for name, body in BODIES.items()}

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from subsight.constants import PAID_CHANNELS, TIER_UPPER_BOUNDS
+from subsight.functions.joins import hot_keys, split_join
 from subsight.functions.ordered import group_positions
 
 _CHANNEL_BY_CODE = PAID_CHANNELS + [
@@ -115,13 +116,17 @@ class StarInputs:
             (F.col("o_orderkey") % 15).cast("int").alias("num_trial_days"),
         )
 
-    def _with_account(self, facts: DataFrame) -> DataFrame:
+    def _hot_subscribers(self) -> DataFrame:
+        return hot_keys(self._order_facts, "subid")
+
+    def _with_account(self, facts: DataFrame, hot: DataFrame | None = None) -> DataFrame:
+        """Add the account of each row; rows of ``hot`` subscribers are split by order."""
         accounts = self.subscribers.select(
             "subid",
             "account_creation_date",
             (~F.col("cancel_before_trial_end")).alias("trial_completed_TF"),
         )
-        return facts.join(accounts, "subid")
+        return facts.join(accounts, "subid") if hot is None else split_join(facts, accounts, "subid", "o_orderkey", hot=hot)
 
     @cached_property
     def customer(self) -> DataFrame:
@@ -131,7 +136,7 @@ class StarInputs:
         """
         numbered = group_positions(self._order_facts, "subid", "o_orderdate", "o_orderkey")
         periods = numbered.withColumn("payment_period", F.col("position").cast("int"))
-        return self._with_account(periods).select(
+        return self._with_account(periods, self._hot_subscribers()).select(
             "subid",
             "account_creation_date",
             "payment_period",
@@ -153,7 +158,7 @@ class StarInputs:
     @cached_property
     def customer_facts(self) -> DataFrame:
         """The customer table without its period number, which costs a shuffle to derive."""
-        return self._with_account(self._order_facts).select(
+        return self._with_account(self._order_facts, self._hot_subscribers()).select(
             "subid",
             "account_creation_date",
             "billing_channel",

@@ -126,3 +126,16 @@ def test_split_join_equals_a_plain_join(spark, how):
     assert got.columns == plain.columns
     key = lambda r: tuple((x is None, x) for x in r)
     assert sorted(map(tuple, got.collect()), key=key) == sorted(map(tuple, plain.collect()), key=key)
+
+
+def test_sample_of_many_more_rows_than_prefixes_moves_about_n_rows(spark, monkeypatch):
+    monkeypatch.setattr(ordered, "HASH_DIGITS", 1)
+    df = spark.range(20_000).withColumn("g", F.col("id") % 2)
+    hashed = df.withColumn("h", ordered.hash_text("id", 1, F.col("g")))
+    for n in (5, 900):
+        got = {(r.g, r.sample_rank): r.id for r in ordered.ranked_sample(df, n, "id", 1, by=("g",)).collect()}
+        rows = hashed.orderBy("h", "id").collect()
+        want = {(g, i + 1): r.id for g in (0, 1) for i, r in enumerate([r for r in rows if r.g == g][:n])}
+        assert got == want
+    cells = ordered._needed_cells(hashed.withColumn("_p", F.substring("h", 1, 2)), ["g"], "_p", 5, F.lit(0))
+    assert cells.agg(F.max("_n")).first()[0] < 100

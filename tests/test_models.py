@@ -57,6 +57,9 @@ def test_plain_logit_matches_newton(data):
         h = (x * (p * (1 - p))[:, None]).T @ x
         w += np.linalg.solve(h, x.T @ (y - p))
     rows = models.logit_summary(data, ["a", "b", "c", "d", "missing"]).collect()
+    assert [r.feature for r in rows] == ["a", "b", "c", "d", "missing"]
+    missing = rows.pop()
+    assert missing.reason == "absent" and missing.coef is None
     assert [r.coef for r in rows] == pytest.approx(list(w), abs=1e-4)
     assert [r.std_err for r in rows] == pytest.approx(list(np.sqrt(np.diag(np.linalg.inv(h)))), rel=1e-3)
     p = 1 / (1 + np.exp(-x @ w))
@@ -106,7 +109,10 @@ def test_sweeps(data):
     c = tuning.sweep_c(data, [0.1, 1.0]).collect()
     assert [r.c for r in c] == [0.1, 1.0] and all(0.5 < r.train_auc <= 1 for r in c)
     depth = {r.max_depth: r for r in tuning.sweep_depth(data, [2, 30, 70], trees=5).collect()}
-    assert depth[70].depth_used == 30 and depth[70].train_auc == depth[30].train_auc
+    assert depth[30].depth_used == 30 and depth[30].train_auc > 0.5
+    assert depth[70].depth_used is None and depth[70].train_auc is None
+    with pytest.raises(ValueError, match="depth 50"):
+        models.forest(depth=50)
     trees = tuning.sweep_trees(data, [3, 6]).collect()
     assert [r.trees for r in trees] == [3, 6]
     curve = tuning.validation_curve(data, [0.001, 1.001]).collect()
