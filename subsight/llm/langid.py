@@ -169,7 +169,8 @@ def fit(docs: DataFrame, rows_per_lang: int = ROWS_PER_LANG) -> Model:
                 [batch.column(0), pa.array(used, kind), pa.array(counts, kind)], names=["lang", "buckets", "counts"]
             )
 
-    drawn = known.where(draw < share).select("lang", "text")
+    # Rows that repeat fall on the same side of the draw, so each of them counts once.
+    drawn = known.where(draw < share).distinct().select("lang", "text")
     table = drawn.mapInArrow(counted, "lang string, buckets array<int>, counts array<int>").toArrow()
     place = {lang: i for i, lang in enumerate(langs)}
     rows = [

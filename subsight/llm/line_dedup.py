@@ -48,7 +48,8 @@ def repeated_windows(docs: DataFrame) -> DataFrame:
         .select("h1", "h2", "first")
     )
     later = windows.join(first, ["h1", "h2"]).where(~place.eqNullSafe(F.col("first")))
-    return later.groupBy("doc").agg(F.collect_list("at").alias("places"))
+    # A set: rows that repeat a document, however many, add no places.
+    return later.groupBy("doc").agg(F.collect_set("at").alias("places"))
 
 
 def dedup_lines(docs: DataFrame) -> DataFrame:

@@ -127,24 +127,26 @@ def learn(docs: list[list[int]], labels: np.ndarray, known: dict[int, int], seed
 
 
 def _labelled(docs: DataFrame, labels: DataFrame, rows: int) -> DataFrame:
-    """``(terms, toxic)`` of about ``rows`` labelled documents."""
+    """``(terms, toxic)`` of about ``rows`` labelled documents; rows that repeat count once."""
     marked = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).select(
         F.col("doc_id").alias("_id"), F.col("toxic").cast("double").alias("toxic")
     )
     share = min(1.0, rows / max(1, marked.count()))
     drawn = F.pmod(F.xxhash64("_id", F.lit("sample")), F.lit(1 << 30)) < int(share * (1 << 30))
     # About ``rows`` ids and labels at most, whatever the size of the tables.
-    chosen = F.broadcast(marked.where(drawn))
+    chosen = F.broadcast(marked.where(drawn).distinct())
     own = docs.select(F.col("doc_id").alias("_own"), F.col("text").cast("binary").alias("text"))
-    texts = own.join(chosen, F.col("_own") == F.col("_id")).select("text", "toxic")
+    texts = own.join(chosen, F.col("_own") == F.col("_id")).select("text", "toxic", "_id")
 
     def per_batch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         terms = _Terms()
         for batch in batches:
             found = pa.array([terms.of(t.as_py()) for t in batch.column(0)], pa.list_(pa.int32()))
-            yield pa.RecordBatch.from_arrays([found, batch.column(1)], names=["terms", "toxic"])
+            yield pa.RecordBatch.from_arrays([found, *batch.columns[1:]], names=["terms", "toxic", "_id"])
 
-    return materialize(texts.mapInArrow(per_batch, "terms array<int>, toxic double"))
+    kind = marked.schema["_id"].dataType.simpleString()
+    found = texts.mapInArrow(per_batch, f"terms array<int>, toxic double, _id {kind}")
+    return materialize(found.distinct().drop("_id"))
 
 
 def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> Model:

@@ -29,6 +29,16 @@ def test_toxicity_edges(spark):
     assert toxicity.add_score(docs.limit(0), blank).count() == 0
 
 
+def test_repeated_rows_are_learned_once(spark):
+    base = [(i, f"you idiot {i}" if i % 3 == 0 else f"a kind word {i}", "en") for i in range(30)]
+    docs = spark.createDataFrame(base + base[:1] * 500, "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(30)] + [(0, 1)] * 500, "doc_id long, toxic int")
+    assert toxicity._labelled(docs, labels, 10_000).count() == 30
+    plain, model = toxicity.fit(docs.distinct(), labels.distinct()), toxicity.fit(docs, labels)
+    assert plain.known == model.known
+    assert langid.fit(docs).langs == ["en"]
+
+
 def test_machine_learns_a_pair():
     """Terms 0 and 1 are bad together only; a linear score cannot tell that."""
     import numpy as np
