@@ -110,3 +110,8 @@ def cost_wide(costs: DataFrame) -> DataFrame:
         .agg(F.first("cost"))
     )
     return wide.select("row_label", "tier", *PAID_CHANNELS)
+
+
+def cost_long(wide: DataFrame) -> DataFrame:
+    """Cost per tier and channel from the written table; the mean row, without a tier, goes."""
+    return wide_to_long(wide.where(F.col("tier").isNotNull()), "tier", PAID_CHANNELS, "channel", "cost")

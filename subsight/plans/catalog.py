@@ -143,6 +143,45 @@ def cac_csv_roundtrip(t: StarInputs) -> DataFrame:
     return tables.read_csv(t.spark, path, tables.TABLES["acquisition_cost"])
 
 
+def _from_file(t: StarInputs, df: DataFrame, name: str) -> DataFrame:
+    """The table written to parquet, missing numbers as NaN, and read by the reader."""
+    doubles = [f.name for f in df.schema.fields if isinstance(f.dataType, T.DoubleType)]
+    path = tables.shared_dir(t.spark)
+    with_nan = df.withColumns({c: F.coalesce(c, F.lit(float("nan"))) for c in doubles})
+    with_nan.write.parquet(f"{path}/{name}.parquet")
+    return tables.read_table(t.spark, path, name)
+
+
+def _spend_from_sheet(t: StarInputs) -> DataFrame:
+    """The spend written as a sheet with a banner and a heading row, and read by the reader."""
+    cells = t.spend.select("period_idx", *C.PAID_CHANNELS)
+    texts = cells.select(*[F.col(c).cast("string").alias(c) for c in cells.columns])
+    banner = ["Advertising spend", *[""] * len(C.PAID_CHANNELS)]
+    kinds = ", ".join(f"`{c}` string" for c in cells.columns)
+    top = t.spark.createDataFrame([banner, cells.columns], kinds)
+    path = tables.shared_dir(t.spark)
+    top.unionByName(texts).write.csv(path)
+    return tables.read_spend(t.spark, path)
+
+
+@query
+def read_subscribers(t: StarInputs) -> DataFrame:
+    return _from_file(t, t.subscribers, "subscribers")
+
+
+@query
+def read_spend_sheet(t: StarInputs) -> DataFrame:
+    return _spend_from_sheet(t)
+
+
+@query
+def read_table_shapes(t: StarInputs) -> DataFrame:
+    shapes = counts.table_profile(_spend_from_sheet(t), "spend")
+    for name, df in {"subscribers": t.subscribers, "engagement": t.engagement, "customer": t.customer}.items():
+        shapes = shapes.unionByName(counts.table_profile(_from_file(t, df, name), name))
+    return shapes
+
+
 # --- filters and projections -----------------------------------------------------
 
 
@@ -517,6 +556,18 @@ def clv_per_subscriber(t: StarInputs) -> DataFrame:
     return _valued(t).select("subid", "tier", "CAC_i", "prob_churn", "CLV_i")
 
 
+@query
+def clv_from_files(t: StarInputs) -> DataFrame:
+    """Lifetime value from the two files handed on: the cost table and the churn scores."""
+    cost_file, score_file = tables.shared_dir(t.spark), tables.shared_dir(t.spark)
+    tables.write_csv(acquisition.cost_wide(_cost(t).cost), cost_file)
+    tables.write_csv(_all_scores(t).select(*tables.TABLES["scores"].names), score_file)
+    cost = acquisition.cost_long(tables.read_csv(t.spark, cost_file, tables.TABLES["acquisition_cost"]))
+    scores = tables.read_csv(t.spark, score_file, tables.TABLES["scores"])
+    people = _written(_merged(t), *VALUE_COLUMNS)
+    return churn_value.valued(people, cost, scores).select("subid", "tier", "CAC_i", "prob_churn", "CLV_i")
+
+
 @query
 def clv_summary(t: StarInputs) -> DataFrame:
     return clv.clv_summary(_written(_valued(t), "CLV_i"))

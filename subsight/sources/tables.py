@@ -19,12 +19,12 @@ def nan_to_null(df: DataFrame) -> DataFrame:
     return df.withColumns({name: F.when(~F.isnan(name), F.col(name)) for name in doubles})
 
 
-def read_table(spark: SparkSession, directory: str, name: str, has_nan: bool = False) -> DataFrame:
+def read_table(spark: SparkSession, directory: str, name: str, has_nan: bool = True) -> DataFrame:
     """Read one input table from parquet under its fixed schema.
 
-    Set ``has_nan`` for files written by tools that store missing numbers as
-    NaN. It is off by default because a rewritten column keeps its filters out
-    of the parquet scan.
+    Numbers may be missing as NaN, as some tools write them; they become NULL.
+    Clear ``has_nan`` for files without NaN: a rewritten column keeps its filters
+    out of the parquet scan.
     """
     df = spark.read.schema(TABLES[name]).parquet(os.path.join(directory, f"{name}.parquet"))
     return nan_to_null(df) if has_nan else df
