@@ -47,4 +47,28 @@ q AS (SELECT d.*, source_size, target, CASE WHEN source_size > 0 THEN target / s
 SELECT doc_id, size, source_size, target,
   CAST(size * (floor(rate) + CASE WHEN draw < rate - floor(rate) THEN 1 ELSE 0 END) AS BIGINT) AS taken
 FROM q""",
+    "op11_phrase_collocations": r"""
+WITH t AS (SELECT row_number() OVER () AS d, coalesce(lang, 'und') AS lang,
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS low FROM documents),
+p AS (SELECT d, lang, unnest(regexp_split_to_array(low, '[.,;:!?\x0A-\x0D]')) AS piece FROM t),
+q AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM p),
+g AS (SELECT lang, s, unnest(list_transform(range(1, len(w) - s + 2), lambda i: array_to_string(w[i:i + s - 1], ' '))) AS phrase
+    FROM q, (VALUES (1), (2), (3), (4)) AS v(s) WHERE len(w) >= s),
+c AS (SELECT lang, s, phrase, CAST(count(*) AS HUGEINT) AS f FROM g GROUP BY lang, s, phrase),
+n AS (SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM c WHERE s = 1 GROUP BY lang),
+a AS (SELECT lang, s, phrase, f AS a, string_split(phrase, ' ') AS w FROM c WHERE s > 1 AND f >= 30),
+k AS (SELECT *, unnest(range(1, s)) AS k FROM a),
+x AS (SELECT k.lang, k.phrase, k.a, k.k, l.f AS l, r.f AS r, (2000000 * k.a) // (l.f + r.f) AS score FROM k
+    JOIN c l ON l.lang = k.lang AND l.phrase = array_to_string(k.w[1:k.k], ' ')
+    JOIN c r ON r.lang = k.lang AND r.phrase = array_to_string(k.w[k.k + 1:], ' ')),
+m AS (SELECT * FROM x QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+o AS (SELECT lang, a, unnest([array_to_string(w[1:s - 1], ' '), array_to_string(w[2:], ' ')]
+    || CASE WHEN s = 4 THEN [array_to_string(w[1:2], ' '), array_to_string(w[2:3], ' '), array_to_string(w[3:], ' ')]
+       ELSE [] END) AS phrase FROM a WHERE s > 2),
+h AS (SELECT lang, phrase, max(a) AS longer FROM o GROUP BY lang, phrase),
+b AS (SELECT m.* FROM m LEFT JOIN h USING (lang, phrase) WHERE longer IS NULL OR 100 * longer < 80 * m.a),
+z AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) AS rank FROM b)
+SELECT lang, rank, phrase, CAST(a AS BIGINT) AS a, CAST(l AS BIGINT) AS l, CAST(r AS BIGINT) AS r, n,
+  CAST(score AS BIGINT) AS score
+FROM z JOIN n USING (lang) WHERE rank <= 2000""",
 }

@@ -14,10 +14,13 @@ from subsight.llm import (
     langid,
     line_dedup,
     mixing,
+    packing,
+    phrases,
     pseudonyms,
     simhash,
     toxicity,
     warc,
+    whitening,
 )
 
 #: For these tests only; whoever runs the operator brings a secret key.
@@ -97,6 +100,21 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", langid.is_held_out().alias("held_out"), "lang_pred", "score")
 
 
+def op11_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The phrases of each language whose words belong together most."""
+    return phrases.collocations(_table(spark, sf_dir, "documents"))
+
+
+def op12_packed_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents as pieces packed into sequences of 2,048 tokens."""
+    return packing.pack(_table(spark, sf_dir, "documents"))
+
+
+def op13_whitened_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The eight leading whitened components of all embeddings."""
+    return whitening.whiten(_table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc_archives": op1_warc_archives,
     "op2_line_windows": op2_line_windows,
@@ -108,4 +126,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_toxicity": op8_toxicity,
     "op9_benchmark_passages": op9_benchmark_passages,
     "op10_language": op10_language,
+    "op11_phrase_collocations": op11_phrase_collocations,
+    "op12_packed_sequences": op12_packed_sequences,
+    "op13_whitened_embeddings": op13_whitened_embeddings,
 }
