@@ -89,7 +89,7 @@ def eigenvalues_above(matrix: np.ndarray, shift: float) -> int:
 def _refined(matrix: np.ndarray, low: float, high: float, known: list[np.ndarray]) -> tuple[float, np.ndarray, float]:
     """Rayleigh quotient iteration from the middle of a bracket; value, unit vector, residual."""
     size = len(matrix)
-    scale = max(np.abs(matrix).max(), np.finfo(float).tiny)
+    scale = np.abs(matrix).max()
     basis = np.array(known).reshape(-1, size)
 
     def cleared(v: np.ndarray) -> np.ndarray:
@@ -125,8 +125,10 @@ def leading_eigenpairs(matrix: np.ndarray, count: int) -> tuple[np.ndarray, np.n
     """
     size, values, vectors = len(matrix), [], []
     scale = float(np.abs(matrix).sum(axis=1).max()) if size else 0.0
-    top, bottom = scale * (1 + 1e-9) + 1e-300, -scale * 1e-9 - 1e-300
-    narrow = 64 * np.finfo(float).eps * max(scale, 1e-290)
+    if not scale:
+        return np.zeros(min(count, size)), np.eye(size)[:, :count]
+    top, bottom = scale * (1 + 1e-9), -scale * 1e-9
+    narrow = 64 * np.finfo(float).eps * scale
     counts = {top: 0, bottom: size}
 
     def above(shift: float) -> int:
@@ -141,7 +143,7 @@ def leading_eigenpairs(matrix: np.ndarray, count: int) -> tuple[np.ndarray, np.n
             alone = counts[low] == number and counts[high] == number - 1
             if alone or high - low <= narrow:
                 value, vector, residual = _refined(matrix, low, high, vectors)
-                if low - narrow <= value <= high + narrow and residual <= 1e-11 * max(scale, 1e-290):
+                if low - narrow <= value <= high + narrow and residual <= 1e-11 * scale:
                     break
                 if high - low <= narrow:
                     raise ArithmeticError(f"no vector found for eigenvalue {number} near {low}")
