@@ -31,8 +31,8 @@ def bwt(sequence: np.ndarray, depth: int = DEPTH) -> np.ndarray:
 
 
 def index(sequence: np.ndarray, depth: int = DEPTH) -> tuple[np.ndarray, np.ndarray]:
-    """The transforms of a sequence and of its reverse."""
-    return bwt(sequence, depth), bwt(sequence[::-1], depth)
+    """The transforms of the reverse of a sequence and of the sequence itself."""
+    return bwt(sequence[::-1], depth), bwt(sequence, depth)
 
 
 @dataclass(frozen=True)
@@ -57,12 +57,15 @@ class Phrases:
 
 
 class FMIndex:
-    """Counts and one-word extensions of phrases, from the two transforms of a shard."""
+    """Counts and one-word extensions of phrases, from the two transforms of a shard.
 
-    def __init__(self, forward: np.ndarray, backward: np.ndarray):
+    Without the forward one, phrases can only be extended to the right.
+    """
+
+    def __init__(self, backward: np.ndarray, forward: np.ndarray | None = None):
         self._last = {"left": forward, "right": backward}
         self._step: dict[str, np.ndarray] = {}
-        counts = np.bincount(forward, minlength=1)
+        counts = np.bincount(backward, minlength=1)
         self._starts = np.cumsum(counts) - counts
         self._counts = counts
 

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from subsight.llm.fm_index import DEPTH, FMIndex, Phrases, index
 from subsight.llm.words import LOWER, mixed
-from subsight.sources.tables import materialize
+from subsight.sources.tables import materialize, shared_dir
 
 MIN_COUNT = 30
 #: A phrase goes if a longer one has at least this many percent of its count.
@@ -32,7 +32,9 @@ SCORE_SCALE = 2_000_000
 TOP = 2000
 NO_LANG = "und"
 #: A shard is closed beyond so many words (a single piece is never split).
-SHARD_WORDS = 1 << 21
+SHARD_WORDS = 1 << 20
+#: Shards of one file, as a task holds those of a file at once.
+SHARDS_PER_FILE = 4
 #: Bits of the filter of frequent phrases. Full or not, it never hides a frequent one: it only saves work.
 FILTER_BITS = 1 << 26
 _BLOCK_BYTES = 1 << 14
@@ -45,7 +47,7 @@ _BREAKS = frozenset(b".,;:!?\n\x0b\x0c\r")
 #: A-Z in lower case, and every sign that ends a piece as a line end.
 _PREPARED = bytes(10 if b in _BREAKS else LOWER[b] for b in range(256))
 _SPACES = re.compile(rb"[ \t]+")
-_SHARD = "lang string, words binary, forward binary, backward binary"
+_SHARD = "lang string, words binary, backward binary, forward binary"
 _COUNTED = "lang string, phrase string, f long"
 
 
@@ -72,12 +74,12 @@ class _Shard:
 
     def row(self, lang: str) -> dict:
         sequence = np.concatenate([np.zeros(1, dtype=np.int32), *self.pieces])
-        forward, backward = index(sequence)
+        backward, forward = index(sequence)
         return {
             "lang": lang,
             "words": b" ".join(self.numbers),
-            "forward": forward.astype("<i4").tobytes(),
             "backward": backward.astype("<i4").tobytes(),
+            "forward": forward.astype("<i4").tobytes(),
         }
 
 
@@ -93,7 +95,7 @@ def shards_of(docs: DataFrame) -> DataFrame:
                 if shard.numbers:
                     yield pa.RecordBatch.from_pylist([shard.row(lang)], schema)
 
-        schema = pa.schema([("lang", pa.string()), *[(n, pa.binary()) for n in ("words", "forward", "backward")]])
+        schema = pa.schema([("lang", pa.string()), *[(n, pa.binary()) for n in ("words", "backward", "forward")]])
         for batch in batches:
             for lang, text in zip(batch.column(0), batch.column(1)):
                 size += open_.setdefault(lang.as_py(), _Shard()).add(text.as_py() or b"")
@@ -203,10 +205,10 @@ def _summed(
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lang, listed, forward, backward in zip(*batch.columns):
+            for lang, listed, *transforms in zip(*batch.columns):
                 lang, listed = lang.as_py(), listed.as_py().decode().split(" ")
                 words = pa.array(["", *listed], pa.string())
-                fm = FMIndex(*[np.frombuffer(x.as_buffer(), dtype="<i4") for x in (forward, backward)])
+                fm = FMIndex(*[np.frombuffer(x.as_buffer(), dtype="<i4") for x in transforms])
                 if singles is None:
                     levels = iter([fm.words()])
                 else:
@@ -220,7 +222,9 @@ def _summed(
                             names=["lang", "phrase", "f"],
                         )
 
-    return shards.mapInArrow(counted, _COUNTED).groupBy("lang", "phrase").agg(F.sum("f").alias("f"))
+    # Words and pairs need one direction only.
+    read = shards if pairs else shards.drop("forward")
+    return read.mapInArrow(counted, _COUNTED).groupBy("lang", "phrase").agg(F.sum("f").alias("f"))
 
 
 def frequent_phrases(docs: DataFrame, min_count: int = MIN_COUNT, deepest: int = DEPTH) -> tuple[DataFrame, DataFrame]:
@@ -229,7 +233,9 @@ def frequent_phrases(docs: DataFrame, min_count: int = MIN_COUNT, deepest: int =
     Returns ``lang, phrase, f, size`` and ``lang, n``; both are written tables.
     """
     spark = docs.sparkSession
-    shards = materialize(shards_of(docs))
+    path = shared_dir(spark)
+    shards_of(docs).write.option("maxRecordsPerFile", SHARDS_PER_FILE).parquet(path)
+    shards = spark.read.schema(_SHARD).parquet(path)
     words = materialize(_summed(shards))
     totals = words.groupBy("lang").agg(F.sum("f").alias("n"))
     levels = [words.where(F.col("f") >= min_count)]
