@@ -17,16 +17,20 @@ DEPTH = 4
 
 
 def bwt(sequence: np.ndarray, depth: int = DEPTH) -> np.ndarray:
-    """The word before each position of a cyclic sequence, positions sorted by their next ``depth`` words."""
+    """The word before each position of a cyclic sequence, positions sorted by their next ``depth`` words.
+
+    Positions alike that deep stand in any order: no interval of a phrase up to that
+    depth ends between them.
+    """
     rank, known = sequence.astype(np.int64), 1
+    order = np.argsort(rank)
     while known < depth:
         key = rank * (int(rank.max(initial=0)) + 1) + np.roll(rank, -known)
         known = min(2 * known, depth)
-        order = np.argsort(key, kind="stable")
-        steps = np.empty(len(key), dtype=np.int64)
-        steps[order] = np.cumsum(np.diff(key[order], prepend=key[order[:1]]) != 0)
-        rank = steps
-    order = np.argsort(rank, kind="stable")
+        order = np.argsort(key)
+        if known < depth:
+            rank = np.empty(len(key), dtype=np.int64)
+            rank[order] = np.cumsum(np.diff(key[order], prepend=key[order[:1]]) != 0)
     return np.roll(sequence, 1)[order].astype(np.int32)
 
 

@@ -8,7 +8,6 @@ corpus are extended.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -32,9 +31,11 @@ SCORE_SCALE = 2_000_000
 TOP = 2000
 NO_LANG = "und"
 #: A shard is closed beyond so many words (a single piece is never split).
-SHARD_WORDS = 1 << 20
-#: Shards of one file, as a task holds those of a file at once.
-SHARDS_PER_FILE = 4
+SHARD_WORDS = 1 << 21
+#: Rows of one file, as a task holds those of a file at once.
+SHARDS_PER_FILE = 2
+#: Rows that one task counts one after the other, so that fewer counts have to move; small corpora use all cores first.
+SHARDS_PER_TASK = 32
 #: Bits of the filter of frequent phrases. Full or not, it never hides a frequent one: it only saves work.
 FILTER_BITS = 1 << 26
 _BLOCK_BYTES = 1 << 14
@@ -44,32 +45,40 @@ ROWS = 1 << 17
 PARTS = 256
 
 _BREAKS = frozenset(b".,;:!?\n\x0b\x0c\r")
-#: A-Z in lower case, and every sign that ends a piece as a line end.
-_PREPARED = bytes(10 if b in _BREAKS else LOWER[b] for b in range(256))
-_SPACES = re.compile(rb"[ \t]+")
+#: A-Z in lower case, a tab as a blank, and every sign that ends a piece as a line end.
+_PREPARED = bytes(10 if b in _BREAKS else 32 if b == 9 else LOWER[b] for b in range(256))
 _SHARD = "lang string, words binary, backward binary, forward binary"
 _COUNTED = "lang string, phrase string, f long"
 
 
+class _Numbers(dict):
+    """Numbers of words from 1 in the order they come; 0 is the end of a piece, -1 no word."""
+
+    def __init__(self) -> None:
+        super().__init__({b"\n": 0, b"": -1})
+
+    def __missing__(self, word: bytes) -> int:
+        number = self[word] = len(self) - 1
+        return number
+
+
 class _Shard:
-    """The words of one language in a shard, numbered as they come; 0 stands around each piece."""
+    """The words of one language in a shard as numbers; a 0 stands around each piece."""
 
     def __init__(self) -> None:
-        self.numbers: dict[bytes, int] = {}
+        self.numbers = _Numbers()
         self.pieces: list[np.ndarray] = []
 
     def add(self, text: bytes) -> int:
         """Number the words of a text; returns how many places they take."""
-        numbers, ids = self.numbers, []
         try:
             text.decode()
         except UnicodeDecodeError:
             text = text.decode("utf-8", "replace").encode()
-        for piece in text.translate(_PREPARED).split(b"\n"):
-            if words := [w for w in _SPACES.split(piece) if w]:
-                ids += [numbers.setdefault(w, len(numbers) + 1) for w in words]
-                ids.append(0)
-        self.pieces.append(np.array(ids, dtype=np.int32))
+        words = text.translate(_PREPARED).replace(b"\n", b" \n ").split(b" ")
+        ids = np.fromiter(map(self.numbers.__getitem__, words), dtype=np.int32, count=len(words))
+        ids = np.append(ids[ids >= 0], np.int32(0))
+        self.pieces.append(ids)
         return len(ids)
 
     def row(self, lang: str) -> dict:
@@ -77,7 +86,7 @@ class _Shard:
         backward, forward = index(sequence)
         return {
             "lang": lang,
-            "words": b" ".join(self.numbers),
+            "words": b" ".join(list(self.numbers)[2:]),
             "backward": backward.astype("<i4").tobytes(),
             "forward": forward.astype("<i4").tobytes(),
         }
@@ -92,7 +101,7 @@ def shards_of(docs: DataFrame) -> DataFrame:
 
         def closed() -> Iterator[pa.RecordBatch]:
             for lang, shard in open_.items():
-                if shard.numbers:
+                if len(shard.numbers) > 2:
                     yield pa.RecordBatch.from_pylist([shard.row(lang)], schema)
 
         schema = pa.schema([("lang", pa.string()), *[(n, pa.binary()) for n in ("words", "backward", "forward")]])
@@ -128,65 +137,79 @@ class Filter:
 
 
 def filter_of(frequent: DataFrame, bits: int = FILTER_BITS) -> Filter:
-    """Gather the bits of all frequent phrases: at most ``bits / 8`` bytes, however many there are."""
+    """Gather the bits of hashes ``h``: at most ``bits / 8`` bytes, however many there are."""
+    place = F.col("h").bitwiseAND(F.lit(bits - 1))
+    marks = frequent.select(
+        F.shiftright(place, 6).alias("place"), F.expr(f"shiftleft(1L, cast((h & {bits - 1}) % 64 AS int))").alias("mark")
+    )
+    places = marks.groupBy("place").agg(F.bit_or("mark").alias("mark"))
+    size = _BLOCK_BYTES // 8
+
+    def joined(key: tuple, rows: pa.Table) -> pa.Table:
+        block = np.zeros(size, dtype=np.int64)
+        block[rows["place"].to_numpy() % size] = rows["mark"].to_numpy()
+        return pa.table({"block": pa.array([key[0].as_py()], pa.int64()), "bytes": pa.array([block.tobytes()], pa.binary())})
+
+    blocks = places.withColumn("block", F.expr(f"place div {size}")).groupBy("block")
+    found = np.zeros(max(bits // 8, _BLOCK_BYTES), dtype=np.uint8)
+    for row in blocks.applyInArrow(joined, "block long, bytes binary").collect():
+        found[row["block"] * _BLOCK_BYTES :][:_BLOCK_BYTES] = np.frombuffer(row["bytes"], dtype=np.uint8)
+    return Filter(found[: bits // 8])
 
-    def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = np.zeros(bits // 8, dtype=np.uint8)
+
+def _hashed(words: DataFrame) -> DataFrame:
+    """The hashes ``h`` of single words."""
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lang in pc.unique(batch.column(0)).to_pylist():
-                phrases = batch.column(1).filter(pc.equal(batch.column(0), lang)).to_pylist()
-                words = np.array([[xxhash.xxh64_intdigest(w) for w in p.split(" ")] for p in phrases], dtype=np.uint64)
-                place = phrase_hashes(words, lang) & np.uint64(bits - 1)
-                np.bitwise_or.at(own, (place >> np.uint64(3)).astype(np.int64), (1 << (place & np.uint64(7))).astype(np.uint8))
-        places = np.flatnonzero(own)
-        for at in range(0, len(places), ROWS):
-            part = places[at : at + ROWS]
-            yield pa.RecordBatch.from_arrays([pa.array(part // 8, pa.int32()), pa.array(own[part].astype(np.int64) << 8 * (part % 8), pa.int64())], names=["place", "mark"])
+            langs, own = batch.column(0), np.array([xxhash.xxh64_intdigest(w) for w in batch.column(1).to_pylist()], dtype=np.uint64)
+            for lang in pc.unique(langs).to_pylist():
+                here = pc.equal(langs, lang).to_numpy(zero_copy_only=False)
+                yield pa.RecordBatch.from_arrays([_longs(phrase_hashes(own[here][:, None], lang))], names=["h"])
+
+    return words.select("lang", "phrase").mapInArrow(hashed, "h long")
+
+
+def _longs(hashes: np.ndarray) -> pa.Array:
+    return pa.array(hashes.view(np.int64))
+
+
+def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, pa.Array, FMIndex]]:
+    """Language, words (from 1) and index of each shard."""
+    for batch in batches:
+        for lang, listed, *transforms in zip(*batch.columns):
+            words = pa.array(["", *listed.as_py().decode().split(" ")], pa.string())
+            yield lang.as_py(), words, FMIndex(*[np.frombuffer(x.as_buffer(), dtype="<i4") for x in transforms])
 
-    def joined(key: tuple, rows: pa.Table) -> pa.Table:
-        block = np.zeros(_BLOCK_BYTES // 8, dtype=np.int64)
-        block[rows["place"].to_numpy() % len(block)] = rows["mark"].to_numpy()
-        return pa.table({"block": pa.array([key[0].as_py()], pa.int32()), "bytes": pa.array([block.tobytes()], pa.binary())})
-
-    words = frequent.select("lang", "phrase").mapInArrow(marked, "place int, mark long")
-    places = words.groupBy("place").agg(F.bit_or("mark").alias("mark"))
-    blocks = places.withColumn("block", (F.col("place") * 8 / _BLOCK_BYTES).cast("int"))
-    found = np.zeros(bits // 8, dtype=np.uint8)
-    for row in blocks.groupBy("block").applyInArrow(joined, "block int, bytes binary").collect():
-        part = np.frombuffer(row["bytes"], dtype=np.uint8)
-        found[row["block"] * _BLOCK_BYTES :][: len(part)] = part[: len(found)]
-    return Filter(found)
-
-
-def _candidates(
-    fm: FMIndex, words: np.ndarray, lang: str, singles: Filter, pairs: Filter | None, deepest: int
-) -> Iterator[Phrases]:
-    """The phrases of a shard that may be frequent, level by level.
-
-    Words are extended to the right, pairs to the left, triples to the right. With
-    ``pairs`` given, a longer phrase is one whose pairs may all be frequent.
-    """
 
-    def maybe(phrases: Phrases, at: int) -> np.ndarray:
-        pair = words[phrases.words[:, at : at + 2]]
-        return pairs.holds(phrase_hashes(pair, lang))
-
-    frequent = singles.holds(phrase_hashes(words[:, None], lang))
-    level = fm.words()
-    level = level.where(frequent[level.words[:, 0]])
-    if pairs is None:
-        level = fm.extend(level, "right")
-        yield level.where(frequent[level.words[:, 1]])
-        return
-    level = fm.extend(level, "right")
-    level = level.where(frequent[level.words[:, 1]])
-    level = level.where(maybe(level, 0))
-    for depth in range(3, deepest + 1):
-        side = "left" if depth % 2 else "right"
-        level = fm.extend(level, side)
-        level = level.where(frequent[level.words[:, 0 if side == "left" else -1]])
-        level = level.where(maybe(level, 0 if side == "left" else depth - 2))
+class _Grown:
+    """The phrases of a shard that may be frequent, level by level."""
+
+    def __init__(self, lang: str, words: pa.Array, fm: FMIndex, singles: Filter):
+        self.lang, self.fm = lang, fm
+        self.hashes = np.array([xxhash.xxh64_intdigest(w) for w in words.to_pylist()], dtype=np.uint64)
+        self.frequent = singles.holds(phrase_hashes(self.hashes[:, None], lang))
+
+    def hashes_of(self, words: np.ndarray) -> np.ndarray:
+        return phrase_hashes(self.hashes[words], self.lang)
+
+    def pairs(self) -> Phrases:
+        """Pairs of words that may both be frequent: words extended to the right."""
+        level = self.fm.words()
+        level = self.fm.extend(level.where(self.frequent[level.words[:, 0]]), "right")
+        return level.where(self.frequent[level.words[:, 1]])
+
+    def levels(self, pairs: Filter, deepest: int) -> Iterator[Phrases]:
+        """Phrases all of whose pairs may be frequent: pairs grow to the left, triples to the right."""
+        level = self.pairs()
+        level = level.where(pairs.holds(self.hashes_of(level.words)))
         yield level
+        for depth in range(3, deepest + 1):
+            side, at = ("left", 0) if depth % 2 else ("right", depth - 2)
+            level = self.fm.extend(level, side)
+            level = level.where(self.frequent[level.words[:, at if side == "left" else -1]])
+            level = level.where(pairs.holds(self.hashes_of(level.words[:, at : at + 2])))
+            yield level
 
 
 def _texts(words: pa.Array, phrases: np.ndarray) -> pa.Array:
@@ -194,61 +217,74 @@ def _texts(words: pa.Array, phrases: np.ndarray) -> pa.Array:
     return pc.binary_join_element_wise(*parts, " ")
 
 
-def _summed(
-    shards: DataFrame, singles: Broadcast | None = None, pairs: Broadcast | None = None, deepest: int = 2
-) -> DataFrame:
-    """Count phrases in every shard and sum across shards; ``lang, phrase, f``.
+def _rows(lang: str, words: pa.Array, level: Phrases) -> Iterator[pa.RecordBatch]:
+    for at in range(0, len(level), ROWS):
+        part = level.where(slice(at, at + ROWS))
+        columns = [pa.array([lang] * len(part), pa.string()), _texts(words, part.words), pa.array(part.counts, pa.int64())]
+        yield pa.RecordBatch.from_arrays(columns, names=["lang", "phrase", "f"])
+
+
+def _count_words(shards: DataFrame) -> DataFrame:
+    """All words with their counts, summed across shards; ``lang, phrase, f``."""
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for lang, words, fm in _read(batches):
+            yield from _rows(lang, words, fm.words())
+
+    rows = shards.drop("forward").mapInArrow(counted, _COUNTED)
+    return rows.groupBy("lang", "phrase").agg(F.sum("f").alias("f"))
+
+
+def _count_pairs(shards: DataFrame, singles: Broadcast) -> DataFrame:
+    """Pairs of frequent words with their counts, summed across shards, by hash; ``h, f``.
 
-    Without filters the phrases are single words, with ``singles`` pairs, with
-    ``pairs`` too all longer ones.
+    Where hashes fall together a pair counts too much: it is counted anew by its text later.
     """
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for lang, listed, *transforms in zip(*batch.columns):
-                lang, listed = lang.as_py(), listed.as_py().decode().split(" ")
-                words = pa.array(["", *listed], pa.string())
-                fm = FMIndex(*[np.frombuffer(x.as_buffer(), dtype="<i4") for x in transforms])
-                if singles is None:
-                    levels = iter([fm.words()])
-                else:
-                    hashes = np.array([0, *map(xxhash.xxh64_intdigest, listed)], dtype=np.uint64)
-                    levels = _candidates(fm, hashes, lang, singles.value, pairs and pairs.value, deepest)
-                for level in levels:
-                    for at in range(0, len(level), ROWS):
-                        part = level.where(slice(at, at + ROWS))
-                        yield pa.RecordBatch.from_arrays(
-                            [pa.array([lang] * len(part), pa.string()), _texts(words, part.words), pa.array(part.counts, pa.int64())],
-                            names=["lang", "phrase", "f"],
-                        )
-
-    # Words and pairs need one direction only.
-    read = shards if pairs else shards.drop("forward")
-    return read.mapInArrow(counted, _COUNTED).groupBy("lang", "phrase").agg(F.sum("f").alias("f"))
+        for lang, words, fm in _read(batches):
+            grown = _Grown(lang, words, fm, singles.value)
+            level = grown.pairs()
+            for at in range(0, len(level), ROWS):
+                part = level.where(slice(at, at + ROWS))
+                hashes = _longs(grown.hashes_of(part.words))
+                yield pa.RecordBatch.from_arrays([hashes, pa.array(part.counts, pa.int64())], names=["h", "f"])
+
+    rows = shards.drop("forward").mapInArrow(counted, "h long, f long")
+    return rows.groupBy("h").agg(F.sum("f").alias("f"))
+
+
+def _count_phrases(shards: DataFrame, singles: Broadcast, pairs: Broadcast, deepest: int) -> DataFrame:
+    """Phrases of two words and more whose pairs may be frequent, summed across shards; ``lang, phrase, f``."""
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for lang, words, fm in _read(batches):
+            for level in _Grown(lang, words, fm, singles.value).levels(pairs.value, deepest):
+                yield from _rows(lang, words, level)
+
+    return shards.mapInArrow(counted, _COUNTED).groupBy("lang", "phrase").agg(F.sum("f").alias("f"))
 
 
 def frequent_phrases(docs: DataFrame, min_count: int = MIN_COUNT, deepest: int = DEPTH) -> tuple[DataFrame, DataFrame]:
     """All phrases of one to ``deepest`` words with at least ``min_count`` occurrences, and the words of each language.
 
-    Returns ``lang, phrase, f, size`` and ``lang, n``; both are written tables.
+    Returns ``lang, phrase, f, size`` and ``lang, n``, both over written tables. A phrase
+    is counted by its text only if the words in it, and the pairs of neighbours in it, may
+    be frequent in the whole corpus; that is known from one pass each.
     """
-    spark = docs.sparkSession
-    path = shared_dir(spark)
-    shards_of(docs).write.option("maxRecordsPerFile", SHARDS_PER_FILE).parquet(path)
-    shards = spark.read.schema(_SHARD).parquet(path)
-    words = materialize(_summed(shards))
+    context = docs.sparkSession.sparkContext
+    path = shared_dir(docs.sparkSession)
+    shards_of(docs).write.option("maxRecordsPerFile", SHARDS_PER_FILE).option("compression", "zstd").parquet(path)
+    shards = docs.sparkSession.read.schema(_SHARD).parquet(path)
+    shards = shards.coalesce(max(2 * context.defaultParallelism, shards.count() // SHARDS_PER_TASK))
+    words = materialize(_count_words(shards))
     totals = words.groupBy("lang").agg(F.sum("f").alias("n"))
-    levels = [words.where(F.col("f") >= min_count)]
-    singles = spark.sparkContext.broadcast(filter_of(levels[0]))
-    levels.append(materialize(_summed(shards, singles).where(F.col("f") >= min_count)))
-    if deepest > 2:
-        pairs = spark.sparkContext.broadcast(filter_of(levels[1]))
-        levels.append(_summed(shards, singles, pairs, deepest).where(F.col("f") >= min_count))
-    everything = levels[0]
-    for level in levels[1:]:
-        everything = everything.unionByName(level)
-    sized = everything.withColumn("size", F.size(F.split("phrase", " ")))
-    return materialize(sized), totals
+    many = F.col("f") >= min_count
+    singles = context.broadcast(filter_of(_hashed(words.where(many))))
+    pairs = context.broadcast(filter_of(_count_pairs(shards, singles).where(many)))
+    longer = _count_phrases(shards, singles, pairs, deepest).where(many)
+    everything = words.where(many).unionByName(longer)
+    return materialize(everything.withColumn("size", F.size(F.split("phrase", " ")))), totals
 
 
 def _exact(column: Column | str) -> Column:

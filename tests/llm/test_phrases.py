@@ -91,12 +91,11 @@ def test_collocations_against_plain_counting(spark, monkeypatch, shard_words):
 
 
 def test_a_full_filter_hides_nothing(spark):
-    rows = texts(9)
-    docs = spark.createDataFrame([(t, lang) for t, lang in rows], "text string, lang string")
-    frequent = phrases._summed(phrases.shards_of(docs)).where("f >= 5")
+    docs = spark.createDataFrame(texts(9), "text string, lang string")
+    frequent = phrases._count_words(phrases.shards_of(docs)).where("f >= 5")
     held = {(r["lang"], r["phrase"]) for r in frequent.collect()}
     for bits in (64, 1 << 20):
-        made = phrases.filter_of(frequent, bits)
+        made = phrases.filter_of(phrases._hashed(frequent), bits)
         assert len(made.bits) == bits // 8
         for lang, word in held:
             hashed = np.array([[phrases.xxhash.xxh64_intdigest(word)]], dtype=np.uint64)
@@ -105,6 +104,14 @@ def test_a_full_filter_hides_nothing(spark):
     assert made.holds(phrases.phrase_hashes(others, "en")).mean() < 0.01
 
 
+@pytest.mark.parametrize("bits", [64, 256])
+def test_collocations_with_a_crowded_filter(spark, monkeypatch, bits):
+    rows = texts(5)
+    monkeypatch.setattr(phrases.filter_of, "__defaults__", (bits,))
+    docs = spark.createDataFrame(rows, "text string, lang string")
+    assert sorted(tuple(r) for r in phrases.collocations(docs, min_count=5, top=12).collect()) == brute(rows, 5, 12)
+
+
 def test_nothing_to_find(spark):
     empty = spark.createDataFrame([], SCHEMA)
     assert phrases.collocations(empty).collect() == []
