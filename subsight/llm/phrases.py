@@ -31,11 +31,11 @@ SCORE_SCALE = 2_000_000
 TOP = 2000
 NO_LANG = "und"
 #: A shard is closed beyond so many words (a single piece is never split).
-SHARD_WORDS = 1 << 21
+SHARD_WORDS = 1 << 20
 #: Rows of one file, as a task holds those of a file at once.
 SHARDS_PER_FILE = 2
 #: Rows that one task counts one after the other, so that fewer counts have to move; small corpora use all cores first.
-SHARDS_PER_TASK = 32
+SHARDS_PER_TASK = 64
 #: Bits of the filter of frequent phrases. Full or not, it never hides a frequent one: it only saves work.
 FILTER_BITS = 1 << 26
 _BLOCK_BYTES = 1 << 14
