@@ -35,7 +35,9 @@ SHARD_WORDS = 1 << 20
 #: Rows of one file, as a task holds those of a file at once.
 SHARDS_PER_FILE = 2
 #: Rows that one task counts one after the other, so that fewer counts have to move; small corpora use all cores first.
-SHARDS_PER_TASK = 64
+SHARDS_PER_TASK = 16
+#: Occurrences that are extended at once.
+BLOCK = 1 << 18
 #: Bits of the filter of frequent phrases. Full or not, it never hides a frequent one: it only saves work.
 FILTER_BITS = 1 << 26
 _BLOCK_BYTES = 1 << 14
@@ -193,23 +195,26 @@ class _Grown:
     def hashes_of(self, words: np.ndarray) -> np.ndarray:
         return phrase_hashes(self.hashes[words], self.lang)
 
-    def pairs(self) -> Phrases:
-        """Pairs of words that may both be frequent: words extended to the right."""
+    def pairs(self) -> Iterator[Phrases]:
+        """Pairs of words that may both be frequent, in blocks: words extended to the right."""
         level = self.fm.words()
-        level = self.fm.extend(level.where(self.frequent[level.words[:, 0]]), "right")
-        return level.where(self.frequent[level.words[:, 1]])
+        level = level.where(self.frequent[level.words[:, 0]])
+        cuts = np.flatnonzero(np.diff(np.cumsum(level.counts) // BLOCK, prepend=0)) + 1
+        for start, end in zip([0, *cuts], [*cuts, len(level)]):
+            block = self.fm.extend(level.where(slice(start, end)), "right")
+            yield block.where(self.frequent[block.words[:, 1]])
 
     def levels(self, pairs: Filter, deepest: int) -> Iterator[Phrases]:
         """Phrases all of whose pairs may be frequent: pairs grow to the left, triples to the right."""
-        level = self.pairs()
-        level = level.where(pairs.holds(self.hashes_of(level.words)))
-        yield level
-        for depth in range(3, deepest + 1):
-            side, at = ("left", 0) if depth % 2 else ("right", depth - 2)
-            level = self.fm.extend(level, side)
-            level = level.where(self.frequent[level.words[:, at if side == "left" else -1]])
-            level = level.where(pairs.holds(self.hashes_of(level.words[:, at : at + 2])))
+        for level in self.pairs():
+            level = level.where(pairs.holds(self.hashes_of(level.words)))
             yield level
+            for depth in range(3, deepest + 1):
+                side, at = ("left", 0) if depth % 2 else ("right", depth - 2)
+                level = self.fm.extend(level, side)
+                level = level.where(self.frequent[level.words[:, at if side == "left" else -1]])
+                level = level.where(pairs.holds(self.hashes_of(level.words[:, at : at + 2])))
+                yield level
 
 
 def _texts(words: pa.Array, phrases: np.ndarray) -> pa.Array:
@@ -244,11 +249,9 @@ def _count_pairs(shards: DataFrame, singles: Broadcast) -> DataFrame:
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for lang, words, fm in _read(batches):
             grown = _Grown(lang, words, fm, singles.value)
-            level = grown.pairs()
-            for at in range(0, len(level), ROWS):
-                part = level.where(slice(at, at + ROWS))
-                hashes = _longs(grown.hashes_of(part.words))
-                yield pa.RecordBatch.from_arrays([hashes, pa.array(part.counts, pa.int64())], names=["h", "f"])
+            for level in grown.pairs():
+                hashes = _longs(grown.hashes_of(level.words))
+                yield pa.RecordBatch.from_arrays([hashes, pa.array(level.counts, pa.int64())], names=["h", "f"])
 
     rows = shards.drop("forward").mapInArrow(counted, "h long, f long")
     return rows.groupBy("h").agg(F.sum("f").alias("f"))
@@ -276,7 +279,7 @@ def frequent_phrases(docs: DataFrame, min_count: int = MIN_COUNT, deepest: int =
     path = shared_dir(docs.sparkSession)
     shards_of(docs).write.option("maxRecordsPerFile", SHARDS_PER_FILE).option("compression", "zstd").parquet(path)
     shards = docs.sparkSession.read.schema(_SHARD).parquet(path)
-    shards = shards.coalesce(max(2 * context.defaultParallelism, shards.count() // SHARDS_PER_TASK))
+    shards = shards.coalesce(max(4 * context.defaultParallelism, shards.count() // SHARDS_PER_TASK))
     words = materialize(_count_words(shards))
     totals = words.groupBy("lang").agg(F.sum("f").alias("n"))
     many = F.col("f") >= min_count
