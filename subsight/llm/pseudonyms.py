@@ -15,8 +15,11 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import types as T
 
 ROUNDS = 8
+#: Letters and digits permuted as one number.
+BLOCK = 64
 FIRST_DAY = datetime.date(1900, 1, 1).toordinal()
 DAYS = datetime.date(2100, 1, 1).toordinal() - FIRST_DAY
 
@@ -120,19 +123,23 @@ def _ip(f: Feistel, text: str) -> str | None:
 
 
 def _mixed(f: Feistel, kind: str, text: str) -> str:
-    """Permute letters and digits, each within its class; other characters stay."""
+    """Permute letters and digits, each within its class; other characters stay.
+
+    A long text is permuted in blocks, so that no number grows with it.
+    """
     classes = {"0": 10, "a": 26, "A": 26}
     places = [(i, "0" if c in "0123456789" else "a" if "a" <= c <= "z" else "A") for i, c in enumerate(text) if c.isascii() and c.isalnum()]
-    value, size = 0, 1
-    for i, k in places:
-        value, size = value * classes[k] + ord(text[i]) - ord(k), size * classes[k]
-    if size == 1:
-        return text
-    value = f.permute(kind + "".join(k for _, k in places), value, size)
     out = list(text)
-    for i, k in reversed(places):
-        value, rest = divmod(value, classes[k])
-        out[i] = chr(ord(k) + rest)
+    for at in range(0, len(places), BLOCK):
+        block = places[at : at + BLOCK]
+        value, size = 0, 1
+        for i, k in block:
+            value, size = value * classes[k] + ord(text[i]) - ord(k), size * classes[k]
+        number = str(at // BLOCK) if at else ""
+        value = f.permute(kind + number + "".join(k for _, k in block), value, size)
+        for i, k in reversed(block):
+            value, rest = divmod(value, classes[k])
+            out[i] = chr(ord(k) + rest)
     return "".join(out)
 
 
@@ -194,14 +201,26 @@ _KINDS: tuple[tuple[str, str, Callable[[Feistel, str], str | None]], ...] = (
 )
 _FORMS = [(kind, re.compile(form, re.ASCII), make) for kind, form, make in _KINDS]
 _ANY = re.compile(r"[0-9@]")
+#: Kinds written in groups, and what stands between groups.
+GROUPED = ("iban", "card")
+_GAP = re.compile(r"[ -]")
 KINDS = tuple(kind for kind, _, _ in _KINDS)
 
 
+def _shorter(kind: str, value: str) -> Iterator[str]:
+    """The value itself, then without its last groups: a form may have run into the text behind it."""
+    yield value
+    if kind in GROUPED:
+        for gap in reversed([m.start() for m in _GAP.finditer(value)]):
+            yield value[:gap]
+
+
 def pseudonymise(text: str | None, feistel: Feistel) -> tuple[str | None, dict[str, int]]:
     """The text with pseudonyms, and how many values of each kind it held.
 
     Kinds are taken in the order of ``KINDS``; what one kind has replaced no
-    later kind touches.
+    later kind touches. Of a run of groups the longest beginning that is valid
+    is taken, so that a number may stand before another or before capitals.
     """
     counts = dict.fromkeys(KINDS, 0)
     if not text or not _ANY.search(text):
@@ -210,15 +229,20 @@ def pseudonymise(text: str | None, feistel: Feistel) -> tuple[str | None, dict[s
     for kind, form, make in _FORMS:
         split: list[tuple[str, bool]] = []
         for piece, done in pieces:
-            at = 0
-            for found in () if done else form.finditer(piece):
-                image = make(feistel, found[0])
-                if image is None:
-                    continue
-                split += [(piece[at : found.start()], False), (image, True)]
+            kept = at = 0
+            while not done and (found := form.search(piece, at)):
                 at = found.end()
-                counts[kind] += 1
-            split.append((piece[at:], done))
+                for value in _shorter(kind, found[0]):
+                    # What is left of the form after a cut must have the form's own size.
+                    if value != found[0] and not form.fullmatch(value):
+                        continue
+                    image = make(feistel, value)
+                    if image is not None:
+                        split += [(piece[kept : found.start()], False), (image, True)]
+                        kept = at = found.start() + len(value)
+                        counts[kind] += 1
+                        break
+            split.append((piece[kept:], done))
         pieces = split
     return "".join(piece for piece, _ in pieces), counts
 
@@ -226,8 +250,12 @@ def pseudonymise(text: str | None, feistel: Feistel) -> tuple[str | None, dict[s
 def replace_personal_data(docs: DataFrame, key: bytes, text_col: str = "text") -> DataFrame:
     """Replace personal data in ``text_col``; add ``found``, a map from kind to count.
 
-    A column named ``found`` is replaced, others stay. Null texts stay null,
-    empty ones empty. A kind that a text does not hold is not in its map.
+    A column named ``found`` is replaced, others stay, whatever their names and types.
+    Null texts stay null, empty ones empty; texts and values of any length are done
+    whole; rows that repeat come back as often; an empty table gives an empty one. A
+    kind that a text does not hold is not in its map. Told are international and North
+    American phone numbers, not national ones of other countries, and dates in digits
+    only; IPv6 addresses and e-mail names beyond ASCII are not told.
     """
 
     def per_batch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -241,5 +269,5 @@ def replace_personal_data(docs: DataFrame, key: bytes, text_col: str = "text") -
             yield pa.RecordBatch.from_arrays([*columns, found], names=[*batch.schema.names, "found"])
 
     rows = docs.drop("found")
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
-    return rows.mapInArrow(per_batch, f"{kinds}, found map<string,int>")
+    found_type = T.MapType(T.StringType(), T.IntegerType())
+    return rows.mapInArrow(per_batch, T.StructType([*rows.schema.fields, T.StructField("found", found_type)]))

@@ -17,7 +17,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from subsight.functions.joins import HOT_SHARE, split_join
 from subsight.llm.components import connected
 from subsight.llm.words import lower_words
 from subsight.sources.tables import materialize
@@ -70,9 +72,8 @@ def add_fingerprint(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             signed = pa.array(np.array(prints, dtype=np.uint64).view(np.int64))
             yield pa.RecordBatch.from_arrays([batch.column(0), signed], names=[id_col, "fingerprint"])
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    rows = docs.select(F.col(id_col), F.col(text_col).cast("binary").alias("_text"))
-    return rows.mapInArrow(per_batch, f"`{id_col}` {kind}, fingerprint bigint")
+    schema = T.StructType([docs.schema[id_col], T.StructField("fingerprint", T.LongType())])
+    return docs.select(F.col(id_col), F.col(text_col).cast("binary")).mapInArrow(per_batch, schema)
 
 
 def _signed(value: int) -> int:
@@ -150,7 +151,8 @@ def near_duplicates(
     Null and empty texts share fingerprint 0.
     """
     prints = materialize(add_fingerprint(docs, id_col, text_col, shingle_words))
-    classes = materialize(prints.groupBy("fingerprint").agg(F.min(id_col).alias("least")))
+    grouped = prints.groupBy("fingerprint").agg(F.min(id_col).alias("least"), F.count("*").alias("n"))
+    classes = materialize(grouped)
     rooted = materialize(connected(near_pairs(classes, max_bits), "a", "b"))
     linked = classes.join(rooted, F.col("fingerprint") == F.col("node")).select("fingerprint", "root", "least")
     names = linked.groupBy("root").agg(F.min("least").alias("component_id"))
@@ -158,4 +160,8 @@ def near_duplicates(
     of_class = classes.join(of_linked, "fingerprint", "left").select(
         "fingerprint", F.coalesce("component_id", "least").alias("component_id")
     )
-    return prints.join(of_class, "fingerprint").select(id_col, "fingerprint", "component_id")
+    rows = classes.agg(F.sum("n").alias("rows")).scalar()
+    # Fewer than ``HOT_SHARE`` rows: the rows of a common fingerprint are split over tasks.
+    hot = classes.where(F.col("n") * HOT_SHARE > rows).select("fingerprint")
+    found = split_join(prints, of_class, "fingerprint", spread_by=id_col, hot=hot)
+    return found.select(id_col, "fingerprint", "component_id")

@@ -16,7 +16,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from subsight.llm.columns import unused_name
 from subsight.llm.words import CACHE_WORDS, lower_words
 from subsight.sources.tables import materialize
 
@@ -182,8 +184,9 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> Mod
 def add_score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """Add ``score`` (0 to 1), replacing a column of that name.
 
-    Only the text is read. Null and empty texts get the score of a text without
-    known terms. Other columns and repeated rows stay as they are.
+    Only the text is read, the whole of it however long. Null and empty texts get the
+    score of a text without known terms. Other columns, whatever their names, and
+    repeated rows stay as they are; an empty table gives an empty one.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)  # its size is bounded by TERMS
 
@@ -191,14 +194,15 @@ def add_score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFram
         learnt = shared.value
         terms = _Terms(learnt.known)
         for batch in batches:
-            scores = pa.array([learnt.score(terms.of(t.as_py())) for t in batch.column("_text")], pa.float64())
-            rest = batch.drop_columns(["_text"])
-            yield pa.RecordBatch.from_arrays([*rest.columns, scores], names=[*rest.schema.names, "score"])
+            *kept, texts = batch.columns
+            scores = pa.array([learnt.score(terms.of(t.as_py())) for t in texts], pa.float64())
+            yield pa.RecordBatch.from_arrays([*kept, scores], names=names)
 
     rows = docs.drop("score")
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
-    with_text = rows.withColumn("_text", F.col(text_col).cast("binary"))
-    return with_text.mapInArrow(per_batch, f"{kinds}, score double")
+    schema = T.StructType([*rows.schema.fields, T.StructField("score", T.DoubleType())])
+    names = schema.names
+    with_text = rows.withColumn(unused_name(rows, "own_text"), F.col(text_col).cast("binary"))
+    return with_text.mapInArrow(per_batch, schema)
 
 
 def is_held_out(doc_id: str = "doc_id"):

@@ -84,3 +84,58 @@ def test_near_duplicates_keep_one(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     kept = corpus_pipeline.drop_near_duplicates(spark, docs, "")
     assert sorted(r.doc_id for r in kept.collect()) == [1, 3, 4]
+
+
+DOCS = "doc_id long, text string, lang string, source string, n_chars int, score double, _text string, _kept_score int, row_key string"
+
+
+def rows_of_docs(spark, pairs):
+    return spark.createDataFrame([(i, t, "en", "s", 1, 0.5, "t", 1, "r") for i, t in pairs], DOCS)
+
+
+LONG = "a long text of ordinary words that says nothing much at all " * 3000
+PAIRS = [
+    (3, "one two three four five six"),
+    (5, "one two three four five six"),
+    (5, "seven eight nine ten eleven twelve"),
+    (None, "one two three four five six"),
+    (None, "words of a text that has no id at all"),
+    (None, "words of a text that has no id at all"),
+    (None, "another text that has no id and is alone"),
+    (7, None),
+    (8, ""),
+    (9, LONG),
+    (9, LONG),
+]
+
+
+def test_near_duplicates_lose_no_text(spark):
+    """One row of each component; ids that repeat or lack join nothing."""
+    kept = corpus_pipeline.drop_near_duplicates(spark, rows_of_docs(spark, PAIRS), "")
+    assert kept.columns == [c.split()[0] for c in DOCS.split(", ")]
+    found = sorted(((r.doc_id, r.text) for r in kept.collect()), key=str)
+    assert found == sorted(
+        [
+            (3, "one two three four five six"),
+            (5, "seven eight nine ten eleven twelve"),
+            (None, "words of a text that has no id at all"),
+            (None, "another text that has no id and is alone"),
+            (7, None),
+            (9, LONG),
+        ],
+        key=str,
+    )
+
+
+def test_stages_on_odd_rows(spark):
+    """Null, empty, long and repeated rows, extra columns of helper names and empty tables pass every stage."""
+    docs = rows_of_docs(spark, PAIRS)
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, SF)
+        assert out.columns[: len(docs.columns)] == docs.columns, name
+        rows = sorted(((r.doc_id, r.text) for r in out.collect()), key=str)
+        if name in ("toxicity", "line dedup", "benchmark decontamination"):
+            assert rows == sorted(PAIRS, key=str), name
+        else:
+            assert {t for _, t in rows} <= {t for _, t in PAIRS}, name
+        assert stage(spark, docs.limit(0), SF).count() == 0, name

@@ -115,3 +115,23 @@ def test_items_are_found(spark):
     assert clean.columns == docs.columns
     assert decontaminate.find_items(docs.limit(0), benchmark).count() == 0
     assert decontaminate.find_items(docs, benchmark.limit(0)).count() == 0
+
+
+def test_long_names_and_values_before_other_groups():
+    from subsight.llm.pseudonyms import Feistel, pseudonymise
+
+    feistel = Feistel(b"k")
+    for size in (65, 4_000, 1_000_000):
+        text, found = pseudonymise("a" * size + "@example.org", feistel)
+        assert found["email"] == 1 and len(text) == size + 12 and text[:size] != "a" * size
+    a, b = (pseudonymise("x" * 64 + c + "@example.org", feistel)[0] for c in "yz")
+    assert a != b
+    values = {"iban": ["DE89370400440532013000", "DE89 3704 0044 0532 0130 00"], "card": ["4495114827612972", "4495 1148 2761 2972"]}
+    for kind, forms in values.items():
+        for value in forms:
+            alone, found = pseudonymise(value, feistel)
+            assert found[kind] == 1 and alone != value
+            for before in ("", "no ", "(", "X: "):
+                for after in ("", " EUR 50", " 12/27", " 123", " BIC COBADEFF", ".", ", 5", ")"):
+                    text, found = pseudonymise(before + value + after, feistel)
+                    assert (text, found[kind]) == (before + alone + after, 1), (before, value, after)
