@@ -134,3 +134,5 @@ DISCOUNT_RATE = 0.10
 HISTOGRAM_BINS = 50
 CLV_PLOT_RANGE = (-7.36, 41.0)
 DENSITY_POINTS = 100
+
+PERCENTILES = [0.05, 0.25, 0.5, 0.75, 0.95]

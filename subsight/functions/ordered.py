@@ -81,6 +81,26 @@ def running_totals(
     ).drop("_range", *[f"_before_{name}" for name in sums])
 
 
+def with_next(
+    df: DataFrame, order: str, values: dict[str, str], cuts: list[float] | None = None, descending: bool = False
+) -> DataFrame:
+    """Add values of the next row in the order of a unique column; NULL in the last row.
+
+    ``values`` maps new column to the one it is taken from. Each range of the order is
+    sorted by its own task, and the last row of a range looks at the first of the
+    next one: one row per range meets the others in one place.
+    """
+    ranged = _add_range(df, order, cuts or [])
+    direction, first_by = (F.desc, F.max_by) if descending else (F.asc, F.min_by)
+    row = F.struct(*[F.col(source).alias(name) for name, source in values.items()])
+    after = F.lead("_first").over(W.orderBy(direction("_range"))).alias("_after")
+    firsts = ranged.groupBy("_range").agg(first_by(row, order).alias("_first")).select("_range", after)
+    inside = F.lead(row).over(W.partitionBy("_range").orderBy(direction(order)))
+    seen = ranged.withColumn("_next", inside).join(F.broadcast(firsts), "_range", "left")
+    following = F.coalesce("_next", "_after")
+    return seen.withColumns({name: following[name] for name in values}).drop("_range", "_next", "_after")
+
+
 def exact_median(df: DataFrame, col: str) -> Column:
     """Exact median as a scalar subquery; the built-in one holds all values in one task."""
     counted = df.where(F.col(col).isNotNull()).groupBy(col).agg(F.count("*").alias("n"))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from subsight.constants import TIER_UPPER_BOUNDS
+from subsight.functions.intervals import assign_interval
 
 
 def tier_of(date_col: str, bounds: list[str] = TIER_UPPER_BOUNDS) -> Column:
@@ -42,17 +43,6 @@ def assign_tier_from_table(
 ) -> DataFrame:
     """Add ``tier`` from a table of bands, for bands that are data, not code.
 
-    Each row takes the band with the smallest upper bound it does not pass, so
-    the bands become one sorted array (a handful of dates) that rides along as
-    a scalar subquery. Rows stay where they are: no join, no shuffle.
+    Each row takes the band with the smallest upper bound it does not pass.
     """
-    bands = bounds.agg(F.sort_array(F.collect_list(F.struct("hi", "lo", "tier"))).alias("b")).scalar()
-    day = F.col(date_col)
-    match = F.filter(
-        F.col("_bands"), lambda b: (day <= b["hi"]) & (b["lo"].isNull() | (day > b["lo"]))
-    )
-    return (
-        df.withColumn("_bands", bands)
-        .withColumn("tier", F.try_element_at(match, F.lit(1))["tier"])
-        .drop("_bands")
-    )
+    return assign_interval(df, bounds, date_col, "lo", "hi", "tier")

@@ -10,6 +10,10 @@ from pyspark.sql import functions as F
 from subsight.constants import DENSITY_POINTS, HISTOGRAM_BINS
 from subsight.functions.sizes import small_side
 
+#: Bins of a binned density curve in one bandwidth, and bandwidths beyond which a value adds nothing.
+BINS_PER_BANDWIDTH = 64
+REACH = 8
+
 
 def _edge(low: Column, high: Column, bins: int, number: Column) -> Column:
     """Left edge of a bin; the last edge is the upper end itself."""
@@ -160,3 +164,58 @@ def kde_by(df: DataFrame, group: str, col: str, points: int = DENSITY_POINTS) ->
     kept = [F.first(p).alias(p) for p in ("n", "h", "start", "step")]
     summed = known.join(frames, group).groupBy(group).agg(*kept, *_heights(col, points))
     return _curve(summed, points, group)
+
+
+def kde_binned(
+    df: DataFrame,
+    col: str,
+    group: str | None = None,
+    points: int = DENSITY_POINTS,
+    per_bandwidth: int = BINS_PER_BANDWIDTH,
+) -> DataFrame:
+    """Density curve (per group) from binned values: rows are read once, whatever the number of points.
+
+    Each value is shared between the two nearest centres of a fine grid, the nearer
+    one getting more (linear binning). The kernel then runs over bins, and only
+    over the points within ``REACH`` bandwidths. The curve differs from the exact one
+    by at most ``1 / (8 * per_bandwidth ** 2)`` of the kernel's largest curvature, 3e-5 of
+    the height of a lone value's bump as it stands. The number of bins depends on the range
+    of the values in bandwidths. A group without spread has no curve.
+    """
+    keys = [group] if group else []
+    value = F.col(col)
+    known = df.where(value.isNotNull()).select(*keys, col)
+    known = known.where(F.col(group).isNotNull()) if group else known
+    frame = [*_curve_frame(value, points), F.min(value).alias("low")]
+    framed = known.groupBy(*keys).agg(*frame).where(F.col("h") > 0)
+    place = F.expr(f"({col} - low) / (h / {per_bandwidth})")
+    beyond = place - F.floor(place)
+    if group:
+        placed = known.join(framed, group)
+    else:  # one row
+        placed = known.join(F.broadcast(framed))
+    bins = placed.groupBy(*keys, F.floor(place).alias("bin")).agg(
+        F.sum(1 - beyond).alias("here"), F.sum(beyond).alias("next")
+    )
+    bins = bins.join(F.broadcast(framed)) if not group else bins.join(framed, group)
+    centre = F.col("low") + F.col("bin") * F.col("h") / per_bandwidth
+
+    def nearest(x: Column) -> Column:
+        return F.greatest(F.lit(0), F.least(F.lit(points - 1), F.floor((x - F.col("start")) / F.col("step")).cast("int")))
+
+    reach = REACH * F.col("h")
+    spread = bins.withColumn("_at", centre).withColumn(
+        "point", F.explode(F.sequence(nearest(F.col("_at") - reach), nearest(F.col("_at") + reach)))
+    )
+    z = f"((start + point * step - _at - h / {per_bandwidth} * {{}}) / h)"
+    bump = "{} * exp(-0.5e0 * {z} * {z})"
+    height = F.expr(f"sum({bump.format('here', z=z.format(0))} + {bump.format('next', z=z.format(1))})")
+    heights = spread.groupBy(*keys, "point").agg(height.alias("height"))
+    numbers = framed.withColumn("point", F.explode(F.sequence(F.lit(0), F.lit(points - 1))))
+    area = F.col("n") * F.col("h") * math.sqrt(2 * math.pi)
+    return numbers.join(heights, [*keys, "point"], "left").select(
+        *keys,
+        "point",
+        (F.col("start") + F.col("point") * F.col("step")).alias("x"),
+        (F.coalesce("height", F.lit(0e0)) / area).alias("density"),
+    )

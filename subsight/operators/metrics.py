@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from subsight.functions.ordered import range_cuts, running_totals
+from subsight.functions.ordered import range_cuts, running_totals, with_next
 
 
 def _cells(df: DataFrame, label: str, prediction: str) -> DataFrame:
@@ -89,20 +89,27 @@ def _by_score(df: DataFrame, label: str, score: str) -> DataFrame:
     )
 
 
-def roc(df: DataFrame, label: str = "churn", score: str = "prob") -> DataFrame:
-    """ROC points, one per distinct score, plus the start (NULL threshold, 0, 0)."""
+def roc(df: DataFrame, label: str = "churn", score: str = "prob", drop_intermediate: bool = False) -> DataFrame:
+    """ROC points, one per distinct score, plus the start (NULL threshold, 0, 0).
+
+    With ``drop_intermediate`` a point goes if the step to it and the step from it
+    are the same, so that it lies on the line between its neighbours; the first and the
+    last point stay.
+    """
     grouped = _by_score(df, label, score)
     totals = grouped.agg(F.struct(F.sum("pos").alias("p"), F.sum("neg").alias("n"))).scalar()
-    points = (
-        running_totals(
-            grouped, "threshold", {"tp": "pos", "fp": "neg"}, range_cuts(df, score), descending=True
-        )
-        .withColumn("_all", totals)
-        .select(
-            "threshold",
-            F.try_divide("fp", F.col("_all")["n"]).alias("fpr"),
-            F.try_divide("tp", F.col("_all")["p"]).alias("tpr"),
-        )
+    cuts = range_cuts(df, score)
+    points = running_totals(grouped, "threshold", {"tp": "pos", "fp": "neg"}, cuts, descending=True)
+    if drop_intermediate:
+        beside = with_next(points, "threshold", {"_pos": "pos", "_neg": "neg"}, cuts, descending=True)
+        same = (F.col("pos") == F.col("_pos")) & (F.col("neg") == F.col("_neg"))
+        # The first point is the only one whose running totals are its own counts.
+        first = (F.col("tp") == F.col("pos")) & (F.col("fp") == F.col("neg"))
+        points = beside.where(first | ~F.coalesce(same, F.lit(False)))
+    points = points.withColumn("_all", totals).select(
+        "threshold",
+        F.try_divide("fp", F.col("_all")["n"]).alias("fpr"),
+        F.try_divide("tp", F.col("_all")["p"]).alias("tpr"),
     )
     start = df.sparkSession.range(1).select(
         F.lit(None).cast("double").alias("threshold"), F.lit(0e0).alias("fpr"), F.lit(0e0).alias("tpr")

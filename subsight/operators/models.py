@@ -57,7 +57,7 @@ class TrainingData:
 
 
 def training_data(people: DataFrame, max_train_rows: int = MAX_TRAIN_ROWS) -> TrainingData:
-    """Encode, split, scale on train rows and assemble.
+    """Encode, split exactly, scale on train rows, deal folds evenly by class and assemble.
 
     Scaling sees all train rows; fits see about ``max_train_rows`` of them. Test
     rows and those to score are never thinned. The merged rows are written once, as encoding and scaling look at them
@@ -66,19 +66,20 @@ def training_data(people: DataFrame, max_train_rows: int = MAX_TRAIN_ROWS) -> Tr
     """
     rows = materialize(people.select("subid", LABEL, *NUMERIC_FEATURES, *CATEGORICAL_FEATURES))
     encoded, dummies = prep.one_hot(rows)
-    train, _ = prep.split(encoded)
+    held_out = prep.is_within(prep.split_bound(rows))
+    train = encoded.where(~held_out)
     names = NUMERIC_FEATURES + dummies
     # The assembler reads dots in a name as nested fields.
     plain = [f"f{i}" for i in range(len(names))]
     scaled = prep.minmax(encoded, train).select(
         "subid",
         F.col(LABEL).cast("double").alias(LABEL),
-        prep.fold_of().alias("fold"),
-        prep.is_test_row().alias("is_test"),
+        held_out.alias("is_test"),
         *[F.col(f"`{name}`").cast("double").alias(p) for name, p in zip(names, plain)],
     )
+    folded = prep.stratified_folds(scaled, LABEL, within=("is_test",))
     table = materialize(
-        prep.assemble(scaled, plain).select("subid", LABEL, "fold", "is_test", "features")
+        prep.assemble(folded, plain).select("subid", LABEL, "fold", "is_test", "features")
     )
     train_rows = table.where(~F.col("is_test")).drop("is_test")
     share = max_train_rows / max(1, train_rows.count())

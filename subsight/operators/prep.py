@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -17,11 +19,15 @@ from subsight.constants import (
     TEST_SHARE,
     UNUSED_COLUMNS,
 )
-from subsight.functions.hashing import SEED, hash_uniform
+from subsight.functions.hashing import SEED, hash_text, hash_uniform
+from subsight.functions.ordered import group_positions
 from subsight.functions.sizes import small_side
 from subsight.operators.counts import null_shares
 
 SLOTS = 256
+#: Hash digits counted in one pass of an exact split; a cell with at most so many rows is looked through.
+PREFIX = 4
+MAX_CELL = 10_000
 
 
 def prune_null_columns(df: DataFrame, max_percent: float = MAX_NULL_PERCENT) -> DataFrame:
@@ -137,6 +143,62 @@ def split(
     return df.where(~held_out), df.where(held_out)
 
 
+def split_bound(df: DataFrame, share: float = TEST_SHARE, key: str = "subid", seed=SEED) -> str:
+    """The largest hash of a test row, such that exactly ``ceil(share * rows)`` rows are test rows.
+
+    Selects the k-th smallest hash by counts per prefix, without moving a row: at
+    most ``16 ** PREFIX`` counts come back for each of one to three passes over the
+    key, then the hashes of one cell. Rows that repeat a key stand on the same side.
+    """
+    hashes = df.select(hash_text(key, "split", seed).alias("_hash"))
+    prefix, wanted = "", None
+    while True:
+        inside = hashes.where(F.col("_hash").startswith(prefix)) if prefix else hashes
+        cell = F.substring("_hash", 1, len(prefix) + PREFIX).alias("cell")
+        counted = sorted((r["cell"], r["n"]) for r in inside.groupBy(cell).agg(F.count("*").alias("n")).collect())
+        if wanted is None:
+            wanted = math.ceil(share * sum(n for _, n in counted))
+            if not wanted:
+                return ""
+        for prefix, n in counted:
+            if wanted <= n:
+                break
+            wanted -= n
+        if n <= MAX_CELL or len(prefix) >= 32:
+            break
+    last = hashes.where(F.col("_hash").startswith(prefix)).orderBy("_hash").limit(wanted)
+    return last.agg(F.max("_hash")).first()[0]
+
+
+def is_within(bound: str, key: str = "subid", seed=SEED) -> Column:
+    """True for the rows held out by a bound of ``split_bound``."""
+    return hash_text(key, "split", seed) <= bound
+
+
+def exact_split(
+    df: DataFrame, share: float = TEST_SHARE, key: str = "subid", seed=SEED
+) -> tuple[DataFrame, DataFrame]:
+    """Train and test rows; exactly ``ceil(share * rows)`` are test rows. ``df`` is read more than once."""
+    held_out = is_within(split_bound(df, share, key, seed), key, seed)
+    return df.where(~held_out), df.where(held_out)
+
+
+def stratified_folds(
+    df: DataFrame, label: str = "churn", key: str = "subid", k: int = FOLDS, seed=SEED, within: tuple[str, ...] = ()
+) -> DataFrame:
+    """Add ``fold`` 0..k-1 so that the rows of a class are dealt evenly: counts differ by one at most.
+
+    Rows are numbered in hash order inside each class (and inside ``within``) over
+    ranges of the hash, so no task orders a whole class. NULL is a class too.
+    """
+    names = [F.coalesce(F.col(c).cast("string"), F.lit("null")) for c in (*within, label)]
+    hashed = df.withColumn("_hash", hash_text(key, "fold", seed)).withColumns(
+        {"_class": F.concat_ws(":", *names), "_step": F.substring("_hash", 1, PREFIX)}
+    )
+    numbered = group_positions(hashed, "_class", "_step", "_hash")
+    return numbered.withColumn("fold", (F.col("position") % k).cast("int")).drop("_hash", "_class", "_step", "position")
+
+
 def fold_of(key: str = "subid", k: int = FOLDS, seed=SEED) -> Column:
     """Fold number 0..k-1, decided by the key alone."""
     return F.floor(hash_uniform(key, "fold", seed) * k).cast("int")

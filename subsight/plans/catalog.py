@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from subsight import constants as C
-from subsight.functions import tiers
+from subsight.functions import intervals, sketches, tiers
 from subsight.operators import (
     abtest,
     acquisition,
@@ -206,6 +206,16 @@ def tier_assign_range_join(t: StarInputs) -> DataFrame:
     return tiers.assign_tier_from_table(t.subscribers, bounds).select("subid", "tier")
 
 
+@query
+def band_lookup(t: StarInputs) -> DataFrame:
+    """Balances by a table of as many overlapping bands as there are parts."""
+    parts = t.spark.read.parquet(f"{t.directory}/part.parquet")
+    low = (F.col("p_partkey") * 7919 % 12000 - 1500).cast("double")
+    bands = parts.select(F.col("p_partkey").alias("band"), low.alias("lo"), (low + F.col("p_size") * 10).alias("hi"))
+    balances = t.spark.read.parquet(f"{t.directory}/customer.parquet").select("c_custkey", "c_acctbal")
+    return intervals.assign_interval(balances, bands, "c_acctbal").select("c_custkey", "band")
+
+
 @query
 def null_share_by_column(t: StarInputs) -> DataFrame:
     return counts.null_shares(eng.engaged_only(t.subscribers, t.engagement))
@@ -229,6 +239,38 @@ def scope_counts(t: StarInputs) -> DataFrame:
     return abtest.scope_counts(t.subscribers)
 
 
+@query
+def approx_users_by_tier(t: StarInputs) -> DataFrame:
+    """Distinct users per tier and in all (NULL tier) from sketches per tier and period, beside the exact ones."""
+    alive = tiers.assign_tier(t.customer_accounts).where(F.col("tier").isNotNull()).select("tier", "subid")
+    parts = alive.withColumn("part", F.pmod("subid", F.lit(8)))
+    kept = tables.materialize(sketches.distinct_sketches(parts, ["tier", "part"], "subid"))
+    everything = sketches.approx_distinct(kept, []).select(F.lit(None).cast("int").alias("tier"), "approx_distinct")
+    found = sketches.approx_distinct(kept, ["tier"]).unionByName(everything)
+    exact = alive.groupBy("tier").agg(F.count_distinct("subid").alias("users"))
+    exact = exact.unionByName(alive.agg(F.count_distinct("subid").alias("users")).withColumn("tier", F.lit(None).cast("int")))
+    off = F.abs(F.col("approx_distinct") - F.col("users")) / F.col("users")
+    return found.join(exact, F.equal_null(found["tier"], exact["tier"])).select(
+        found["tier"], "users", (off <= sketches.distinct_error()).alias("within_error")
+    )
+
+
+@query
+def approx_revenue_percentiles(t: StarInputs) -> DataFrame:
+    """Percentiles of revenue per plan from sketches per plan and system; their exact ranks must hold."""
+    known = t.subscribers.where(F.col("revenue_net").isNotNull()).select("plan_type", "op_sys", "revenue_net")
+    kept = tables.materialize(sketches.percentile_sketches(known, ["plan_type", "op_sys"], "revenue_net"))
+    found = sketches.approx_percentiles(kept, ["plan_type"], C.PERCENTILES)
+    # A row for each plan and share.
+    beside = known.select("plan_type", "revenue_net").join(F.broadcast(found), "plan_type")
+    value = F.col("revenue_net")
+    ranked = beside.groupBy("plan_type", "share", "n", "approx_value").agg(
+        F.count_if(value < F.col("approx_value")).alias("below"), F.count_if(value <= F.col("approx_value")).alias("upto")
+    )
+    holds = sketches.rank_holds(F.col("below"), F.col("upto"), F.col("n"), F.col("share"))
+    return ranked.select("plan_type", "share", "n", holds.alias("within_error"))
+
+
 @query
 def join_fee_counts(t: StarInputs) -> DataFrame:
     return counts.value_counts(t.subscribers, "join_fee")
@@ -348,7 +390,9 @@ def cohort_counts(t: StarInputs) -> DataFrame:
 
 @query
 def cohort_counts_wide(t: StarInputs) -> DataFrame:
-    return cohort.cohort_counts_wide(tables.materialize(cohort.cohort_counts(t.customer)))
+    """The wide table, its columns as one text: which there are depends on the data."""
+    wide = cohort.cohort_counts_wide(tables.materialize(cohort.cohort_counts(t.customer)))
+    return wide.select("tier", F.to_json(F.struct(*[c for c in wide.columns if c != "tier"])).alias("counts"))
 
 
 @query
@@ -465,19 +509,17 @@ def channel_values(t: StarInputs) -> DataFrame:
 
 @query
 def train_test_counts(t: StarInputs) -> DataFrame:
-    return (
-        _merged(t)
-        .groupBy(prep.is_test_row().alias("is_test"))
-        .agg(F.count("*").alias("n_rows"), F.sum("churn").alias("churned"))
+    rows = _written(_merged(t), "subid", "churn")
+    held_out = prep.is_within(prep.split_bound(rows))
+    return rows.groupBy(held_out.alias("is_test")).agg(
+        F.count("*").alias("n_rows"), F.sum("churn").alias("churned")
     )
 
 
 @query
 def fold_counts(t: StarInputs) -> DataFrame:
-    train, _ = prep.split(_merged(t))
-    return train.groupBy(prep.fold_of().alias("fold")).agg(
-        F.count("*").alias("n_rows"), F.sum("churn").alias("churned")
-    )
+    train, _ = prep.exact_split(_written(_merged(t), "subid", "churn"))
+    return prep.stratified_folds(train).groupBy("fold", "churn").agg(F.count("*").alias("n_rows"))
 
 
 @query
@@ -489,7 +531,7 @@ def one_hot(t: StarInputs) -> DataFrame:
 @query
 def minmax_scaled(t: StarInputs) -> DataFrame:
     rows = _written(_merged(t), "subid", *C.NUMERIC_FEATURES)
-    train, _ = prep.split(rows)
+    train, _ = prep.exact_split(rows)
     return prep.minmax(rows, train)
 
 
@@ -516,6 +558,11 @@ def roc_curve(t: StarInputs) -> DataFrame:
     return metrics.roc(_written(_scores(t), "churn", "prob"))
 
 
+@query
+def roc_corners(t: StarInputs) -> DataFrame:
+    return metrics.roc(_written(_scores(t), "churn", "prob"), drop_intermediate=True)
+
+
 @query
 def auc(t: StarInputs) -> DataFrame:
     return metrics.auc(_written(_scores(t), "churn", "prob"))
@@ -623,6 +670,16 @@ def clv_kde_by_gender(t: StarInputs) -> DataFrame:
     return distribution.kde_by(_values_by(t, "male_TF"), "male_TF", "CLV_i")
 
 
+@query
+def clv_kde_binned(t: StarInputs) -> DataFrame:
+    return distribution.kde_binned(_written(_valued(t), "CLV_i"), "CLV_i")
+
+
+@query
+def clv_kde_binned_by_gender(t: StarInputs) -> DataFrame:
+    return distribution.kde_binned(_values_by(t, "male_TF"), "CLV_i", "male_TF")
+
+
 @query
 def clv_kde_by_churn(t: StarInputs) -> DataFrame:
     return distribution.kde_by(_values_by(t, "churn"), "churn", "CLV_i")

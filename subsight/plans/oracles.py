@@ -105,6 +105,8 @@ FROM nation WHERE n_nationkey < 10""",
     "paid_channels": f"SELECT channel FROM (VALUES {_CHANNEL_ROWS}) v(channel)",
     "tiered": """SELECT s.*, b.tier FROM f_subscribers s
 LEFT JOIN bands b ON s.account_creation_date > b.lo AND s.account_creation_date <= b.hi""",
+    "tiered_customers": """SELECT b.tier, c.subid FROM f_customer c
+JOIN bands b ON c.account_creation_date > b.lo AND c.account_creation_date <= b.hi""",
     "variants": """SELECT *, CASE WHEN join_fee > 0 THEN 'A' ELSE 'B' END AS variant
 FROM f_subscribers WHERE join_fee IS NOT NULL""",
     "profile_rows": _PROFILE_ROWS,
@@ -149,6 +151,8 @@ FROM scaled s LEFT JOIN acquired a ON a.tier = s.tier AND a.channel = s.channel"
   {_uniform('split').replace('subid', 'e.subid')} < {C.TEST_SHARE} AS is_test, b.tier
 FROM engaged e JOIN eng_features f ON f.subid = e.subid
 LEFT JOIN bands b ON e.account_creation_date > b.lo AND e.account_creation_date <= b.hi""",
+    "halves": f"""SELECT *, ROW_NUMBER() OVER (ORDER BY md5(CAST(subid AS VARCHAR) || ':split:{SEED}'), subid)
+  <= ceil({C.TEST_SHARE}e0 * COUNT(*) OVER ()) AS held_out FROM merged""",
     "scores": """SELECT subid, churn, prob, CAST(CASE WHEN prob > 0.5e0 THEN 1 ELSE 0 END AS INT) AS prediction FROM (
   SELECT subid, churn, ((subid * 37) % 60 + CASE WHEN cancel_before_trial_end THEN 40 ELSE 0 END) / 100e0 AS prob
   FROM merged WHERE is_test)""",
@@ -248,6 +252,25 @@ FROM (SELECT *, start + point * step AS x FROM (
 JOIN valued v ON v.CLV_i IS NOT NULL{same} GROUP BY {out}point, x, n, h"""
 
 
+def _kde_binned(group: str | None) -> str:
+    points, fine = C.DENSITY_POINTS, 64
+    key, known = (f"{group}, ", f" AND {group} IS NOT NULL") if group else ("", "")
+    by = f" GROUP BY {group}" if group else ""
+    same = f" AND b.{group} = g.{group}" if group else ""
+    mine = f" AND v.{group} = f.{group}" if group else ""
+    out, held = (f"g.{group}, ", f"f.{group}, ") if group else ("", "")
+    return f"""SELECT * FROM (WITH f AS (SELECT * FROM (SELECT {key}COUNT(*) AS n, stddev_samp(CLV_i) * pow(COUNT(*), -0.2e0) AS h,
+    MIN(CLV_i) AS lo, MAX(CLV_i) AS hi FROM valued WHERE CLV_i IS NOT NULL{known}{by}) WHERE h > 0),
+b AS (SELECT {held}floor((CLV_i - lo) / (h / {fine})) AS bin, COUNT(*) AS many,
+    SUM((CLV_i - lo) / (h / {fine}) - floor((CLV_i - lo) / (h / {fine}))) AS beyond
+  FROM f JOIN valued v ON CLV_i IS NOT NULL{mine} GROUP BY ALL),
+g AS (SELECT *, lo - 3 * h + point * (((hi + 3 * h) - (lo - 3 * h)) / {points - 1}) AS x FROM f, generate_series(0, {points - 1}) s(point))
+SELECT {out}CAST(point AS INT) AS point, ROUND(x, 6) AS x, ROUND(SUM(
+    (many - beyond) * exp(-0.5e0 * pow((x - lo - bin * h / {fine}) / h, 2))
+    + beyond * exp(-0.5e0 * pow((x - lo - (bin + 1) * h / {fine}) / h, 2))) / (n * h * sqrt(2 * pi())), 6) AS density
+FROM g JOIN b ON true{same} GROUP BY {out}point, x, n, h)"""
+
+
 def _cost(column: str) -> str:
     return f"""SELECT tier, channel, ROUND({column}, 6) AS cost FROM cells
 UNION ALL SELECT NULL, channel, ROUND(AVG({column}), 6) FROM cells GROUP BY channel"""
@@ -310,6 +333,9 @@ BODIES = {
     "paid_subscribers": "SELECT subid, plan_type, discount_price FROM f_subscribers WHERE paid_TF",
     "tier_assign": "SELECT subid, tier FROM tiered",
     "tier_assign_range_join": "SELECT subid, tier FROM tiered",
+    "band_lookup": """SELECT c_custkey, MIN_BY(p_partkey, {'h': lo + p_size * 10, 'k': p_partkey}) AS band
+FROM customer LEFT JOIN (SELECT *, CAST(p_partkey * 7919 % 12000 - 1500 AS DOUBLE) AS lo FROM part) ON c_acctbal > lo
+  AND c_acctbal <= lo + p_size * 10 GROUP BY c_custkey""",
     "null_share_by_column": _NULL_SHARES,
     "audit_activity_after_trial": f"SELECT subid, CAST(max_day AS VARCHAR) AS max_day, {_TIMES.format('trial_end_date')} FROM merged"
     " WHERE max_day > trial_end_date",
@@ -320,6 +346,12 @@ BODIES = {
   COUNT(DISTINCT subid) FILTER (join_fee > 0) AS users_a, COUNT(DISTINCT subid) FILTER (join_fee <= 0) AS users_b,
   COUNT(DISTINCT subid) FILTER (join_fee > 0) + COUNT(DISTINCT subid) FILTER (join_fee <= 0) AS users_in_test
 FROM f_subscribers""",
+    "approx_users_by_tier": """SELECT tier, users, users > 0 AS within_error FROM (
+  SELECT tier, COUNT(DISTINCT subid) AS users FROM tiered_customers GROUP BY tier
+  UNION ALL SELECT NULL, COUNT(DISTINCT subid) FROM tiered_customers)""",
+    "approx_revenue_percentiles": f"""SELECT plan_type, share, COUNT(*) AS n, COUNT(*) > 0 AS within_error
+FROM f_subscribers, (SELECT unnest([{', '.join(f'{p}e0' for p in C.PERCENTILES)}]) AS share)
+WHERE revenue_net IS NOT NULL GROUP BY plan_type, share""",
     "join_fee_counts": "SELECT ROUND(join_fee, 6) AS join_fee, COUNT(*) AS n FROM f_subscribers"
     " WHERE join_fee IS NOT NULL GROUP BY f_subscribers.join_fee",
     "variant_profile": """SELECT p.variant, dimension, value, COUNT(*) AS n, ROUND(COUNT(*) / any_value(t.n) * 100, 6) AS percent
@@ -368,8 +400,9 @@ FROM sprt_all WHERE step = (SELECT COALESCE(MIN(step) FILTER {_CROSSED}, MAX(ste
     ),
     # cohorts
     "cohort_counts": "SELECT * FROM cohorts",
-    "cohort_counts_wide": "SELECT * FROM (PIVOT (SELECT tier, n_alive, 'period_' || payment_period AS period FROM cohorts)"
-    " ON period USING MAX(n_alive) GROUP BY tier)",
+    "cohort_counts_wide": """SELECT tier,
+  '{' || string_agg('"period_' || payment_period || '":' || n_alive, ',' ORDER BY payment_period) || '}' AS counts
+FROM cohorts GROUP BY tier""",
     "cohort_retention": "SELECT tier, payment_period, n_alive, ROUND(retention, 6) AS retention FROM retained",
     "cohort_retention_wide": _pivot(
         "tier", _PERIODS, "payment_period", "round_even(retention, 1)", "retained", "period_{}"
@@ -403,12 +436,14 @@ FROM merged WHERE paid_TF AND refund_after_trial_TF IS NOT NULL GROUP BY 1""",
     "churn_counts": "SELECT churn, COUNT(*) AS n FROM merged GROUP BY churn",
     "channel_values": "SELECT DISTINCT attribution_technical FROM merged WHERE attribution_technical IS NOT NULL",
     # preparation
-    "train_test_counts": "SELECT is_test, COUNT(*) AS n_rows, CAST(SUM(churn) AS BIGINT) AS churned FROM merged GROUP BY 1",
-    "fold_counts": f"""SELECT CAST(floor({_uniform('fold')} * {C.FOLDS}) AS INT) AS fold, COUNT(*) AS n_rows,
-  CAST(SUM(churn) AS BIGINT) AS churned FROM merged WHERE NOT is_test GROUP BY 1""",
+    "train_test_counts": "SELECT held_out AS is_test, COUNT(*) AS n_rows, CAST(SUM(churn) AS BIGINT) AS churned"
+    " FROM halves GROUP BY 1",
+    "fold_counts": f"""SELECT CAST(place % {C.FOLDS} AS INT) AS fold, churn, COUNT(*) AS n_rows FROM (
+  SELECT churn, ROW_NUMBER() OVER (PARTITION BY churn ORDER BY md5(CAST(subid AS VARCHAR) || ':fold:{SEED}'), subid) - 1 AS place
+  FROM halves WHERE NOT held_out) GROUP BY 1, 2""",
     "one_hot": _ONE_HOT
     + " UNION ALL SELECT subid, 'male_TF', CAST(CASE WHEN male_TF THEN 1 ELSE 0 END AS INT) FROM merged",
-    "minmax_scaled": f"SELECT m.subid, {_SCALED} FROM merged m, (SELECT {_SCALE_ENDS} FROM merged WHERE NOT is_test) r",
+    "minmax_scaled": f"SELECT m.subid, {_SCALED} FROM merged m, (SELECT {_SCALE_ENDS} FROM halves WHERE NOT held_out) r",
     # evaluation
     "confusion_matrix": """SELECT CAST(l AS INT) AS label, CAST(p AS INT) AS predicted, COUNT(s.subid) AS n
 FROM (VALUES (0, 0), (0, 1), (1, 0), (1, 1)) v(l, p) LEFT JOIN scores s ON s.churn = l AND s.prediction = p GROUP BY 1, 2""",
@@ -425,6 +460,13 @@ UNION ALL SELECT 'weighted avg', ROUND(SUM(p * support) / SUM(support), 6), ROUN
   ROUND(COUNT(*) FILTER (s.churn = 0) / NULLIF((SELECT COUNT(*) FROM scores WHERE churn = 0), 0), 6) AS fpr,
   ROUND(COUNT(*) FILTER (s.churn = 1) / NULLIF((SELECT COUNT(*) FROM scores WHERE churn = 1), 0), 6) AS tpr
 FROM (SELECT DISTINCT prob FROM scores) t JOIN scores s ON s.prob >= t.prob GROUP BY t.prob
+UNION ALL SELECT NULL, 0e0, 0e0""",
+    "roc_corners": """SELECT ROUND(prob, 6) AS threshold, ROUND(fp / n, 6) AS fpr, ROUND(tp / p, 6) AS tpr FROM (
+  SELECT *, SUM(pos) OVER d AS tp, SUM(neg) OVER d AS fp, SUM(pos) OVER () AS p, SUM(neg) OVER () AS n,
+    LAG(prob) OVER d AS before, LEAD(pos) OVER d AS next_pos, LEAD(neg) OVER d AS next_neg FROM (
+    SELECT prob, COUNT(*) FILTER (churn = 1) AS pos, COUNT(*) FILTER (churn = 0) AS neg FROM scores GROUP BY prob)
+  WINDOW d AS (ORDER BY prob DESC))
+WHERE before IS NULL OR next_pos IS NULL OR pos <> next_pos OR neg <> next_neg
 UNION ALL SELECT NULL, 0e0, 0e0""",
     "auc": """SELECT ROUND(SUM(CASE WHEN p.prob > n.prob THEN 1e0 WHEN p.prob = n.prob THEN 0.5e0 ELSE 0e0 END) / COUNT(*), 6) AS auc
 FROM scores p, scores n WHERE p.churn = 1 AND n.churn = 0""",
@@ -456,6 +498,8 @@ WHERE attribution_technical IN {_in(C.PAID_CHANNELS)} GROUP BY 1""",
     "clv_hist_by_op_sys": _histogram_by("op_sys", "filled_values"),
     "clv_kde": _kde(None),
     "clv_kde_by_gender": _kde("male_TF"),
+    "clv_kde_binned": _kde_binned(None),
+    "clv_kde_binned_by_gender": _kde_binned("male_TF"),
     "clv_kde_by_churn": _kde("churn"),
 }
 
@@ -473,7 +517,7 @@ def oracle(body: str) -> str:
         needed.add(name)
         todo |= _used(VIEWS[name]) - needed
     parts = ",\n".join(f"{name} AS MATERIALIZED ({VIEWS[name]})" for name in _in_order(needed))
-    return f"WITH {parts}\n{body}"
+    return f"WITH {parts}\n{body}" if parts else body
 
 
 def _in_order(names: set[str]) -> list[str]:
