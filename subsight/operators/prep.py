@@ -8,7 +8,6 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql import Window as W
 
 from subsight.constants import (
     CATEGORICAL_FEATURES,
@@ -19,12 +18,12 @@ from subsight.constants import (
     TEST_SHARE,
     UNUSED_COLUMNS,
 )
+from subsight.functions import alias
 from subsight.functions.hashing import SEED, hash_text, hash_uniform
 from subsight.functions.ordered import group_positions
-from subsight.functions.sizes import small_side
 from subsight.operators.counts import null_shares
+from subsight.sources.tables import materialize
 
-SLOTS = 256
 #: Hash digits counted in one pass of an exact split; a cell with at most so many rows is looked through.
 PREFIX = 4
 MAX_CELL = 10_000
@@ -47,24 +46,15 @@ def drop_unused(df: DataFrame, cols: list[str] = UNUSED_COLUMNS) -> DataFrame:
     return df.drop(*cols)
 
 
-def category_intervals(df: DataFrame, cols: list[str]) -> DataFrame:
-    """Each category's slice ``[lo, hi)`` of the 0..1 range, as wide as its frequency."""
-    counted = (
+def category_counts(df: DataFrame, cols: list[str]) -> DataFrame:
+    """Rows of each category of each column, as text: ``column_name, category, n``."""
+    return (
         df.select(*[F.col(c).cast("string").alias(c) for c in cols])
         .unpivot([], cols, "column_name", "category")
         .where(F.col("category").isNotNull())
         .groupBy("column_name", "category")
         .agg(F.count("*").alias("n"))
     )
-    ordered = W.partitionBy("column_name").orderBy("category").rowsBetween(W.unboundedPreceding, 0)
-    total = F.sum("n").over(W.partitionBy("column_name"))
-    upto = F.sum("n").over(ordered)
-    return counted.select(
-        "column_name",
-        "category",
-        ((upto - F.col("n")) / total).alias("lo"),
-        (upto / total).alias("hi"),
-    )
 
 
 def impute_by_frequency(
@@ -72,34 +62,30 @@ def impute_by_frequency(
 ) -> DataFrame:
     """Fill NULL categories with a draw weighted by how frequent each category is.
 
-    The draw is a hash of the key, so a row is always filled the same way.
-    Intervals are cut into slots of the 0..1 range, which makes the lookup an
-    equality join whatever the number of categories.
+    The draw is a hash of the key, so a row is always filled the same way. It goes
+    through an alias table: a slot by one equality join, then one of the slot's two
+    categories. Counts come to the driver only while there are few; else the table
+    is made and joined by slot, where draws spread evenly. A column without any
+    category stays NULL.
     """
-    intervals = (
-        category_intervals(df, cols)
-        .withColumn("last_slot", F.least(F.floor(F.col("hi") * SLOTS), F.lit(SLOTS - 1)))
-        .withColumn("slot", F.explode(F.sequence(F.floor(F.col("lo") * SLOTS), "last_slot")))
-        .drop("last_slot")
-    )
-    intervals = small_side(intervals)
+    counted = category_counts(df, cols)
+    few = counted.limit(alias.SMALL + 1).collect()
+    small = len(few) <= alias.SMALL
     for name in cols:
-        draw = hash_uniform(key, name, seed)
-        lookup = intervals.where(F.col("column_name") == name).select(
-            F.col("category").alias("_filled"), "lo", "hi", F.col("slot").alias("_slot")
-        )
-        # Rows with a value have a slot too, so that they spread evenly in a
-        # shuffled join, but match nothing.
-        drawn = df.withColumns({"_draw": draw, "_slot": F.floor(draw * SLOTS)})
-        fits = (
-            (drawn["_slot"] == lookup["_slot"])
-            & drawn[name].isNull()
-            & (drawn["_draw"] >= lookup["lo"])
-            & (drawn["_draw"] < lookup["hi"])
-        )
-        df = drawn.join(lookup, fits, "left").select(
-            *[F.coalesce(drawn[c], "_filled").alias(c) if c == name else drawn[c] for c in df.columns]
-        )
+        if small:
+            rows = alias.alias_rows([(r["category"], r["n"]) for r in few if r["column_name"] == name])
+            slots = len(rows)
+            table = F.broadcast(df.sparkSession.createDataFrame(rows, alias.SCHEMA))
+        else:
+            table = materialize(alias.alias_table(counted.where(F.col("column_name") == name).drop("column_name")))
+            slots = table.count()
+        # Rows with a value have a slot too, so that they spread evenly in a shuffled join.
+        slot = F.floor(hash_uniform(key, name, seed) * slots)
+        drawn = df.withColumns({"_slot": slot, "_coin": hash_uniform(key, name, "coin", seed)})
+        lookup = table.select(F.col("slot").alias("_slot"), F.col("category").alias("_own"), "kept", F.col("alias").alias("_other"))
+        value = alias.picked(F.col("_coin"), "_own", "kept", "_other").cast(df.schema[name].dataType)
+        filled = drawn.join(lookup, "_slot", "left").withColumn(name, F.coalesce(F.col(name), value))
+        df = filled.select(*df.columns)
     return df
 
 

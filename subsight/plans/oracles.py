@@ -178,18 +178,25 @@ FROM costed c LEFT JOIN scores s ON s.subid = c.subid, (SELECT AVG(discount_pric
 
 
 def _imputed(source: str) -> str:
-    """SQL for ``source`` with both category columns filled by their own frequencies."""
-    picks = []
+    """SQL for ``source`` with both category columns filled by their own frequencies, through alias tables."""
+    tables, joins, filled = [], [], []
     for name in C.IMPUTED_COLUMNS:
-        picks.append(f"""(SELECT category FROM (
-      SELECT category, (upto - n) / total AS lo, upto / total AS hi FROM (
-        SELECT category, n, SUM(n) OVER (ORDER BY category) AS upto, SUM(n) OVER () AS total FROM (
-          SELECT {name} AS category, COUNT(*) AS n FROM {source} WHERE {name} IS NOT NULL GROUP BY 1)))
-    WHERE draw_{name} >= lo AND draw_{name} < hi)""")
-    draws = ", ".join(f"{_uniform(n)} AS draw_{n}" for n in C.IMPUTED_COLUMNS)
-    filled = ", ".join(f"COALESCE({n}, {pick}) AS {n}" for n, pick in zip(C.IMPUTED_COLUMNS, picks))
-    drop = ", ".join([*C.IMPUTED_COLUMNS, *[f"draw_{n}" for n in C.IMPUTED_COLUMNS]])
-    return f"SELECT * EXCLUDE ({drop}), {filled} FROM (SELECT *, {draws} FROM {source})"
+        a, coin = f"alias_{name}", f"(CAST('0x' || substr(md5(CAST(s.subid AS VARCHAR) || ':{name}:coin:{SEED}'), 1, 8) AS BIGINT) / 4294967296e0)"
+        tables.append(f"""
+    w_{name} AS (SELECT category, n * k AS mass, total, greatest(total - n * k, 0) AS lacks, greatest(n * k - total, 0) AS spare, md5(category) AS h
+      FROM (SELECT {name} AS category, CAST(COUNT(*) AS HUGEINT) AS n, COUNT(*) OVER () AS k, CAST(SUM(COUNT(*)) OVER () AS HUGEINT) AS total
+        FROM {source} WHERE {name} IS NOT NULL GROUP BY 1)),
+    l_{name} AS (SELECT *, SUM(lacks) OVER (ORDER BY h) AS d, SUM(spare) OVER (ORDER BY h) AS e, ROW_NUMBER() OVER (ORDER BY h) - 1 AS slot,
+      COUNT(*) OVER () AS k FROM w_{name}),
+    v_{name} AS (SELECT *, LEAD(category) OVER (ORDER BY h) AS next FROM l_{name} WHERE lacks = 0),
+    {a} AS (SELECT x.slot, x.k, x.category, x.mass / x.total AS kept, v.category AS other
+        FROM l_{name} x JOIN v_{name} v ON v.e - v.spare <= x.d - x.lacks AND x.d - x.lacks < v.e WHERE x.lacks > 0
+      UNION ALL SELECT v.slot, v.k, v.category, (v.total - COALESCE(x.d - v.e, 0)) / v.total, v.next
+        FROM v_{name} v LEFT JOIN l_{name} x ON x.lacks > 0 AND x.d - x.lacks < v.e AND v.e <= x.d)""")
+        joins.append(f"LEFT JOIN {a} ON {a}.slot = floor({_uniform(name).replace('subid', 's.subid')} * {a}.k)")
+        filled.append(f"COALESCE(s.{name}, CASE WHEN {coin} < {a}.kept THEN {a}.category ELSE {a}.other END) AS {name}")
+    return f"""SELECT * FROM (WITH {','.join(tables)}
+  SELECT s.* EXCLUDE ({', '.join(C.IMPUTED_COLUMNS)}), {', '.join(filled)} FROM {source} s {' '.join(joins)})"""
 
 
 VIEWS["engaged_filled"] = _imputed("engaged")

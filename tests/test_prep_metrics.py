@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from subsight.functions import sizes
+from subsight.functions import alias
 from subsight.operators import counts, distribution, metrics, prep
 
 
@@ -23,17 +23,54 @@ def test_imputation_fills_by_frequency_and_keeps_known_values(spark):
     assert share == pytest.approx(0.75, abs=0.03)
 
 
-def test_imputation_is_the_same_when_categories_are_too_many_to_broadcast(spark, monkeypatch):
+def test_imputation_is_the_same_when_categories_are_too_many_for_the_driver(spark, monkeypatch):
     rng = random.Random(1)
-    rows = [(i, None if i % 3 == 0 else f"c{rng.randrange(300)}", None) for i in range(1500)]
+    rows = [(i, None if i % 3 == 0 else f"c{min(rng.randrange(300), rng.randrange(300))}", None) for i in range(1500)]
     rows += [(5000 + i, None, "x") for i in range(3)]
     df = spark.createDataFrame(rows, "subid long, intended_use string, op_sys string")
     small = sorted(map(tuple, prep.impute_by_frequency(df).collect()))
-    monkeypatch.setattr(prep, "small_side", lambda side: sizes.small_side(side, max_rows=5))
+    monkeypatch.setattr(alias, "SMALL", 5)
     assert sorted(map(tuple, prep.impute_by_frequency(df).collect())) == small
     assert len(small) == len(rows) and all(v is not None for row in small for v in row)
 
 
+def weights_of(rows, size):
+    """What each category gets in all: its own slot and what it fills of others."""
+    got = {}
+    for _, category, kept, other in rows:
+        got[category] = got.get(category, 0.0) + kept
+        if other is not None:
+            got[other] = got.get(other, 0.0) + 1 - kept
+    return {c: w / len(rows) * size for c, w in got.items()}
+
+
+@pytest.mark.parametrize("case", ["even", "one", "skewed", "two", "random", "thirds"])
+def test_alias_tables_hold_the_weights(spark, case):
+    rng = random.Random(case)
+    counts = {
+        "even": [(f"c{i}", 5) for i in range(9)],
+        "one": [("only", 3)],
+        "two": [("a", 1), ("b", 999)],
+        "skewed": [("big", 10**9)] + [(f"c{i}", 1) for i in range(200)],
+        "random": [(f"c{i}", rng.randrange(1, 1000)) for i in range(300)],
+        "thirds": [(f"c{i}", 3 if i % 2 else 1) for i in range(100)],
+    }[case]
+    size = sum(n for _, n in counts)
+    rows = alias.alias_rows(counts)
+    assert sorted(r[0] for r in rows) == list(range(len(counts)))
+    assert weights_of(rows, size) == pytest.approx(dict(counts), rel=1e-6)
+    spread = alias.alias_table(spark.createDataFrame(counts, "category string, n long"))
+    assert sorted(map(tuple, spread.collect())) == sorted(rows)
+
+
+def test_alias_table_of_many_categories(spark):
+    counted = spark.range(200_000).select(F.concat(F.lit("c"), "id").alias("category"), (F.col("id") % 97 + 1).alias("n"))
+    rows = [tuple(r) for r in alias.alias_table(counted).collect()]
+    size = sum(i % 97 + 1 for i in range(200_000))
+    got = weights_of(rows, size)
+    assert len(got) == 200_000 and max(abs(got[f"c{i}"] - (i % 97 + 1)) for i in range(200_000)) < 1e-3
+
+
 def test_one_hot_keeps_all_categories_and_null_is_all_zero(spark):
     df = spark.createDataFrame(
         [(1, "x", True), (2, "y.z", None), (3, None, False)], "subid long, plan string, male_TF boolean"
