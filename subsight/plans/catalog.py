@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -17,6 +18,7 @@ from subsight.operators import (
     cohort,
     counts,
     distribution,
+    fitted,
     metrics,
     models,
     prep,
@@ -528,6 +530,14 @@ def one_hot(t: StarInputs) -> DataFrame:
     return encoded.unpivot(["subid"], names, "feature", "value")
 
 
+@query
+def one_hot_cells(t: StarInputs) -> DataFrame:
+    """The cells of sparse one-hot vectors that are not zero."""
+    encoded, model = fitted.sparse_one_hot(_written(_merged(t), "subid", *C.CATEGORICAL_FEATURES))
+    flags = encoded.where("male_TF").select("subid", F.lit("male_TF").alias("feature"), F.lit(1).alias("value"))
+    return fitted.hot_cells(encoded, model).unionByName(flags)
+
+
 @query
 def minmax_scaled(t: StarInputs) -> DataFrame:
     rows = _written(_merged(t), "subid", *C.NUMERIC_FEATURES)
@@ -747,6 +757,25 @@ def curve_c_accuracy(t: StarInputs) -> DataFrame:
     return tuning.validation_curve(_training(t))
 
 
+@query
+def curve_c_pipeline(t: StarInputs) -> DataFrame:
+    """Accuracy for each C where every fold indexes, encodes and scales on its own rows."""
+    train, _ = fitted.split_and_fold(tables.materialize(_modelling_table(t)))
+    found = fitted.cross_validate(tables.materialize(train))
+    rows = [(float(c), float(a), float(d)) for c, a, d in zip(C.C_VALIDATION, found.avgMetrics, found.stdMetrics)]
+    return t.spark.createDataFrame(rows, "c double, mean_accuracy double, std_accuracy double")
+
+
+@query
+def saved_pipeline_scores(t: StarInputs) -> DataFrame:
+    """Scores of the test rows by a fitted pipeline that was saved and loaded."""
+    train, test = fitted.split_and_fold(tables.materialize(_modelling_table(t)))
+    numbered = train.withColumn("churn", F.col("churn").cast("double"))
+    path = tables.shared_dir(t.spark)
+    fitted.churn_pipeline(numbered).fit(numbered).write().save(path)
+    return models.score(test, PipelineModel.load(path))
+
+
 @query
 def curve_c_auc(t: StarInputs) -> DataFrame:
     return tuning.sweep_c(_training(t))

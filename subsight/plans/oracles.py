@@ -450,6 +450,12 @@ FROM merged WHERE paid_TF AND refund_after_trial_TF IS NOT NULL GROUP BY 1""",
   FROM halves WHERE NOT held_out) GROUP BY 1, 2""",
     "one_hot": _ONE_HOT
     + " UNION ALL SELECT subid, 'male_TF', CAST(CASE WHEN male_TF THEN 1 ELSE 0 END AS INT) FROM merged",
+    "one_hot_cells": " UNION ALL ".join(
+        f"SELECT subid, '{c}_' || {c} AS feature, CAST(1 AS INT) AS value FROM merged WHERE {c} IS NOT NULL"
+        for c in C.CATEGORICAL_FEATURES
+        if c != "male_TF"
+    )
+    + " UNION ALL SELECT subid, 'male_TF', CAST(1 AS INT) FROM merged WHERE male_TF",
     "minmax_scaled": f"SELECT m.subid, {_SCALED} FROM merged m, (SELECT {_SCALE_ENDS} FROM halves WHERE NOT held_out) r",
     # evaluation
     "confusion_matrix": """SELECT CAST(l AS INT) AS label, CAST(p AS INT) AS predicted, COUNT(s.subid) AS n
