@@ -10,7 +10,7 @@ from pyspark.sql import Window as W
 from subsight.functions.hashing import hash_text
 
 RANGES = 512
-HASH_DIGITS = 3
+HASH_DIGITS = 4
 
 
 def range_cuts(df: DataFrame, col: str, ranges: int = RANGES) -> list[float]:
@@ -120,48 +120,30 @@ def exact_median(df: DataFrame, col: str) -> Column:
 def ranked_sample(df: DataFrame, n: int, key: str, seed, by: tuple[str, ...] = ()) -> DataFrame:
     """Draw exactly ``n`` rows (per group), without replacement, with their draw order.
 
-    Adds ``sample_rank`` 1..n. Rows are drawn in hash order. A count per hash
-    prefix shows which prefixes the first ``n`` rows fill. The prefix in which the
-    sample ends may hold far more rows than ``n``, so it is counted again by longer
-    prefixes. So about ``n`` rows are moved, each prefix is ranked by its own task,
-    and only 1 in ``16 ** (2 * HASH_DIGITS)`` of all rows may lie beyond the sample.
+    Adds ``sample_rank`` 1..n. Rows are drawn in hash order, in two passes over
+    ``df``: a count per hash prefix shows which prefixes the first ``n`` rows fill, and
+    only rows of those are moved and ranked, each prefix by its own task. Beyond the
+    ``n`` rows of a group that is at most the prefix in which its sample ends, 1 in
+    ``16 ** HASH_DIGITS`` of its rows.
     """
     drawn = df.withColumn("_hash", hash_text(key, seed, *[F.col(c) for c in by])).withColumn(
         "_prefix", F.substring("_hash", 1, HASH_DIGITS)
     )
-    coarse = _needed_cells(drawn, list(by), "_prefix", n, F.lit(0))
-    last = coarse.where(F.col("_before") + F.col("_n") > n).select(
-        *by, "_prefix", F.col("_before").alias("_start")
-    )
-    # One row per group on the small side.
-    ending = drawn.join(F.broadcast(last), [*by, "_prefix"]).withColumn(
-        "_prefix", F.substring("_hash", 1, 2 * HASH_DIGITS)
+    before = W.partitionBy(*by).orderBy("_prefix").rowsBetween(W.unboundedPreceding, -1)
+    # At most 16 ** HASH_DIGITS cells per group are counted, and at most n that hold rows are needed.
+    cells = (
+        drawn.groupBy(*by, "_prefix")
+        .agg(F.count("*").alias("_n"))
+        .withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+        .where(F.col("_before") < n)
+        .drop("_n")
     )
-    fine = _needed_cells(ending, list(by), "_prefix", n, F.max("_start"))
-    whole = coarse.where(F.col("_before") + F.col("_n") <= n)
     inside = W.partitionBy(*by, "_prefix").orderBy("_hash", key)
-
-    def ranked(rows: DataFrame, cells: DataFrame) -> DataFrame:
-        # At most 16 ** HASH_DIGITS cells per group, and no more than n + 1 that hold rows.
-        known = F.broadcast(cells.select(*by, "_prefix", "_before"))
-        return (
-            rows.join(known, [*by, "_prefix"])
-            .withColumn("sample_rank", F.col("_before") + F.row_number().over(inside))
-            .where(F.col("sample_rank") <= n)
-            .select(*df.columns, "sample_rank")
-        )
-
-    return ranked(drawn, whole).unionByName(ranked(ending, fine))
-
-
-def _needed_cells(rows: DataFrame, by: list[str], cell: str, n: int, start: Column) -> DataFrame:
-    """Cells that begin before the ``n``-th row: their rows ``_n`` and the rows ``_before`` them."""
-    before = W.partitionBy(*by).orderBy(cell).rowsBetween(W.unboundedPreceding, -1)
     return (
-        rows.groupBy(*by, cell)
-        .agg(F.count("*").alias("_n"), start.cast("long").alias("_from"))
-        .withColumn("_before", F.col("_from") + F.coalesce(F.sum("_n").over(before), F.lit(0)))
-        .where(F.col("_before") < n)
+        drawn.join(F.broadcast(cells), [*by, "_prefix"])
+        .withColumn("sample_rank", F.col("_before") + F.row_number().over(inside))
+        .where(F.col("sample_rank") <= n)
+        .select(*df.columns, "sample_rank")
     )
 
 

@@ -6,7 +6,6 @@ from statistics import NormalDist
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from subsight.constants import (
     ALPHA,
@@ -59,17 +58,20 @@ def scope_counts(subscribers: DataFrame) -> DataFrame:
 
 
 def variant_profile(subscribers: DataFrame, cols: list[str] = PROFILE_COLUMNS) -> DataFrame:
-    """Percentage of each value of each column, per variant, in one pass.
+    """Percentage of each value of each column, per variant.
 
-    The divisor counts all rows of the variant, NULL values too, so the shares
+    All columns are counted in one pass, the rows of the two variants in another. The divisor counts all rows of the variant, NULL values too, so the shares
     of a column may add up to less than 100.
     """
     stacked = text_of(variants(subscribers).select("variant", *cols), cols).unpivot(
         ["variant"], cols, "dimension", "value"
     )
-    counted = stacked.groupBy("variant", "dimension", "value").agg(F.count("*").alias("n"))
-    rows = F.sum("n").over(W.partitionBy("variant", "dimension"))
-    return counted.withColumn("percent", F.col("n") / rows * 100).where(F.col("value").isNotNull())
+    counted = stacked.where(F.col("value").isNotNull()).groupBy("variant", "dimension", "value").agg(F.count("*").alias("n"))
+    # Two rows.
+    rows = F.broadcast(variants(subscribers).groupBy("variant").agg(F.count("*").alias("_rows")))
+    return counted.join(rows, "variant").select(
+        "variant", "dimension", "value", "n", (F.col("n") / F.col("_rows") * 100).alias("percent")
+    )
 
 
 def conversion(subscribers: DataFrame) -> DataFrame:

@@ -68,17 +68,17 @@ def merge_features(subscribers: DataFrame, features: DataFrame) -> DataFrame:
 
 
 def validation_join(
-    customer: DataFrame, subscribers: DataFrame, spread_by: str = "num_trial_days"
+    customer: DataFrame, subscribers: DataFrame, spread_by: str = "num_trial_days", hot: list | None = None
 ) -> DataFrame:
     """Trial outcome in the customer table beside the subscriber's own; repeats per period.
 
     ``spread_by`` is a customer column that varies within a subscriber, to split
-    those with very many rows.
+    those with very many rows. ``hot`` may list those where they are known.
     """
     outcome = ["subid", "trial_completed_TF", "num_trial_days"]
     cancelled = subscribers.select("subid", "cancel_before_trial_end")
     left = customer.select(*outcome, F.col(spread_by).alias("_spread"))
-    return split_join(left, cancelled, "subid", "_spread").select(*outcome, "cancel_before_trial_end")
+    return split_join(left, cancelled, "subid", "_spread", hot=hot).select(*outcome, "cancel_before_trial_end")
 
 
 def validation_counts(counted: DataFrame, subscribers: DataFrame, *cols: str) -> DataFrame:

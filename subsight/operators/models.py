@@ -6,7 +6,7 @@ import math
 from dataclasses import dataclass
 from statistics import NormalDist
 
-from pyspark import keyword_only
+from pyspark import StorageLevel, keyword_only
 from pyspark.ml import Estimator, PipelineModel, Transformer
 from pyspark.ml.classification import (
     LogisticRegression,
@@ -109,11 +109,12 @@ class PenalisedLogit(
 
     C = Param(Params._dummy(), "C", "inverse strength of the penalty", TypeConverters.toFloat)
     keyCol = Param(Params._dummy(), "keyCol", "decides which rows are turned", TypeConverters.toString)
+    rows = Param(Params._dummy(), "rows", "number of rows to fit if known, else 0", TypeConverters.toInt)
 
     @keyword_only
-    def __init__(self, *, C=1.0, maxIter=100, featuresCol="features", labelCol=LABEL, keyCol="subid"):
+    def __init__(self, *, C=1.0, maxIter=100, featuresCol="features", labelCol=LABEL, keyCol="subid", rows=0):
         super().__init__()
-        self._setDefault(C=1.0, maxIter=100, featuresCol="features", labelCol=LABEL, keyCol="subid")
+        self._setDefault(C=1.0, maxIter=100, featuresCol="features", labelCol=LABEL, keyCol="subid", rows=0)
         self._set(**self._input_kwargs)
 
     def _fit(self, dataset: DataFrame) -> PipelineModel:
@@ -131,7 +132,7 @@ class PenalisedLogit(
             featuresCol="_signed",
             labelCol="_label",
             maxIter=self.getMaxIter(),
-            regParam=1 / (self.getOrDefault(self.C) * dataset.count()),
+            regParam=1 / (self.getOrDefault(self.C) * (self.getOrDefault(self.rows) or dataset.count())),
             elasticNetParam=0.0,
             standardization=False,
             fitIntercept=False,
@@ -170,12 +171,17 @@ def rfe(data: TrainingData, keep: int = SELECTED_BY_ELIMINATION, C: float = 1.0)
     """
     left = list(range(len(data.names)))
     rank = dict.fromkeys(left, 1)
-    while len(left) > keep:
-        subset = VectorSlicer(inputCol="features", outputCol="_kept", indices=left).transform(data.train)
-        fitted = weights(PenalisedLogit(C=C, featuresCol="_kept").fit(subset))
-        weakest = min(range(len(left)), key=lambda i: fitted[i] ** 2)
-        rank[left[weakest]] = len(left) - keep + 1
-        del left[weakest]
+    train = data.train.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        n = train.count()
+        while len(left) > keep:
+            subset = VectorSlicer(inputCol="features", outputCol="_kept", indices=left).transform(train)
+            fitted = weights(PenalisedLogit(C=C, featuresCol="_kept", rows=n).fit(subset))
+            weakest = min(range(len(left)), key=lambda i: fitted[i] ** 2)
+            rank[left[weakest]] = len(left) - keep + 1
+            del left[weakest]
+    finally:
+        train.unpersist()
     rows = [(data.names[i], r, r == 1) for i, r in rank.items()]
     return data.train.sparkSession.createDataFrame(rows, "feature string, ranking int, selected boolean")
 

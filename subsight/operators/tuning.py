@@ -92,11 +92,15 @@ def cross_validate(
     def run(task: tuple[int, int]) -> tuple[int, float, float]:
         fold, i = task
         fit_rows, held_out = train.where(F.col("fold") != fold), train.where(F.col("fold") == fold)
-        model = make(**settings[i]).fit(fit_rows)
+        estimator = make(**settings[i])
+        if estimator.hasParam("rows"):
+            estimator.set(estimator.getParam("rows"), total - held[fold])
+        model = estimator.fit(fit_rows)
         return i, judge.evaluate(model.transform(fit_rows)), judge.evaluate(model.transform(held_out))
 
-    filled = [row[0] for row in train.select("fold").distinct().collect() if row[0] < folds]
-    tasks = [(fold, i) for i in range(len(settings)) for fold in sorted(filled)]
+    held = {row["fold"]: row["count"] for row in train.groupBy("fold").count().collect()}
+    total = sum(held.values())
+    tasks = [(fold, i) for i in range(len(settings)) for fold in sorted(held) if fold < folds]
     train_scores = [[] for _ in settings]
     scores = [[] for _ in settings]
     try:

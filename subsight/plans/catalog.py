@@ -466,7 +466,7 @@ def subscriber_features(t: StarInputs) -> DataFrame:
 @query
 def validation_join(t: StarInputs) -> DataFrame:
     engaged = eng.engaged_only(t.subscribers, t.engagement)
-    return eng.validation_join(t.customer_facts, engaged, spread_by="o_orderkey")
+    return eng.validation_join(t.customer_facts, engaged, spread_by="o_orderkey", hot=t.hot_subscribers)
 
 
 @query
@@ -712,6 +712,26 @@ def _final_metrics(data: models.TrainingData, found: tuning.Search) -> DataFrame
     return parts[0].unionByName(parts[1])
 
 
+@query
+def final_forest_report(t: StarInputs) -> DataFrame:
+    """Class report of the best forest of a search on train and on test rows."""
+    data = _training(t)
+    model = tuning.search_forest(data).model
+    parts = [
+        metrics.class_report(models.score(rows, model)).select(F.lit(name).alias("rows"), "*")
+        for name, rows in (("train", data.train), ("test", data.test))
+    ]
+    return parts[0].unionByName(parts[1])
+
+
+@query
+def final_forest_roc(t: StarInputs) -> DataFrame:
+    """ROC points of the best forest of a search on the test rows, without those on a line."""
+    data = _training(t)
+    scored = models.score(data.test, tuning.search_forest(data).model)
+    return metrics.roc(_written(scored, "churn", "prob"), drop_intermediate=True)
+
+
 @query
 def logistic_scores(t: StarInputs) -> DataFrame:
     data = _training(t)
@@ -752,6 +772,31 @@ def voted_features(t: StarInputs) -> DataFrame:
     return models.vote_features(models.rfe(data), importance)
 
 
+def _channel_ranking(t: StarInputs) -> tuple[DataFrame, DataFrame]:
+    """Channels in place of features: importance is their share of churn, support a churn rate above one half."""
+    rates = _written(
+        _merged(t).groupBy(F.col("attribution_technical").alias("feature")).agg(
+            F.sum("churn").alias("churned"), F.avg("churn").alias("rate")
+        ).where(F.col("feature").isNotNull()),
+        "feature", "churned", "rate",
+    )
+    total = rates.agg(F.sum("churned")).scalar()
+    importance = rates.select("feature", (F.col("churned") / total).alias("importance"))
+    return rates.select("feature", (F.col("rate") > 0.5).alias("selected")), importance
+
+
+@query
+def top_channels(t: StarInputs) -> DataFrame:
+    """The top-k of a table that is not fitted, so that it can be checked."""
+    return models.top_features(_channel_ranking(t)[1], 5)
+
+
+@query
+def voted_channels(t: StarInputs) -> DataFrame:
+    """The vote over tables that are not fitted, so that it can be checked."""
+    return models.vote_features(*_channel_ranking(t), 5)
+
+
 @query
 def curve_c_accuracy(t: StarInputs) -> DataFrame:
     return tuning.validation_curve(_training(t))

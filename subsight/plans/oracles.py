@@ -151,6 +151,8 @@ FROM scaled s LEFT JOIN acquired a ON a.tier = s.tier AND a.channel = s.channel"
   {_uniform('split').replace('subid', 'e.subid')} < {C.TEST_SHARE} AS is_test, b.tier
 FROM engaged e JOIN eng_features f ON f.subid = e.subid
 LEFT JOIN bands b ON e.account_creation_date > b.lo AND e.account_creation_date <= b.hi""",
+    "channel_ranks": """SELECT attribution_technical AS feature, AVG(churn) AS rate, SUM(churn) / SUM(SUM(churn)) OVER () AS importance
+FROM merged WHERE attribution_technical IS NOT NULL GROUP BY 1""",
     "halves": f"""SELECT *, ROW_NUMBER() OVER (ORDER BY md5(CAST(subid AS VARCHAR) || ':split:{SEED}'), subid)
   <= ceil({C.TEST_SHARE}e0 * COUNT(*) OVER ()) AS held_out FROM merged""",
     "scores": """SELECT subid, churn, prob, CAST(CASE WHEN prob > 0.5e0 THEN 1 ELSE 0 END AS INT) AS prediction FROM (
@@ -489,6 +491,11 @@ FROM scores p, scores n WHERE p.churn = 1 AND n.churn = 0""",
     "cac_per_subscriber": "SELECT subid, tier, attribution_technical, ROUND(CAC_i, 6) AS CAC_i FROM costed",
     "cac_null_channels": "SELECT attribution_technical, COUNT(*) AS n FROM costed"
     " WHERE CAC_i IS NULL AND attribution_technical IS NOT NULL GROUP BY 1",
+    "top_channels": "SELECT feature, ROUND(importance, 6) AS importance FROM channel_ranks"
+    " ORDER BY channel_ranks.importance DESC, feature LIMIT 5",
+    "voted_channels": "SELECT feature, ROUND(votes, 6) AS votes FROM"
+    " (SELECT feature, importance + CASE WHEN rate > 0.5e0 THEN 1 ELSE 0 END AS votes FROM channel_ranks) v"
+    " ORDER BY v.votes DESC, feature LIMIT 5",
     "plan_price_counts": "SELECT plan_type, discount_price, COUNT(*) AS n FROM merged GROUP BY 1, 2",
     "clv_per_subscriber": "SELECT subid, tier, ROUND(CAC_i, 6) AS CAC_i, ROUND(prob_churn, 6) AS prob_churn,"
     " ROUND(CLV_i, 6) AS CLV_i FROM valued",

@@ -116,10 +116,12 @@ class StarInputs:
             (F.col("o_orderkey") % 15).cast("int").alias("num_trial_days"),
         )
 
-    def _hot_subscribers(self) -> DataFrame:
-        return hot_keys(self._order_facts, "subid")
+    @cached_property
+    def hot_subscribers(self) -> list[int]:
+        """Subscribers with very many orders, counted once; a bounded number of them."""
+        return sorted(r["subid"] for r in hot_keys(self._order_facts, "subid").collect())
 
-    def _with_account(self, facts: DataFrame, hot: DataFrame | None = None) -> DataFrame:
+    def _with_account(self, facts: DataFrame, hot: list[int] | None = None) -> DataFrame:
         """Add the account of each row; rows of ``hot`` subscribers are split by order."""
         accounts = self.subscribers.select(
             "subid",
@@ -136,7 +138,7 @@ class StarInputs:
         """
         numbered = group_positions(self._order_facts, "subid", "o_orderdate", "o_orderkey")
         periods = numbered.withColumn("payment_period", F.col("position").cast("int"))
-        return self._with_account(periods, self._hot_subscribers()).select(
+        return self._with_account(periods, self.hot_subscribers).select(
             "subid",
             "account_creation_date",
             "payment_period",
@@ -158,7 +160,7 @@ class StarInputs:
     @cached_property
     def customer_facts(self) -> DataFrame:
         """The customer table without its period number, which costs a shuffle to derive."""
-        return self._with_account(self._order_facts, self._hot_subscribers()).select(
+        return self._with_account(self._order_facts, self.hot_subscribers).select(
             "subid",
             "account_creation_date",
             "billing_channel",

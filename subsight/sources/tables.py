@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -66,14 +67,17 @@ def read_spend(spark: SparkSession, path: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """A new folder name under the folder the cluster shares for checkpoints.
 
-    Without that setting the folder lies in the warehouse, which all executors
-    share too.
+    That is ``spark.checkpoint.dir``. Without it the folder lies in the warehouse, as
+    long as that is shared too: a folder of the driver's own machine is refused when
+    the work is not done there.
     """
-    base = (
-        spark.conf.get("spark.checkpoint.dir", None)
-        or spark.sparkContext.getCheckpointDir()
-        or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/checkpoints"
-    )
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not base:
+        warehouse = spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
+        local = warehouse.startswith(("file:", "/")) and not spark.conf.get("spark.hadoop.fs.defaultFS", "file:").startswith("hdfs")
+        if local and not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError(f"set spark.checkpoint.dir to a folder that all executors share; {warehouse} is not")
+        base = f"{warehouse}/checkpoints"
     return f"{base.rstrip('/')}/subsight-{uuid.uuid4().hex}"
 
 

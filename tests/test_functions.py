@@ -128,7 +128,7 @@ def test_split_join_equals_a_plain_join(spark, how):
     assert sorted(map(tuple, got.collect()), key=key) == sorted(map(tuple, plain.collect()), key=key)
 
 
-def test_sample_of_many_more_rows_than_prefixes_moves_about_n_rows(spark, monkeypatch):
+def test_sample_of_many_more_rows_than_prefixes(spark, monkeypatch):
     monkeypatch.setattr(ordered, "HASH_DIGITS", 1)
     df = spark.range(20_000).withColumn("g", F.col("id") % 2)
     hashed = df.withColumn("h", ordered.hash_text("id", 1, F.col("g")))
@@ -137,5 +137,21 @@ def test_sample_of_many_more_rows_than_prefixes_moves_about_n_rows(spark, monkey
         rows = hashed.orderBy("h", "id").collect()
         want = {(g, i + 1): r.id for g in (0, 1) for i, r in enumerate([r for r in rows if r.g == g][:n])}
         assert got == want
-    cells = ordered._needed_cells(hashed.withColumn("_p", F.substring("h", 1, 2)), ["g"], "_p", 5, F.lit(0))
-    assert cells.agg(F.max("_n")).first()[0] < 100
+
+
+def test_join_with_listed_hot_keys(spark):
+    large = spark.createDataFrame([(i % 5 if i % 3 else 7, i) for i in range(300)], "k long, x long")
+    lookup = spark.createDataFrame([(i, i * 10) for i in range(9)], "k long, y long")
+    want = sorted(map(tuple, large.join(lookup, "k").collect()))
+    for hot in ([], [7], [7, 1]):
+        assert sorted(map(tuple, joins.split_join(large, lookup, "k", "x", hot=hot).collect())) == want
+
+
+def test_hot_share_rises_with_the_partitions(spark):
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "50000")
+        assert joins.hot_share(spark) == 50_000
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert joins.hot_share(spark) == joins.HOT_SHARE
