@@ -8,7 +8,6 @@ temperature, chosen on rows that it did not learn from.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -16,6 +15,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from subsight.llm.columns import unused_name
 
 BUCKETS = 1 << 14
 #: About so many labelled rows of each language are learned from, drawn by a hash of the id.
@@ -25,7 +27,6 @@ ALPHA, BETA, L1, L2 = 0.5, 1.0, 0.002, 0.0005
 #: Characters counted at once, to bound the memory a very long text takes.
 BLOCK = 1 << 20
 UNDETERMINED = "und"
-_LETTER = re.compile(r"[^\W\d_]")
 _MULTIPLIERS = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D], dtype=np.uint64)
 _SPACE = np.uint64(32)
 
@@ -56,7 +57,8 @@ def ngram_counts(text: str) -> np.ndarray:
 
 
 def has_letter(text: str | None) -> bool:
-    return bool(text) and _LETTER.search(text) is not None
+    """Whether a text holds a character of Unicode's letter classes; digits and numerals are none."""
+    return bool(text) and any(map(str.isalpha, text))
 
 
 def _weighted(counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
@@ -183,22 +185,25 @@ def fit(docs: DataFrame, rows_per_lang: int = ROWS_PER_LANG) -> Model:
 def add_language(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """Add ``lang_pred`` and ``score``, replacing columns of these names.
 
-    Only the text is read. Null, empty and letterless texts are ``und`` with
-    score 0. Other columns and repeated rows stay as they are.
+    Only the text is read, the whole of it however long. Null, empty and letterless
+    texts are ``und`` with score 0. Other columns, whatever their names, and repeated
+    rows stay as they are; an empty table gives an empty one.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)  # BUCKETS numbers per language
 
     def per_batch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         learnt = shared.value
         for batch in batches:
-            found = [learnt.predict(t.as_py()) for t in batch.column("_text")]
-            rest = batch.drop_columns(["_text"])
+            *kept, texts = batch.columns
+            found = [learnt.predict(t.as_py()) for t in texts]
             columns = [pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())]
-            yield pa.RecordBatch.from_arrays([*rest.columns, *columns], names=[*rest.schema.names, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*kept, *columns], names=names)
 
     rows = docs.drop("lang_pred", "score")
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
-    return rows.withColumn("_text", F.col(text_col)).mapInArrow(per_batch, f"{kinds}, lang_pred string, score double")
+    made = [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]
+    schema = T.StructType([*rows.schema.fields, *made])
+    names = schema.names
+    return rows.withColumn(unused_name(rows, "own_text"), F.col(text_col)).mapInArrow(per_batch, schema)
 
 
 def is_held_out(doc_id: str = "doc_id") -> Column:

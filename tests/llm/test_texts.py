@@ -135,3 +135,21 @@ def test_long_names_and_values_before_other_groups():
                 for after in ("", " EUR 50", " 12/27", " 123", " BIC COBADEFF", ".", ", 5", ")"):
                     text, found = pseudonymise(before + value + after, feistel)
                     assert (text, found[kind]) == (before + alone + after, 1), (before, value, after)
+
+
+@pytest.mark.parametrize("page", ["<a " * 1_000_000, "<b>" * 20_000 + "</i>" * 20_000, "<!" * 500_000, "<a " * 200_000 + ">"])
+def test_hostile_pages_take_seconds(page):
+    import time
+
+    from subsight.llm.html_text import page_lines
+
+    start = time.perf_counter()
+    page_lines(page)
+    assert time.perf_counter() - start < 10
+
+
+def test_letters_are_those_of_unicode():
+    from subsight.llm.langid import has_letter
+
+    assert not any(map(has_letter, [None, "", "12 _-", "² ½ ① Ⅷ"]))
+    assert all(map(has_letter, ["a", "1é", "中", "ʰ", "ǅ"]))
