@@ -15,7 +15,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from subsight.llm.columns import unused_name
 from subsight.llm.ordering import in_order
 from subsight.llm.words import WordHashes, lower_words, mixed, shingle_hashes
 
@@ -103,21 +105,24 @@ class Fingerprinter:
 def add_fingerprint(docs: DataFrame, text_col: str = "text", shingle_words: int = SHINGLE_WORDS) -> DataFrame:
     """Add ``fingerprint``, replacing a column of that name.
 
-    Null, empty and blank texts get the empty string. Equal texts get equal
-    fingerprints; so do texts that differ only in white space or A-Z case.
+    Null, empty and blank texts get the empty string; texts of any length are read
+    whole. Equal texts get equal fingerprints; so do texts that differ only in white
+    space or A-Z case. Other columns, whatever their names, and repeated rows stay as
+    they are; an empty table gives an empty one.
     """
 
     def per_batch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         make = Fingerprinter(shingle_words)
         for batch in batches:
-            prints = pa.array([packed(make(t.as_py())) for t in batch.column("_text")], pa.string())
-            rest = batch.drop_columns(["_text"])
-            yield pa.RecordBatch.from_arrays([*rest.columns, prints], names=[*rest.schema.names, "fingerprint"])
+            *kept, texts = batch.columns
+            prints = pa.array([packed(make(t.as_py())) for t in texts], pa.string())
+            yield pa.RecordBatch.from_arrays([*kept, prints], names=names)
 
     rows = docs.drop("fingerprint")
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
-    with_text = rows.withColumn("_text", F.col(text_col).cast("binary"))
-    return with_text.mapInArrow(per_batch, f"{kinds}, fingerprint string")
+    schema = T.StructType([*rows.schema.fields, T.StructField("fingerprint", T.StringType())])
+    names = schema.names
+    with_text = rows.withColumn(unused_name(rows, "own_text"), F.col(text_col).cast("binary"))
+    return with_text.mapInArrow(per_batch, schema)
 
 
 EDIT_SCHEMA = (

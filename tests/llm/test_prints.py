@@ -111,3 +111,19 @@ def test_packing_and_short_texts():
         assert fingerprints.likeness(codes, codes) == 1.0
     assert fingerprints.packed(make(b" \n")) == "" and fingerprints.likeness(None, codes) == 0.0
     assert np.array_equal(make(b"A b C d e f"), make(b"a  b\nc d e f"))
+
+
+def test_fingerprints_of_a_table(spark):
+    text = " ".join(f"w{i}" for i in range(300))
+    rows = [(1, text), (1, text), (2, text.upper()), (3, None), (4, " "), (None, "alone"), (6, "word " * 200_000)]
+    schema = "doc_id long, text string, fingerprint int, _text string, own_text string, `a b` struct<`c d`:int>"
+    docs = spark.createDataFrame([(i, t, 5, "x", "y", (7,)) for i, t in rows], schema)
+    got = fingerprints.add_fingerprint(docs)
+    assert got.columns == ["doc_id", "text", "_text", "own_text", "a b", "fingerprint"]
+    found = {}
+    for r in got.collect():
+        assert r["_text"] == "x" and r["own_text"] == "y" and r["a b"][0] == 7
+        found.setdefault(r.doc_id, []).append(r.fingerprint)
+    assert found[1][0] == found[1][1] == found[2][0] != "" and found[3] == found[4] == [""]
+    assert found[None][0] not in ("", found[1][0]) and len(found[6]) == 1
+    assert fingerprints.add_fingerprint(docs.limit(0)).count() == 0
