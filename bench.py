@@ -1,7 +1,8 @@
 """Time the headline queries; prints one JSON line.
 
 Each query runs once to warm up and then ``BENCH_RUNS`` times; the best time
-counts. Model fits are long, so they run once.
+counts. Model fits are long, so they run once. Beside them stand DuckDB's seconds
+for the same result by the SQL that checks it, as a yardstick on one machine.
 """
 
 from __future__ import annotations
@@ -17,6 +18,9 @@ from pyspark.sql import SparkSession
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from subsight.plans.catalog import QUERIES  # noqa: E402
+from subsight.plans.oracles import ORACLES  # noqa: E402
+
+TABLES = ["nation", "customer", "orders", "events"]
 
 HEADLINE = [
     "scan_subscribers",
@@ -59,10 +63,31 @@ def seconds(spark: SparkSession, name: str, sf_dir: str) -> float:
     return time.perf_counter() - start
 
 
+def duckdb_seconds(sf_dir: str) -> dict[str, float]:
+    """Seconds of the checking SQL in DuckDB, best of two runs."""
+    try:
+        import duckdb
+    except ImportError:
+        return {}
+    connection = duckdb.connect()
+    for name in TABLES:
+        connection.execute(f"CREATE VIEW {name} AS SELECT * FROM '{sf_dir}/{name}.parquet'")
+    times = {}
+    for name in HEADLINE:
+        if name in ORACLES:
+            runs = []
+            for _ in range(2):
+                start = time.perf_counter()
+                connection.execute(ORACLES[name]).fetchall()
+                runs.append(time.perf_counter() - start)
+            times[name] = round(min(runs), 3)
+    return times
+
+
 def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
-    runs = int(os.environ.get("BENCH_RUNS", "2"))
+    runs = int(os.environ.get("BENCH_RUNS", "3"))
     spark = (
         SparkSession.builder.master(f"local[{cpus}]")
         .appName("subsight-bench")
@@ -91,6 +116,7 @@ def main() -> None:
                 "sf": float(scale.group(1)) if scale else None,
                 "spark": spark.version,
                 "cpus": cpus,
+                "duckdb": duckdb_seconds(sf_dir),
             }
         )
     )
