@@ -8,12 +8,15 @@ from pyspark.sql import functions as F
 
 from subsight.functions.ordered import range_cuts
 
+#: Ranges there are at least and at most; between them, one for so many rows. Each gives one row to the driver.
 RANGES = 1024
+MAX_RANGES = 1 << 16
+ROWS_PER_RANGE = 20_000
 #: Stands for a null key, so that such rows come last.
 LAST = 2**63 - 1
 
 
-def in_order(df: DataFrame, key: str, ties: str, ranges: int = RANGES) -> DataFrame:
+def in_order(df: DataFrame, key: str, ties: str, ranges: int | None = None) -> DataFrame:
     """Deal ``df`` into sorted ranges of a whole-number key; no task sorts all rows.
 
     The result is sorted within partitions by ``_range``, ``_after`` and the key
@@ -21,8 +24,9 @@ def in_order(df: DataFrame, key: str, ties: str, ranges: int = RANGES) -> DataFr
     ``_after`` 1, the rows with the first key of the next range; after the last
     range those of the first range. So in a scan of a partition each row's
     successor is the row after it. The cuts, fewer than ``ranges`` numbers, decide
-    how even the work is, not the result.
+    how even the work is, not the result. Unless given, ``ranges`` rises with the rows.
     """
+    ranges = ranges or min(MAX_RANGES, max(RANGES, df.count() // ROWS_PER_RANGE))
     keyed = df.withColumn("_key", F.coalesce(F.col(key).cast("long"), F.lit(LAST))).withColumn(
         "_place", F.col("_key").cast("double")
     )
