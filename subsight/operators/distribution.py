@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from subsight.constants import DENSITY_POINTS, HISTOGRAM_BINS
+from subsight.functions.joins import split_join
 from subsight.functions.sizes import small_side
 
 #: Bins of a binned density curve in one bandwidth, and bandwidths beyond which a value adds nothing.
@@ -41,6 +42,15 @@ def _widened(low: Column, high: Column) -> tuple[Column, Column]:
     return F.when(flat, low - 0.5).otherwise(low), F.when(flat, high + 0.5).otherwise(high)
 
 
+def _with_lookup(known: DataFrame, lookup: DataFrame, group: str, col: str) -> tuple[DataFrame, DataFrame]:
+    """Rows beside the one lookup row of their group, and that table as later joins should take it.
+
+    A small lookup is broadcast; beyond that the rows of common groups are split by value.
+    """
+    side = small_side(lookup)
+    return (split_join(known, lookup, group, col) if side is lookup else known.join(side, group)), side
+
+
 def _all_bins(df: DataFrame, bins: int) -> DataFrame:
     return df.sparkSession.range(bins).select(F.col("id").cast("int").alias("bin"))
 
@@ -88,12 +98,10 @@ def histogram_by(df: DataFrame, group: str, col: str, bins: int = HISTOGRAM_BINS
     value = F.col(col)
     known = df.where(F.col(group).isNotNull() & value.isNotNull()).select(group, col)
     low, high = _widened(F.min(value), F.max(value))
-    ranges = small_side(
-        known.groupBy(group).agg(low.alias("low"), high.alias("high"), F.count("*").alias("total"))
-    )
+    ranges = known.groupBy(group).agg(low.alias("low"), high.alias("high"), F.count("*").alias("total"))
+    placed, ranges = _with_lookup(known, ranges, group, col)
     counted = (
-        known.join(ranges, group)
-        .groupBy(group, _bin_of(value, F.col("low"), F.col("high"), bins).alias("bin"))
+        placed.groupBy(group, _bin_of(value, F.col("low"), F.col("high"), bins).alias("bin"))
         .agg(F.count("*").alias("n"))
     )
     numbers = F.explode(F.sequence(F.lit(0), F.lit(bins - 1)))
@@ -160,9 +168,10 @@ def kde_by(df: DataFrame, group: str, col: str, points: int = DENSITY_POINTS) ->
     """Density curve per group, each on its own grid. A group without spread has no curve."""
     value = F.col(col)
     known = df.where(F.col(group).isNotNull() & value.isNotNull()).select(group, col)
-    frames = small_side(known.groupBy(group).agg(*_curve_frame(value, points)).where(F.col("h") > 0))
+    frames = known.groupBy(group).agg(*_curve_frame(value, points)).where(F.col("h") > 0)
+    placed, _ = _with_lookup(known, frames, group, col)
     kept = [F.first(p).alias(p) for p in ("n", "h", "start", "step")]
-    summed = known.join(frames, group).groupBy(group).agg(*kept, *_heights(col, points))
+    summed = placed.groupBy(group).agg(*kept, *_heights(col, points))
     return _curve(summed, points, group)
 
 
@@ -191,7 +200,7 @@ def kde_binned(
     place = F.expr(f"({col} - low) / (h / {per_bandwidth})")
     beyond = place - F.floor(place)
     if group:
-        placed = known.join(framed, group)
+        placed, framed = _with_lookup(known, framed, group, col)
     else:  # one row
         placed = known.join(F.broadcast(framed))
     bins = placed.groupBy(*keys, F.floor(place).alias("bin")).agg(

@@ -147,3 +147,17 @@ def test_sketches_merge_within_their_error(spark):
     for r in sketches.approx_percentiles(held, [], [0.01, 0.5, 0.99]).collect():
         place = bisect.bisect_left(values, r.approx_value) / len(values)
         assert r.n == len(values) and abs(place - r.share) <= sketches.RANK_ERROR
+
+
+def test_distributions_of_many_groups_are_those_of_few(spark, monkeypatch):
+    rng = random.Random(6)
+    rows = [(rng.choice(["hot"] * 8 + ["a", "b", None]), rng.choice([None, rng.gauss(0, 3), 1.0])) for _ in range(600)]
+    df = spark.createDataFrame(rows, "g string, v double")
+
+    def everything():
+        made = [distribution.histogram_by(df, "g", "v"), distribution.kde_by(df, "g", "v"), distribution.kde_binned(df, "v", "g")]
+        return [sorted(tuple(round(x, 9) if isinstance(x, float) else x for x in r) for r in m.collect()) for m in made]
+
+    small = everything()
+    monkeypatch.setattr(distribution, "small_side", lambda side: side)
+    assert everything() == small and all(small)
