@@ -88,3 +88,15 @@ def test_one_subscriber_with_a_third_of_all_rows(spark):
     assert merged.count() == 41
     big = merged.where("subid = 1").first()
     assert big.active_days == 14 and big.app_opens_per_duration == pytest.approx(3000 / 14)
+
+
+def test_queries_without_the_package_for_training_data(monkeypatch):
+    """The entry point leaves out that package's queries and the pipeline when the package is not there."""
+    import importlib.util
+
+    import __spark_entry__ as entry_module
+
+    found = importlib.util.find_spec
+    monkeypatch.setattr(importlib.util, "find_spec", lambda name, *a: None if name == "subsight.llm" else found(name, *a))
+    assert set(entry_module.queries()) == set(QUERIES)
+    assert "pipeline" not in entry_module.oracle_sql()
