@@ -84,29 +84,107 @@ def source_targets(
     return weighed.withColumn("target", target).withColumn("rate", rate).select("source", "source_size", "target", "rate")
 
 
+#: Draws are numbers below 2 ** 60; their top bits tell the cell in which a bound is looked for.
+DRAW_DIGITS = 15
+CELL_BITS = 12
+
+
+def _number(key: Column) -> Column:
+    return F.conv(F.substring(F.md5(key), 1, DRAW_DIGITS), 16, 10).cast("long")
+
+
 def _draw(seed: int) -> Column:
-    """A number in [0, 1) from id and text: the same in every run, apart for rows that differ."""
-    key = F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col("doc_id").cast("string"), F.md5("text"), F.lit("")))
-    return F.conv(F.substring(F.md5(key), 1, 8), 16, 10).cast("double") / F.lit(4294967296e0)
+    """A number below 2 ** 60 from id or text: the same in every run, apart for rows that differ."""
+    return _number(F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col("doc_id").cast("string"), F.md5("text"), F.lit(""))))
+
+
+def _size_class(size: str) -> Column:
+    """Eight classes for each doubling of the size, rising with it; 0 for size 0."""
+    bits = f"length(bin({size}))"
+    return F.expr(f"cast({bits} * 8 - 8 + shiftright({size} * 8, {bits} - 1) as int)")
+
+
+def _sized(docs: DataFrame, seed: int, keep: tuple[str, ...]) -> DataFrame:
+    rows = docs.select("doc_id", "source", size_of(F.col("text")).alias("size"), _draw(seed).alias("_draw"), *keep)
+    return rows.withColumn("_class", _size_class("size"))
+
+
+def draw_bounds(rows: DataFrame, targets: DataFrame, seed: int = SEED) -> DataFrame:
+    """``(source, _class, source_size, target, rate, bound)``: whose draw gets the extra copy.
+
+    The extra copies of a source are its documents times the fraction of its rate.
+    They go round its size classes from small to large: a class gets the whole numbers
+    that the running sum of fractions passes in it, starting at a hash of the source.
+    So every document has the probability of the fraction, large ones are taken in turn
+    with their likes, and the words come out near the target. In a class the smallest
+    draws are taken, up to ``bound``: the draw of that rank, found by counts per cell
+    and then by the draws of one cell. No document moves, equal draws go together,
+    and they are counted before they meet.
+    """
+    cell = F.shiftright("_draw", 4 * DRAW_DIGITS - CELL_BITS)
+    celled = rows.select("source", "_class", "_draw", cell.alias("_cell"))
+    cells = materialize(celled.groupBy("source", "_class", "_cell").agg(F.count("*").alias("_n")))
+    own = targets.withColumnRenamed("source", "_source")
+    start = _number(F.concat_ws(":", F.lit(f"{seed}:source"), F.coalesce("source", F.lit("")))).cast("double")
+    upto = F.sum("_n").over(W.partitionBy("source").orderBy("_class").rowsBetween(W.unboundedPreceding, 0))
+    fraction = F.col("rate") - F.floor("rate")
+
+    def passed(count: Column) -> Column:
+        return F.floor(F.col("_start") + count * fraction)
+
+    classes = (
+        cells.groupBy("source", "_class")
+        .agg(F.sum("_n").alias("_n"))
+        .withColumn("_upto", upto)
+        .join(own, F.col("source").eqNullSafe(F.col("_source")))
+        .withColumn("_start", start / F.lit(float(16**DRAW_DIGITS)))
+        .withColumn("_wanted", passed(F.col("_upto")) - passed(F.col("_upto") - F.col("_n")))
+        .select("source", "_class", "source_size", "target", "rate", "_wanted")
+    )
+    classes = materialize(classes)
+
+    def same(left: DataFrame, right: DataFrame, *names: str) -> Column:
+        found = left["source"].eqNullSafe(right["source"])
+        for name in names:
+            found &= left[name] == right[name]
+        return found
+
+    before = F.sum("_n").over(W.partitionBy("source", "_class").orderBy("_cell")) - F.col("_n")
+    held = cells.withColumn("_before", before)
+    last = F.col("_wanted") - F.col("_before")
+    needed = (
+        held.join(classes, same(held, classes, "_class"))
+        .where((last > 0) & (last <= F.col("_n")))
+        .select(held["source"], held["_class"], "_cell", last.alias("_last"))
+    )
+    # A cell of each class at most, and equal draws as one row.
+    met = celled.join(needed, same(celled, needed, "_class", "_cell")).select(celled["source"], celled["_class"], "_draw", "_last")
+    drawn = met.groupBy("source", "_class", "_draw", "_last").agg(F.count("*").alias("_n"))
+    drawn = drawn.withColumn("_upto", F.sum("_n").over(W.partitionBy("source", "_class").orderBy("_draw")))
+    bounds = drawn.where(F.col("_upto") >= F.col("_last")).groupBy("source", "_class").agg(F.min("_draw").alias("bound"))
+    return classes.join(bounds, same(classes, bounds, "_class"), "left").select(
+        classes["source"], classes["_class"], "source_size", "target", "rate", "bound"
+    )
 
 
 def plan_mix(docs: DataFrame, seed: int = SEED, keep: tuple[str, ...] = (), **rules) -> DataFrame:
     """``(doc_id, source, size, source_size, target, rate, copies, taken)`` per row.
 
     A document comes ``floor(rate)`` times, and once more with the probability of
-    the rest, drawn from a hash of its id. Rows without id are drawn by their
-    text. ``keep`` names further columns to carry. The table of sources is
-    written, so Spark knows its size and broadcasts it only if it is small; else
-    a source that holds many rows is split by adaptive skew handling.
+    the rest, by a hash of its id (``draw_bounds``). Rows without id are drawn by their
+    text. ``keep`` names further columns to carry. Sizes and draws are counted once
+    and written. The table of bounds, a row per source and size class, is written too,
+    so Spark knows its size and broadcasts it only if it is small; else a source that
+    holds many rows is split by adaptive skew handling.
     """
-    rows = docs.select("doc_id", "source", size_of(F.col("text")).alias("size"), _draw(seed).alias("_draw"), *[F.col(c) for c in keep])
-    sizes = docs.select("source", size_of(F.col("text")).alias("size"))
-    targets = materialize(source_targets(sizes, **rules))
-    own = targets.withColumnRenamed("source", "_source")
-    joined = rows.join(own, F.col("source").eqNullSafe(F.col("_source")))
-    whole = F.floor("rate")
-    copies = (whole + (F.col("_draw") < F.col("rate") - whole).cast("int")).cast("long")
-    return joined.withColumn("copies", copies).select(
+    rows = materialize(_sized(docs, seed, ()))
+    targets = materialize(source_targets(rows.select("source", "size"), **rules))
+    bounds = materialize(draw_bounds(rows, targets, seed)).withColumnsRenamed({"source": "_source", "_class": "_own_class"})
+    # Other columns are not written a second time: their rows are read from the documents again.
+    drawn = _sized(docs, seed, keep) if keep else rows
+    joined = drawn.join(bounds, F.col("source").eqNullSafe(F.col("_source")) & (F.col("_class") == F.col("_own_class")))
+    extra = F.coalesce(F.col("_draw") <= F.col("bound"), F.lit(False)).cast("int")
+    return joined.withColumn("copies", (F.floor("rate") + extra).cast("long")).select(
         "doc_id", "source", "size", "source_size", "target", "rate", "copies",
         (F.col("size") * F.col("copies")).alias("taken"), *keep,
     )

@@ -30,8 +30,10 @@ SELECT documents.doc_id,
   CAST(coalesce(gone, 0) AS INT) AS lines_removed
 FROM documents LEFT JOIN n USING (doc_id) LEFT JOIN k USING (doc_id)""",
     "op3_source_mix": r"""
-WITH d AS (SELECT doc_id, source,
+WITH z AS (SELECT doc_id, source,
     CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size FROM documents),
+d AS (SELECT *, length(bin(size)) * 8 - 8 + ((size * 8) >> (length(bin(size)) - 1)) AS cls,
+    CAST('0x' || substr(md5('11:' || doc_id), 1, 15) AS BIGINT) AS draw FROM z),
 s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
 o AS (SELECT *, CAST([5, 2, 1][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS DOUBLE) AS weight,
     CAST(source_size AS DOUBLE) * 2 AS cap FROM s),
@@ -41,11 +43,18 @@ u AS (SELECT *, sum(caps) OVER (ORDER BY fill) - caps AS caps_before,
 v AS (SELECT fill, ((SELECT sum(source_size) FROM s) * CAST(1.5 AS DOUBLE) - caps_before) / open AS level FROM u),
 x AS (SELECT min_by(level, fill) AS level FROM v WHERE level <= fill),
 t AS (SELECT source, source_size, coalesce(least(cap, weight * level), cap) AS target FROM o, x),
-q AS (SELECT d.*, source_size, target, CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS rate,
-    CAST('0x' || substr(md5('11:' || doc_id), 1, 8) AS BIGINT) / CAST(4294967296 AS DOUBLE) AS draw
-    FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
+r AS (SELECT *, CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS rate,
+    CAST('0x' || substr(md5('11:source:' || coalesce(source, '')), 1, 15) AS BIGINT)
+      / CAST(1152921504606846976 AS DOUBLE) AS start FROM t),
+n AS (SELECT source, cls, count(*) AS n, sum(count(*)) OVER (PARTITION BY source ORDER BY cls) AS upto FROM d GROUP BY source, cls),
+k AS (SELECT n.source, cls, source_size, target, rate,
+    floor(start + CAST(upto AS DOUBLE) * (rate - floor(rate)))
+      - floor(start + CAST(upto - n AS DOUBLE) * (rate - floor(rate))) AS wanted
+    FROM n JOIN r ON n.source IS NOT DISTINCT FROM r.source),
+q AS (SELECT d.*, source_size, target, rate, wanted, rank() OVER (PARTITION BY d.source, d.cls ORDER BY draw) AS place
+    FROM d JOIN k ON d.source IS NOT DISTINCT FROM k.source AND d.cls = k.cls)
 SELECT doc_id, size, source_size, target,
-  CAST(size * (floor(rate) + CASE WHEN draw < rate - floor(rate) THEN 1 ELSE 0 END) AS BIGINT) AS taken
+  CAST(size * (floor(rate) + CASE WHEN place <= wanted THEN 1 ELSE 0 END) AS BIGINT) AS taken
 FROM q""",
     "op11_phrase_collocations": r"""
 WITH t AS (SELECT row_number() OVER () AS d, coalesce(lang, 'und') AS lang,

@@ -114,3 +114,48 @@ def test_mix_targets_and_copies(spark):
     assert len(mixed) == sum(r.copies for r in planned)
     assert set(mixed[0].asDict()) == set(df.columns)
     assert mixing.mix(docs_of(spark, [])).count() == 0
+
+
+def brute_copies(rows, planned, seed=mixing.SEED):
+    """Extra copies go round the size classes; in a class the smallest draws have them."""
+
+    def number(key):
+        return int(hashlib.md5(key.encode()).hexdigest()[:15], 16)
+
+    copies, by_source = {}, {}
+    for i, t, s in rows:
+        by_source.setdefault(s, []).append((len((t or "").split()), number(f"{seed}:{i}"), i))
+    rates = {r.source: r.rate for r in planned}
+    for source, docs in by_source.items():
+        whole, rest = divmod(rates[source], 1)
+        passed = number(f"{seed}:source:{source or ''}") / 16**15
+        classes = {}
+        for size, draw, i in docs:
+            bits = max(1, size.bit_length())
+            classes.setdefault((bits - 1, (size * 8) >> (bits - 1)) if size else (-1, 0), []).append((draw, i))
+        before = 0
+        for _, members in sorted(classes.items()):
+            wanted = int(passed + (before + len(members)) * rest) - int(passed + before * rest)
+            before += len(members)
+            for place, (_, i) in enumerate(sorted(members)):
+                copies[i] = int(whole) + (place < wanted)
+    return copies
+
+
+def test_extra_copies_against_brute_force(spark):
+    rows = [(i, " ".join(["w"] * (i * i % 97)), ("a", "b", "c", None)[i % 4]) for i in range(1200)]
+    planned = mixing.plan_mix(docs_of(spark, rows)).collect()
+    assert {r.doc_id: r.copies for r in planned} == brute_copies(rows, planned)
+    for source in ("a", "b", "c", None):
+        own = [r for r in planned if r.source == source]
+        extra = sum(r.copies - int(r.rate) for r in own)
+        assert abs(extra - len(own) * (own[0].rate % 1)) < 1
+        assert sum(r.taken for r in own) == pytest.approx(own[0].target, rel=0.01)
+
+
+def test_rows_that_share_a_draw_go_together(spark):
+    rows = [(None, "same text here", "a")] * 300 + [(5, f"{i} b c", "a") for i in range(50)] + [(i, "x y", "b") for i in range(100, 400)]
+    planned = mixing.plan_mix(docs_of(spark, rows)).collect()
+    assert len(planned) == len(rows)
+    assert len({r.copies for r in planned if r.doc_id is None}) == 1 and len({r.copies for r in planned if r.doc_id == 5}) == 1
+    assert all(r.taken <= 2 * r.size for r in planned)
