@@ -2,9 +2,11 @@
 
 An archive begins with a skippable frame that holds its compression dictionary
 (magic 0x184D2A5D); then comes one frame per record. Archives are written through
-Spark's text writer, one record frame a row. The line separator it puts after
+Spark's text writer, a run of whole frames a row. The line separator it puts after
 each row is an empty skippable frame, which every Zstandard reader passes over.
 So archives commit and retry like any Spark output and can lie in any store.
+The writer begins a new file after a fixed number of rows; an archive that is
+full before is filled up with empty rows, so a new one begins when bytes say so.
 """
 
 from __future__ import annotations
@@ -42,6 +44,10 @@ DICTIONARY_SAMPLE_BYTES = 1 << 20
 DICTIONARY_BYTES = 1 << 15
 #: No frame may unfold to more than this.
 MAX_RECORD_BYTES = 1 << 30
+#: An archive ends with the record that takes it to so many bytes: one task reads it whole.
+ARCHIVE_BYTES = 1 << 28
+#: Frames are gathered to rows of at least so many bytes.
+ROW_BYTES = 1 << 18
 
 
 def plan_records(pages: DataFrame, min_revisit_bytes: int = MIN_REVISIT_BYTES) -> DataFrame:
@@ -124,49 +130,82 @@ def _dictionary(samples: list[bytes]) -> zstandard.ZstdCompressionDict | None:
         return None
 
 
-def _archive_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One archive from a partition's rows: the dictionary's frame, if any, then a frame per record."""
+def _archives_of(records: Iterator[bytes], archive_bytes: int) -> Iterator[tuple[bytes, bool]]:
+    """``(frames, ends)``: each archive's dictionary frame, if any, then a frame per record; ``ends`` marks its last but for the last of all."""
     waiting: list[bytes] = []
-    compressor = None
+    compressor, waiting_bytes, written = None, 0, 0
 
-    def opened() -> list[bytes]:
-        nonlocal compressor
+    def opened() -> bytes:
+        nonlocal compressor, waiting_bytes
         learnt = _dictionary([r[:16384] for r in waiting])
         compressor = zstandard.ZstdCompressor(level=LEVEL, dict_data=learnt, write_content_size=True)
         frames = [compressor.compress(r) for r in waiting]
+        if learnt is not None:
+            body = learnt.as_bytes()
+            frames.insert(0, struct.pack("<II", DICTIONARY_MAGIC, len(body)) + body)
         waiting.clear()
-        if learnt is None:
-            return frames
-        body = learnt.as_bytes()
-        return [struct.pack("<II", DICTIONARY_MAGIC, len(body)) + body, *frames]
-
-    def as_batch(frames: list[bytes]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(frames, pa.binary())], names=["frame"])
-
-    size = 0
-    for batch in batches:
-        out: list[bytes] = []
-        names = batch.schema.names
-        for values in zip(*batch.columns):
-            record = record_bytes({n: v.as_py() for n, v in zip(names, values)})
-            if compressor is not None:
-                out.append(compressor.compress(record))
-                continue
+        waiting_bytes = 0
+        return b"".join(frames)
+
+    for record in records:
+        if compressor is None:
             waiting.append(record)
-            size += len(record)
-            if len(waiting) >= DICTIONARY_RECORDS or size >= DICTIONARY_SAMPLE_BYTES:
-                out += opened()
-        if out:
-            yield as_batch(out)
+            waiting_bytes += len(record)
+            if len(waiting) < DICTIONARY_RECORDS and waiting_bytes < min(DICTIONARY_SAMPLE_BYTES, archive_bytes):
+                continue
+            frames = opened()
+        else:
+            frames = compressor.compress(record)
+        written += len(frames)
+        ends = written >= archive_bytes
+        if ends:
+            compressor, written = None, 0
+        yield frames, ends
     if waiting:
-        yield as_batch(opened())
+        yield opened(), False
+
+
+def _archive_writer(archive_bytes: int, row_bytes: int, rows_per_file: int):
+    """Rows of whole frames; an archive that ends is filled up to ``rows_per_file`` with empty rows."""
 
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def as_batch(values: list[bytes]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(values, pa.binary())], names=["frames"])
 
-def write_warc(records: DataFrame, path: str) -> None:
-    """Write the records of ``plan_records`` as archives, one per partition of ``records``."""
-    frames = records.mapInArrow(_archive_rows, "frame binary")
-    frames.select(F.col("frame").cast("string").alias("value")).write.option("lineSep", EMPTY_FRAME).option(
-        "maxRecordsPerFile", 0
+        def records() -> Iterator[bytes]:
+            for batch in batches:
+                names = batch.schema.names
+                for values in zip(*batch.columns):
+                    yield record_bytes({n: v.as_py() for n, v in zip(names, values)})
+
+        waiting, size, rows = [], 0, 0
+        for frames, ends in _archives_of(records(), archive_bytes):
+            waiting.append(frames)
+            size += len(frames)
+            if ends or size >= row_bytes:
+                yield as_batch([b"".join(waiting)])
+                waiting, size, rows = [], 0, rows + 1
+            if ends:
+                yield as_batch([b""] * (rows_per_file - rows))
+                rows = 0
+        if waiting:
+            yield as_batch([b"".join(waiting)])
+
+    return write
+
+
+def write_warc(records: DataFrame, path: str, archive_bytes: int = ARCHIVE_BYTES) -> None:
+    """Write the records of ``plan_records`` as archives, one or more per partition of ``records``.
+
+    An archive is as large as ``archive_bytes`` and its last record at most, whatever
+    the number and evenness of the partitions.
+    """
+    row_bytes = min(ROW_BYTES, archive_bytes)
+    # An archive has at most so many rows, and always ends within them.
+    rows_per_file = archive_bytes // row_bytes + 1
+    frames = records.mapInArrow(_archive_writer(archive_bytes, row_bytes, rows_per_file), "frames binary")
+    frames.select(F.col("frames").cast("string").alias("value")).write.option("lineSep", EMPTY_FRAME).option(
+        "maxRecordsPerFile", rows_per_file
     ).text(path)
 
 
@@ -329,8 +368,8 @@ def read_warc(spark: SparkSession, path: str, with_payload: bool = True, strict:
 
     Header syntax, required headers, block length, HTTP length and payload
     digest are checked. ``strict`` fails on the first broken record; otherwise it
-    becomes a row with ``error``. An archive is read whole by one task, so it
-    should stay under some hundred MB, as archives do.
+    becomes a row with ``error``. An archive is read whole by one task; those of
+    ``write_warc`` are bounded.
     """
     files = spark.read.format("binaryFile").load(path).select("path", "content")
     return files.mapInArrow(_reader(with_payload, strict), READ_SCHEMA)

@@ -56,6 +56,36 @@ def test_empty_archives(spark):
     assert warc.through_archives(empty).count() == 0
 
 
+def test_full_archives_end_and_new_ones_begin(spark, tmp_path):
+    # Digests do not compress, so sizes are near those of the frames.
+    pages = [(i, f"http://h/{i}", "".join(hashlib.sha256(f"{i}:{k}".encode()).hexdigest() for k in range(i % 7 * 20))) for i in range(600)]
+    pages.append((1000, "http://h/large", "".join(hashlib.sha256(f"l{k}".encode()).hexdigest() for k in range(9000))))
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    path = tmp_path / "many"
+    warc.write_warc(warc.plan_records(df).coalesce(1), str(path), archive_bytes=100_000)
+    files = sorted(path.glob("part-*"))
+    assert len(files) > 5
+    sizes = sorted(f.stat().st_size for f in files)
+    # Only the archive of the large record is larger than its bytes and one record; separators are 8 bytes a row.
+    assert sizes[-2] < 100_000 + 40_000 and sizes[-1] < 450_000
+    for f in files:
+        data = f.read_bytes()
+        first = next(warc.frames_of(memoryview(data)))
+        assert first[0] in (warc.DICTIONARY_MAGIC, warc.FRAME_MAGIC)
+        assert all(r[-1] is None for r in warc.records_of(data, f.name))
+    rows = warc.read_warc(spark, str(path)).collect()
+    assert Counter((r.page_id, bytes(r.payload)) for r in rows) == Counter((i, h.encode()) for i, _, h in pages)
+    assert not any(r.error for r in rows)
+
+
+def test_small_archives_of_every_size(spark, tmp_path):
+    pages = spark.createDataFrame([(i, "u", "x" * (i * 37 % 500)) for i in range(40)], "page_id long, url string, html string")
+    for n in (1, 200, 3000):
+        path = str(tmp_path / f"n{n}")
+        warc.write_warc(warc.plan_records(pages).repartition(2), path, archive_bytes=n)
+        assert sorted(r.page_id for r in warc.read_warc(spark, path).collect()) == list(range(40))
+
+
 def brute_lines(rows):
     seen, out = set(), []
     for i, text in sorted(rows, key=lambda r: (r[0] is not None, r[0])):
