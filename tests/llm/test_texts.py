@@ -117,6 +117,77 @@ def test_items_are_found(spark):
     assert decontaminate.find_items(docs, benchmark.limit(0)).count() == 0
 
 
+def longest_common(a, b):
+    row = [0] * (len(b) + 1)
+    for x in a:
+        before = 0
+        for j, y in enumerate(b, 1):
+            before, row[j] = row[j], before + 1 if x == y else max(row[j], row[j - 1])
+    return row[-1]
+
+
+def brute_items(texts, items):
+    """Best ``(share, answer share)`` per text and item over every window of one and a half passages."""
+    best = {}
+    for d, words in texts.items():
+        for i, item in items.items():
+            answer = item[-(len(item) // 3) :]
+            width = decontaminate.passage_size(len(item)) * 3 // 2
+            for at in range(max(1, len(words) - width + 1)):
+                region = words[at : at + width]
+                if len(set(region) & set(item)) < 0.3 * len(set(item)):
+                    continue
+                shares = longest_common(region, item) / len(item), longest_common(region, answer) / len(answer)
+                if min(shares) >= 0.6:
+                    best[d, i] = max(best.get((d, i), (0, 0)), shares)
+    return best
+
+
+def test_items_against_every_window(spark, monkeypatch):
+    rng = random.Random(8)
+    vocabulary = [f"{a}{b}" for a in "tra pel mon sik dor vun".split() for b in "ba ce di fo gu ha je ki".split()] + [f"n{i}" for i in range(500)]
+    text = lambda n: [rng.choice(vocabulary) for _ in range(n)]
+    items = {i: text(n) for i, n in enumerate((12, 16, 24, 30, 45))}
+    texts = {d: text(rng.randrange(20, 90)) for d in range(60)}
+    for d in range(0, 60, 2):
+        item = list(items[d // 2 % 5])
+        for k in rng.sample(range(len(item)), d % 5 * len(item) // 8):
+            item[k] = rng.choice(vocabulary)
+        at = rng.randrange(len(texts[d]))
+        texts[d] = texts[d][:at] + item + texts[d][at:]
+    wanted = brute_items(texts, items)
+    docs = spark.createDataFrame([(d, " ".join(w)) for d, w in texts.items()], "doc_id long, text string")
+    benchmark = spark.createDataFrame([(i, " ".join(w)) for i, w in items.items()], "item_id long, text string")
+    rows = decontaminate.find_items(docs, benchmark).collect()
+    found = {(r.doc_id, r.item_id): r for r in rows}
+    assert len(found) == len(rows) and found.keys() <= wanted.keys()
+    assert len(found) >= 0.9 * len(wanted)
+    assert all(r.item_share <= wanted[k][0] + 1e-9 for k, r in found.items())
+    # Copies of texts and items give a row each, and items may come in any number of passes.
+    monkeypatch.setattr(decontaminate, "ITEMS_PER_PASS", 2)
+    monkeypatch.setattr(decontaminate, "ITEM_BYTES_PER_PASS", 100)
+    again = decontaminate.find_items(docs, benchmark).collect()
+    assert {(r.doc_id, r.item_id, r.item_share) for r in again} == {(r.doc_id, r.item_id, r.item_share) for r in rows}
+
+
+def test_search_is_the_same_in_any_blocks(monkeypatch):
+    rng = random.Random(4)
+    words = [f"w{i}".encode() for i in range(300)]
+    ids = decontaminate._WordIds()
+    text = lambda n: ids.of(b" ".join(rng.choice(words) for _ in range(n))).tobytes()
+    items = [(i, text(n)) for i, n in enumerate((9, 20, 20, 33, 70))]
+    texts = [text(n) for n in (0, 5, 300, 2000)] + [items[1][1] + text(40), text(17) + items[4][1], b"".join(r for _, r in items)]
+    space = decontaminate.np.random.default_rng(1).standard_normal((decontaminate.TERMS, decontaminate.RANK)).astype("float32")
+    whole = decontaminate.Searcher(space, items).find(texts)
+    assert {m[0] for m in whole[-1]} == {0, 1, 2, 3, 4}
+    for cells in (1, 7, 100):
+        monkeypatch.setattr(decontaminate, "PRODUCT_CELLS", cells)
+        cut = decontaminate.Searcher(space, items).find(texts)
+        for a, b in zip(whole, cut):
+            assert [(m[0], *m[2:]) for m in a] == [(m[0], *m[2:]) for m in b]
+            assert [m[1] for m in a] == pytest.approx([m[1] for m in b], abs=1e-5)
+
+
 def test_long_names_and_values_before_other_groups():
     from subsight.llm.pseudonyms import Feistel, pseudonymise
 
