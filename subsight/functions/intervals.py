@@ -34,6 +34,18 @@ def _with_cell(df: DataFrame, value: Column, kind: T.DataType, cuts: list[float]
     return cutter.transform(placed).drop("_place").withColumn(name, F.col(name).cast("int"))
 
 
+def _overlapping_runs(spans: DataFrame) -> DataFrame:
+    """The best ``rank`` of each run of a power of two cells, two of which make up a span ``[a, b)``."""
+    run = F.expr("cast(shiftleft(1, length(bin(b - a)) - 1) as int)")
+    return (
+        spans.withColumn("run", run)
+        .select("rank", "run", F.explode(F.array_distinct(F.array(F.col("a"), F.col("b") - F.col("run")))).alias("a"))
+        .groupBy("run", "a")
+        .agg(F.min("rank").alias("rank"))
+        .select("rank", "a", (F.col("a") + F.col("run")).alias("b"))
+    )
+
+
 def interval_index(bands: DataFrame, low: str, high: str, band: str) -> tuple[DataFrame, list[float], int]:
     """Bands ``(low, high]`` by the cells of the line they touch; with the cuts of the cells and the number of bands.
 
@@ -77,10 +89,13 @@ def interval_index(bands: DataFrame, low: str, high: str, band: str) -> tuple[Da
         .groupBy("cell")
         .agg(F.sort_array(F.collect_list(F.struct("rank", "lo", "hi"))).alias("candidates"))
     )
-    # Cells between the bounds: whole groups of cells, and single cells before and after those.
+    # Cells between the bounds: two runs of a power of two that overlap. The best of each run is taken before
+    # runs are cut, so that what follows grows with the cells and not with the bands.
     spans = celled.where(F.col("c1") - F.col("c0") > 1).select(
         "rank", (F.col("c0") + 1).alias("a"), F.col("c1").alias("b")
     )
+    spans = _overlapping_runs(spans)
+    # Whole groups of cells, and single cells before and after those.
     spans = spans.withColumns({"ga": F.expr(f"(a + {group - 1}) div {group}"), "gb": F.expr(f"b div {group}")})
     steps = F.expr(
         "CASE WHEN ga < gb THEN concat("
