@@ -31,6 +31,7 @@ from subsight.operators.models import (
     PenalisedLogit,
     TrainingData,
     forest,
+    iterations_of,
 )
 
 FITS_AT_ONCE = 8
@@ -79,34 +80,56 @@ class Search:
         ]
 
 
+def _alike(settings: list[dict]) -> list[list[int]]:
+    """Numbers of the settings that differ in the limit of iterations only, the largest limit first."""
+    groups: dict[tuple, list[int]] = {}
+    for i, setting in enumerate(settings):
+        rest = tuple(sorted((k, v) for k, v in setting.items() if k != "maxIter"))
+        groups.setdefault(rest, []).append(i)
+    return [sorted(g, key=lambda i: -settings[i].get("maxIter", 0)) for g in groups.values()]
+
+
 def cross_validate(
     data: TrainingData,
     make: Callable[..., Estimator],
     settings: list[dict],
     folds: int = FOLDS,
 ) -> Search:
-    """Fit every setting on every fold. A fold without rows has no score; ``folds_used`` tells."""
+    """Fit every setting on every fold. A fold without rows has no score; ``folds_used`` tells.
+
+    Settings that differ in the limit of iterations share a fit that none of their limits ends.
+    """
     judge = MulticlassClassificationEvaluator(labelCol=LABEL, metricName="accuracy")
     train = data.train.persist(StorageLevel.MEMORY_AND_DISK)
 
-    def run(task: tuple[int, int]) -> tuple[int, float, float]:
-        fold, i = task
-        fit_rows, held_out = train.where(F.col("fold") != fold), train.where(F.col("fold") == fold)
+    def fitted(fold: int, i: int) -> Model:
         estimator = make(**settings[i])
         if estimator.hasParam("rows"):
             estimator.set(estimator.getParam("rows"), total - held[fold])
-        model = estimator.fit(fit_rows)
-        return i, judge.evaluate(model.transform(fit_rows)), judge.evaluate(model.transform(held_out))
+        return estimator.fit(train.where(F.col("fold") != fold))
+
+    def run(task: tuple[int, list[int]]) -> list[tuple[int, float, float]]:
+        fold, alike = task
+        found, model = [], None
+        for i in alike:
+            # A fit that ended within a smaller limit is the fit of that limit, step by step.
+            if model is None or "maxIter" not in settings[i] or iterations_of(model) > settings[i]["maxIter"]:
+                model = fitted(fold, i)
+                scored = model.transform(train)
+                pair = [judge.evaluate(scored.where(rows)) for rows in (F.col("fold") != fold, F.col("fold") == fold)]
+            found.append((i, *pair))
+        return found
 
     held = {row["fold"]: row["count"] for row in train.groupBy("fold").count().collect()}
     total = sum(held.values())
-    tasks = [(fold, i) for i in range(len(settings)) for fold in sorted(held) if fold < folds]
+    tasks = [(fold, alike) for alike in _alike(settings) for fold in sorted(held) if fold < folds]
     train_scores = [[] for _ in settings]
     scores = [[] for _ in settings]
     try:
-        for i, on_train, on_held_out in _side_by_side(data, run, tasks):
-            train_scores[i].append(on_train)
-            scores[i].append(on_held_out)
+        for found in _side_by_side(data, run, tasks):
+            for i, on_train, on_held_out in found:
+                train_scores[i].append(on_train)
+                scores[i].append(on_held_out)
     finally:
         train.unpersist()
     means = [fmean(s) for s in scores]

@@ -117,3 +117,18 @@ def test_sweeps(data):
     assert [r.trees for r in trees] == [3, 6]
     curve = tuning.validation_curve(data, [0.001, 1.001]).collect()
     assert curve[0].mean_accuracy <= curve[1].mean_accuracy
+
+
+def test_settings_share_a_fit_that_no_limit_ends(data, monkeypatch):
+    fits = []
+    plain = models.PenalisedLogit._fit
+
+    def counted(self, rows):
+        fits.append((self.getOrDefault("C"), self.getMaxIter()))
+        return plain(self, rows)
+
+    monkeypatch.setattr(models.PenalisedLogit, "_fit", counted)
+    found = tuning.search_logistic(data, cs=[0.1, 1.0], iterations=[2, 100, 140])
+    # For each C and fold: the limit of 140 serves 100, the limit of 2 does not; then the best one.
+    assert len(fits) == 2 * 5 * 2 + 1 and sum(m == 100 for _, m in fits[:-1]) == 0
+    assert found.scores[1] == found.scores[2] and found.scores[4] == found.scores[5]
