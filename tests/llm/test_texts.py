@@ -86,6 +86,15 @@ def test_differencing_deletes_shared_lines():
     assert html_text.main_text(a, a)[0] == "Shared head own a Shared foot"
 
 
+def test_pages_with_an_article_are_differenced_too():
+    """Shared lines beside the article count as furniture; those within it stand."""
+    page = "<p>Shared head</p><article><p>own %s</p><p>Same in both</p></article><p>Shared foot</p>"
+    a, b = (html_text.page_lines(PAGE % (page % n)) for n in "ab")
+    assert html_text.main_text(a, b) == ("own a Same in both", 2)
+    assert html_text.main_text(a, a) == ("own a Same in both", 0)
+    assert html_text.main_text(a, None) == ("own a Same in both", 0)
+
+
 def test_items_are_found(spark):
     rng = random.Random(5)
     vocabulary = [f"{a}{b}" for a in "tra pel mon sik dor".split() for b in "ba ce di fo gu ha je".split()] + [f"n{i}" for i in range(400)]
