@@ -38,6 +38,9 @@ DEEPEST = 30
 # About so many train rows are fitted; more are thinned by a hash of the key. Trees lie on the driver
 # and grow with the rows, so this bounds them.
 MAX_TRAIN_ROWS = 1_000_000
+# A step of a logistic fit is a job of its own. With no more tasks than the rows need, sums of few rows
+# do not meet in shuffles of their own.
+ROWS_PER_TASK = 1 << 16
 
 
 @dataclass(frozen=True)
@@ -125,15 +128,16 @@ class PenalisedLogit(
             F.when(turned, 1 - label).otherwise(label).alias("_label"),
         )
         rows = Interaction(inputCols=["_sign", "_weighted"], outputCol="_signed").transform(joined)
+        n = self.getOrDefault(self.rows) or dataset.count()
         fitted = LogisticRegression(
             featuresCol="_signed",
             labelCol="_label",
             maxIter=self.getMaxIter(),
-            regParam=1 / (self.getOrDefault(self.C) * (self.getOrDefault(self.rows) or dataset.count())),
+            regParam=1 / (self.getOrDefault(self.C) * n),
             elasticNetParam=0.0,
             standardization=False,
             fitIntercept=False,
-        ).fit(rows)
+        ).fit(rows.coalesce(max(1, -(-n // ROWS_PER_TASK))))
         return PipelineModel(stages=[constant, join, fitted.setFeaturesCol("_weighted")])
 
 

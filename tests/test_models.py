@@ -132,3 +132,24 @@ def test_settings_share_a_fit_that_no_limit_ends(data, monkeypatch):
     # For each C and fold: the limit of 140 serves 100, the limit of 2 does not; then the best one.
     assert len(fits) == 2 * 5 * 2 + 1 and sum(m == 100 for _, m in fits[:-1]) == 0
     assert found.scores[1] == found.scores[2] and found.scores[4] == found.scores[5]
+
+
+def test_a_small_logistic_fit_needs_one_task(data, monkeypatch):
+    parts = []
+    plain = models.LogisticRegression._fit
+
+    def counted(self, rows):
+        parts.append(rows.rdd.getNumPartitions())
+        return plain(self, rows)
+
+    monkeypatch.setattr(models.LogisticRegression, "_fit", counted)
+    spread = data.train.repartition(7)
+    models.PenalisedLogit().fit(spread)
+    monkeypatch.setattr(models, "ROWS_PER_TASK", 50)
+    models.PenalisedLogit().fit(spread)
+    assert parts == [1, 4]
+
+
+def test_accuracies_of_both_parts(spark):
+    scored = spark.createDataFrame([(0, 1.0, 1.0), (0, 0.0, 1.0), (1, 0.0, 0.0), (2, 1.0, 0.0)], "fold int, churn double, prediction double")
+    assert tuning._accuracies(scored, 0) == (0.5, 0.5) and tuning._accuracies(scored, 1) == (pytest.approx(1 / 3), 1.0)
