@@ -135,6 +135,13 @@ class Nodes:
             both = (rows["feature"][left] == LEAF) & (rows["feature"][left + 1] == LEAF) & (votes[left] == votes[left + 1])
             self.close(at[both])
 
+    def up_to(self, depth: int) -> Nodes:
+        """The same nodes, grown to a smaller depth; what lies below is no longer come to."""
+        found = Nodes.__new__(Nodes)
+        found.rows = self.rows.copy()
+        found.rows["feature"][found.rows["level"] >= depth] = LEAF
+        return found
+
     def importances(self, width: int) -> np.ndarray:
         inner = self.rows[self.rows["feature"] >= 0]
         return np.bincount(inner["feature"], inner["gain"] * (inner["n0"] + inner["n1"]), width)
@@ -160,6 +167,13 @@ def walk(nodes: np.ndarray, bins: np.ndarray) -> np.ndarray:
 
 
 def grow_cell(bins, label, weight, level: int, draw: tuple[int, int, int], depth: int, m: int, kind: str) -> Nodes:
+    """The pruned nodes of a cell."""
+    nodes = grow_whole(bins, label, weight, level, draw, depth, m, kind)
+    nodes.prune()
+    return nodes
+
+
+def grow_whole(bins, label, weight, level: int, draw: tuple[int, int, int], depth: int, m: int, kind: str) -> Nodes:
     """Grow the rows of a cell until leaves are pure, cannot be split, or are deep enough."""
     n1 = int(weight[label == 1].sum(dtype=np.int64))
     nodes = Nodes(int(weight.sum(dtype=np.int64)) - n1, n1, level)
@@ -190,7 +204,6 @@ def grow_cell(bins, label, weight, level: int, draw: tuple[int, int, int], depth
         place = 2 * (np.cumsum(good) - 1)[old] + right
         at = np.stack([first, first + 1], 1).ravel()
         level += 1
-    nodes.prune()
     return nodes
 
 
@@ -290,7 +303,13 @@ class CellForest(Estimator, HasFeaturesCol, HasLabelCol):
         return max(1, min(width, int(text)))
 
     def _fit(self, dataset: DataFrame) -> CellForestModel:
-        trees, depth, kind, seed = (self.getOrDefault(p) for p in (self.numTrees, self.maxDepth, self.impurity, self.seed))
+        depth = self.getOrDefault(self.maxDepth)
+        return self.fit_depths(dataset, [depth])[depth]
+
+    def fit_depths(self, dataset: DataFrame, depths: list[int]) -> dict[int, CellForestModel]:
+        """The forest of each depth, in the place of ``maxDepth``. All are cut from one that is grown to the largest."""
+        depths = sorted(set(depths))
+        trees, kind, seed = (self.getOrDefault(p) for p in (self.numTrees, self.impurity, self.seed))
         features = F.col(self.getFeaturesCol())
         x = vector_to_array(features) if isinstance(dataset.schema[self.getFeaturesCol()].dataType, VectorUDT) else features
         others = [F.col(c) for c in dataset.columns if c not in (self.getFeaturesCol(), self.getLabelCol())]
@@ -304,9 +323,12 @@ class CellForest(Estimator, HasFeaturesCol, HasLabelCol):
         m = self.looked_at(width)
         cuts = feature_cuts(rows, width)
         blocks = _blocks(rows, cuts, ["y", "k"])
-        tops = _grown_tops(blocks, width, trees, depth, m, kind, seed)
-        cells = _grown_cells(blocks, tops, width, depth, m, kind, seed)
-        return CellForestModel(self.getFeaturesCol(), cuts, tops, cells)
+        tops = _grown_tops(blocks, width, trees, depths[-1], m, kind, seed)
+        cells = _grown_cells(blocks, tops, width, depths, m, kind, seed)
+        return {
+            d: CellForestModel(self.getFeaturesCol(), cuts, [t.up_to(d) for t in tops], cells.where(F.col("grown_to") == d).drop("grown_to"))
+            for d in depths
+        }
 
 
 def _train_block(bins: bytes, rest: bytes, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -395,8 +417,11 @@ def _grown_tops(blocks: DataFrame, width: int, trees: int, depth: int, m: int, k
         level += 1
 
 
-def _grown_cells(blocks: DataFrame, tops: list[Nodes], width: int, depth: int, m: int, kind: str, seed: int) -> DataFrame:
-    """``(tree, cell, nodes, depth, importances)`` of each cell; written. A cell has the number of its node."""
+def _grown_cells(blocks: DataFrame, tops: list[Nodes], width: int, depths: list[int], m: int, kind: str, seed: int) -> DataFrame:
+    """``(grown_to, tree, cell, nodes, depth, importances)`` of each cell and depth; written.
+
+    A cell has the number of its node. It is grown once, to the largest depth, and cut to the others that reach it.
+    """
     nodes = [top.rows for top in tops]
 
     def sent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -418,17 +443,22 @@ def _grown_cells(blocks: DataFrame, tops: list[Nodes], width: int, depth: int, m
         tree, cell = int(key[0]), int(key[1])
         rows = np.frombuffer(b"".join(sorted(parts["rows"])), dtype=np.uint8).reshape(-1, width + 2)
         level = int(nodes[tree]["level"][cell])
-        found = grow_cell(rows[:, :width], rows[:, width], rows[:, width + 1], level, (seed, tree, cell), depth, m, kind)
-        slim = np.rec.fromarrays([found.rows[c] for c in ("feature", "cut", "left")] + [found.probabilities()], dtype=_SCORED)
-        root = found.rows[0]
-        return pd.DataFrame(
-            {"tree": [tree], "cell": [cell], "nodes": [slim.tobytes()], "is_leaf": [bool(root["feature"] == LEAF)], "depth": [found.depth()], "importances": [found.importances(width)]}
-        )
+        whole = grow_whole(rows[:, :width], rows[:, width], rows[:, width + 1], level, (seed, tree, cell), depths[-1], m, kind)
+        out = []
+        for depth in depths:
+            if level >= depth:
+                continue
+            found = whole.up_to(depth)
+            found.prune()
+            slim = np.rec.fromarrays([found.rows[c] for c in ("feature", "cut", "left")] + [found.probabilities()], dtype=_SCORED)
+            is_leaf = bool(found.rows[0]["feature"] == LEAF)
+            out.append((depth, tree, cell, slim.tobytes(), is_leaf, found.depth(), found.importances(width)))
+        return pd.DataFrame(out, columns=["grown_to", "tree", "cell", "nodes", "is_leaf", "depth", "importances"])
 
     parts = blocks.select("bins", "rest").mapInArrow(sent, "tree int, cell int, rows binary")
     return materialize(
         parts.groupBy("tree", "cell").applyInPandas(
-            grown, "tree int, cell int, nodes binary, is_leaf boolean, depth int, importances array<double>"
+            grown, "grown_to int, tree int, cell int, nodes binary, is_leaf boolean, depth int, importances array<double>"
         )
     )
 

@@ -81,12 +81,13 @@ class Search:
 
 
 def _alike(settings: list[dict]) -> list[list[int]]:
-    """Numbers of the settings that differ in the limit of iterations only, the largest limit first."""
+    """Numbers of the settings that differ in the limit of iterations, or in the depth, only; the largest first."""
     groups: dict[tuple, list[int]] = {}
     for i, setting in enumerate(settings):
-        rest = tuple(sorted((k, v) for k, v in setting.items() if k != "maxIter"))
+        limit = "depth" if "depth" in setting else "maxIter"
+        rest = tuple(sorted((k, v) for k, v in setting.items() if k != limit))
         groups.setdefault(rest, []).append(i)
-    return [sorted(g, key=lambda i: -settings[i].get("maxIter", 0)) for g in groups.values()]
+    return [sorted(g, key=lambda i: -settings[i].get("depth", settings[i].get("maxIter", 0))) for g in groups.values()]
 
 
 def _accuracies(scored: DataFrame, fold: int) -> tuple[float, float]:
@@ -105,7 +106,8 @@ def cross_validate(
 ) -> Search:
     """Fit every setting on every fold. A fold without rows has no score; ``folds_used`` tells.
 
-    Settings that differ in the limit of iterations share a fit that none of their limits ends.
+    Settings that differ in the limit of iterations share a fit that none of their limits ends;
+    forests that differ in the depth are cut from one.
     """
     train = data.train.persist(StorageLevel.MEMORY_AND_DISK)
 
@@ -117,6 +119,9 @@ def cross_validate(
 
     def run(task: tuple[int, list[int]]) -> list[tuple[int, float, float]]:
         fold, alike = task
+        if "depth" in settings[alike[0]]:
+            grown = make(**settings[alike[0]]).fit_depths(train.where(F.col("fold") != fold), [settings[i]["depth"] for i in alike])
+            return [(i, *_accuracies(grown[settings[i]["depth"]].transform(train), fold)) for i in alike]
         found, model = [], None
         for i in alike:
             # A fit that ended within a smaller limit is the fit of that limit, step by step.
@@ -226,6 +231,8 @@ def sweep_depth(data: TrainingData, values: list[int] = DEPTH_SWEEP, trees: int
     and a NULL ``depth_used``.
     """
     used = sorted({v for v in values if v <= DEEPEST})
-    areas = {d: pair for d, *pair in _sweep(data, lambda d: forest(trees, d), used)}
+    grown = forest(trees, used[-1]).fit_depths(data.train, used) if used else {}
+    pairs = _side_by_side(data, lambda d: _areas(data, grown[d]), used) if used else []
+    areas = dict(zip(used, pairs))
     rows = [(v, v if v in areas else None, *areas.get(v, (None, None))) for v in values]
     return _table(data, rows, "max_depth int, depth_used int, train_auc double, test_auc double")

@@ -95,3 +95,20 @@ def test_rare_values_odd_rows_and_one_class(spark, rows):
     assert models.score(rows.limit(0), model).count() == 0
     with pytest.raises(ValueError, match="no rows"):
         fitted(rows.limit(0))
+
+
+def test_forests_of_several_depths_are_grown_once(rows, monkeypatch):
+    grown = []
+    plain = forest._grown_cells
+    monkeypatch.setattr(forest, "_grown_cells", lambda *a: grown.append(1) or plain(*a))
+    for cell in (60, 1 << 15):
+        monkeypatch.setattr(forest, "CELL_ROWS", cell)
+        del grown[:]
+        settings = {"labelCol": "churn", "numTrees": 4, "featureSubsetStrategy": "2"}
+        shared = CellForest(**settings).fit_depths(rows, [8, 1, 3])
+        assert len(grown) == 1 and sorted(shared) == [1, 3, 8]
+        for depth, model in shared.items():
+            own = CellForest(maxDepth=depth, **settings).fit(rows)
+            assert model.depths == own.depths and model.featureImportances == own.featureImportances
+            expected = {r.subid: r.probability[1] for r in own.transform(rows).collect()}
+            assert {r.subid: r.probability[1] for r in model.transform(rows).collect()} == expected
