@@ -2,7 +2,7 @@
 
 Texts are cut into overlapping passages about as long as the benchmark items. A
 passage is a TF-IDF vector over hashed words, brought into few dimensions by a
-randomised singular value decomposition that Spark computes. Passages near an
+randomised singular value decomposition that Spark computes over all texts. Passages near an
 item by cosine are candidates; a longest common subsequence of words, and of the
 item's answer (its end), decides. Words are kept as 32-bit hashes; the vectors
 take the low bits of these, the subsequences compare them whole.
@@ -18,26 +18,31 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from subsight.llm.lcs import lcs_length, masks_of
-from subsight.llm.words import CACHE_WORDS, lower_words
+from subsight.llm.words import LOWER, mixed
 from subsight.sources.tables import materialize
 
 #: Columns of the vectors.
 TERMS = 1 << 15
 #: Bytes of a word's hash.
 WORD_BYTES = 4
-NO_WORD = 0xFFFFFFFF
 RANK = 64
 OVERSAMPLE = 8
 POWER_ROUNDS = 2
 #: Directions with a smaller part of the largest eigenvalue are taken as absent.
 FLAT = 1e-5
-#: The decomposition is fitted on about so many passages of the corpus, and on the benchmark's items.
-FIT_PASSAGES = 4000
+#: An item counts in the fit as this part of all passages do, so that a large corpus does not hide in what items differ.
+ITEM_PART = 1 / 4000
+#: Part of the largest eigenvalue that is added before a matrix is inverted.
+SHIFT = 1e-7
+#: Words and passages that a fitting task looks at together; 16 bits tell the passages apart.
+FIT_WORDS = 1 << 18
+FIT_ROWS = 1 << 13
+#: Terms in fewer passages among these are added side by side, others one by one.
+FEW = 32
 MIN_COSINE = 0.55
 MIN_SHARE = 0.6
 MIN_ANSWER = 0.6
@@ -56,20 +61,55 @@ _EDGE = b".,;:!?\"'()[]{}<>|*#$%&-_/\\"
 BLOCKS = 64
 
 
-class _WordIds(dict):
-    """32-bit hashes of words without the signs around them; NO_WORD for signs alone."""
+class _WordIds:
+    """32-bit hashes of words, A-Z in lower case and without the signs around them; signs alone are no words."""
 
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= CACHE_WORDS:
-            self.clear()
-        bare = word.strip(_EDGE)
-        value = self[word] = min(xxhash.xxh64_intdigest(bare) & NO_WORD, NO_WORD - 1) if bare else NO_WORD
-        return value
+    #: Bytes hashed at once.
+    AT_ONCE = 1 << 19
+    _KIND = np.array([0 if b in b" \t\n\v\f\r" else 1 if b in _EDGE else 2 for b in range(256)], dtype=np.uint8)
+    _VALUE = mixed(np.frombuffer(LOWER, dtype=np.uint8).astype(np.uint64) + np.uint64(1))
+    _BASE = 0x9E3779B97F4A7C15
+
+    def __init__(self):
+        self.up = self.down = np.zeros(0, dtype=np.uint64)
+
+    def _powers(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """The powers of an odd number and of its inverse, of 64 bits."""
+        if n > len(self.up):
+            self.up, self.down = (np.full(n, k, dtype=np.uint64) for k in (self._BASE, pow(self._BASE, -1, 1 << 64)))
+            for powers in (self.up, self.down):
+                powers[0] = 1
+                np.multiply.accumulate(powers, out=powers)
+        return self.up[:n], self.down[:n]
 
     def of(self, text: bytes | None) -> np.ndarray:
-        words = lower_words(text)
-        ids = np.fromiter(map(self.__getitem__, words), dtype="<u4", count=len(words))
-        return ids[ids != NO_WORD]
+        return self._of([text or b""])[0]
+
+    def of_all(self, texts: list[bytes | None]) -> Iterator[np.ndarray]:
+        some, size = [], 0
+        for text in texts:
+            some.append(text or b"")
+            size += len(some[-1]) + 1
+            if size >= self.AT_ONCE:
+                yield from self._of(some)
+                some, size = [], 0
+        yield from self._of(some)
+
+    def _of(self, texts: list[bytes]) -> list[np.ndarray]:
+        raw = np.frombuffer(b" ".join(texts), dtype=np.uint8)
+        kind = self._KIND[raw]
+        at = np.flatnonzero(kind == 2)
+        word = np.cumsum(kind == 0, dtype=np.int32)[at]
+        new = word[1:] != word[:-1]
+        begins = at[np.append(len(at) > 0, new)] if len(at) else at
+        ends = at[np.append(new, True)] if len(at) else at
+        # A word's hash is the polynomial of its bytes: a difference of running sums, shifted to the word's begin.
+        up, down = self._powers(len(raw))
+        sums = np.cumsum(self._VALUE[raw] * up)
+        hashed = (sums[ends] - sums[begins] + self._VALUE[raw[begins]] * up[begins]) * down[begins]
+        found = (mixed(hashed) & np.uint64(0xFFFFFFFF)).astype("<u4")
+        cuts = np.cumsum([len(text) + 1 for text in texts[:-1]], dtype=np.int64)
+        return np.split(found, np.searchsorted(begins, cuts)) if texts else []
 
 
 def passage_size(words: int) -> int:
@@ -83,7 +123,7 @@ def term_table(rows: DataFrame, name: str) -> DataFrame:
     def per_batch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         terms = _WordIds()
         for batch in batches:
-            found = pa.array([terms.of(t).tobytes() for t in batch.column(1).to_pylist()], pa.binary())
+            found = pa.array([found.tobytes() for found in terms.of_all(batch.column(1).to_pylist())], pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column(0), found], names=[name, "terms"])
 
     texts = rows.select(F.col(name).cast("long"), F.col("text").cast("binary"))
@@ -99,82 +139,152 @@ def _terms(raw: bytes) -> np.ndarray:
     return (_words(raw) & np.uint32(TERMS - 1)).astype(np.intp)
 
 
-def document_frequencies(table: DataFrame) -> tuple[np.ndarray, int]:
-    """In how many texts each term occurs, over all texts; and the number of texts."""
+def document_frequencies(table: DataFrame) -> tuple[np.ndarray, int, int]:
+    """In how many texts each term occurs, over all texts; the numbers of texts and of words."""
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, seen = np.zeros(TERMS + 1, dtype=np.int64), np.zeros(TERMS, dtype=bool)
+        total = np.zeros(TERMS + 2, dtype=np.int64)
         for batch in batches:
             for raw in batch.column(0).to_pylist():
-                ids = _terms(raw)
-                seen[ids] = True
-                total[:TERMS] += seen
-                seen[ids] = False
+                total[_terms(raw)] += 1  # a term that repeats is set again, not added
+                total[TERMS + 1] += len(raw) // WORD_BYTES
             total[TERMS] += len(batch)
-        yield pa.RecordBatch.from_arrays([pa.array(range(TERMS + 1), pa.int32()), pa.array(total)], names=["term", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(range(TERMS + 2), pa.int32()), pa.array(total)], names=["term", "n"])
 
     found = table.select("terms").mapInArrow(counted, "term int, n bigint")
-    total = np.zeros(TERMS + 1, dtype=np.int64)
-    for row in found.where("n > 0").groupBy("term").agg(F.sum("n").alias("n")).collect():  # TERMS + 1 rows at most
+    total = np.zeros(TERMS + 2, dtype=np.int64)
+    for row in found.where("n > 0").groupBy("term").agg(F.sum("n").alias("n")).collect():  # TERMS + 2 rows at most
         total[row["term"]] = row["n"]
-    return total[:TERMS], int(total[TERMS])
+    return total[:TERMS], int(total[TERMS]), int(total[TERMS + 1])
+
+
+def _slices(batch: pa.RecordBatch) -> Iterator[tuple[list[bytes], np.ndarray]]:
+    """Whole texts of about FIT_WORDS words together, with their weights."""
+    raws, weights = batch.column(0).to_pylist(), batch.column(1).to_numpy().astype(np.float32)
+    upto = np.cumsum([len(raw) for raw in raws]) // (WORD_BYTES * FIT_WORDS)
+    ends = [*(np.flatnonzero(np.diff(upto)) + 1).tolist(), len(raws)]
+    for begin, end in zip([0, *ends], ends):
+        if begin < end:
+            yield raws[begin:end], weights[begin:end]
+
+
+def _passages(raws: list[bytes], size: int) -> tuple[np.ndarray, np.ndarray]:
+    """The columns of all words, a passage a row, and how many rows each text has.
 
+    Passages do not overlap, and the last of a text is filled up with TERMS.
+    """
+    n = np.array([len(raw) // WORD_BYTES for raw in raws])
+    rows = -(-n // size)
+    ahead = np.repeat((np.cumsum(rows) - rows) * size - (np.cumsum(n) - n), n)
+    filled = np.full(int(rows.sum()) * size, TERMS, dtype=np.uint32)
+    filled[ahead + np.arange(len(ahead))] = _words(b"".join(raws)) & np.uint32(TERMS - 1)
+    return filled.reshape(-1, size), rows
 
-def _sample(table: DataFrame, items: DataFrame, size: int, texts: int) -> DataFrame:
-    """``terms``: one passage each of about FIT_PASSAGES texts, at a place drawn by hash, and all items."""
-    share = min(1.0, FIT_PASSAGES / max(1, texts))
-    words = F.octet_length("terms") / WORD_BYTES
-    drawn = table.where(F.pmod(F.xxhash64("terms"), F.lit(1 << 30)) < int(share * (1 << 30)))
-    at = F.pmod(F.xxhash64("terms", F.lit("place")), F.greatest(words.cast("long") - size + 1, F.lit(1)))
-    cut = drawn.select(F.substring("terms", (WORD_BYTES * at + 1).cast("int"), F.lit(WORD_BYTES * size)).alias("terms"))
-    return materialize(cut.unionByName(items.select("terms")).where(F.octet_length("terms") > 0))
 
+def add_product(total: np.ndarray, rows: np.ndarray, parts: np.ndarray, weighted: np.ndarray, weight: np.ndarray) -> None:
+    """Add C'DCB to ``total``: C counts the words of the passages, D holds their weights over the squared norms of their vectors.
 
-def randomised_svd(rows: DataFrame, idf: np.ndarray, seed: int = 17) -> np.ndarray:
-    """The leading right singular vectors of the rows' normalised TF-IDF matrix A, over their singular values.
+    ``parts`` are the weights of the passages and ``weighted`` is B; ``weight`` weighs the
+    terms for the norms. The last two end with zeros for TERMS.
+    """
+    size, ones = rows.shape[1], np.ones((1, rows.shape[1]), dtype=np.float32)
+    for begin in range(0, len(rows), FIT_ROWS):
+        some = rows[begin : begin + FIT_ROWS]
+        pairs = np.sort(((some << np.uint32(16)) | np.arange(len(some), dtype=np.uint32)[:, None]).ravel())
+        pairs = pairs[: np.searchsorted(pairs, np.uint32(TERMS << 16))]
+        if not len(pairs):
+            continue
+        first = np.flatnonzero(np.append(True, pairs[1:] != pairs[:-1]))
+        often = np.diff(np.append(first, len(pairs))).astype(np.float32)
+        term, passage = (pairs[first] >> np.uint32(16)).astype(np.intp), (pairs[first] & np.uint32(0xFFFF)).astype(np.intp)
+        norms = np.bincount(passage, (often * weight[term]) ** 2, len(some))
+        at_once = max(1, STRETCH // size)
+        products = np.empty((len(some), weighted.shape[1]), dtype=np.float32)
+        for i in range(0, len(some), at_once):
+            part = some[i : i + at_once]
+            products[i : i + at_once] = np.matmul(ones, weighted.take(part.ravel(), axis=0).reshape(len(part), size, -1))[:, 0]
+        products *= (parts[begin : begin + FIT_ROWS] / np.maximum(norms, 1e-18)).astype(np.float32)[:, None]
+        starts = np.flatnonzero(np.append(True, term[1:] != term[:-1]))
+        ends = np.append(starts[1:], len(term))
+        own, many = term[starts], ends - starts >= FEW
+        for t, i, j in zip(own[many].tolist(), starts[many].tolist(), ends[many].tolist()):
+            total[t] += often[i:j] @ products.take(passage[i:j], axis=0)
+        own, starts, ends = own[~many], starts[~many], ends[~many]
+        while len(own):
+            total[own] += often[starts, None] * products.take(passage[starts], axis=0)
+            left = starts + 1 < ends
+            own, starts, ends = own[left], starts[left] + 1, ends[left]
+
+
+def randomised_svd(texts: DataFrame, idf: np.ndarray, size: int, seed: int = 17) -> np.ndarray:
+    """The leading right singular vectors of the normalised TF-IDF matrix A of all passages, over their singular values.
 
     TERMS x RANK. Dividing makes all latent directions count alike; otherwise the
-    language of a passage would outweigh what it says.
+    language of a passage would outweigh what it says. ``texts`` are rows ``(terms, weight)``; each
+    is cut into passages of ``size`` words, the last one shorter, and each passage is a row
+    of A as often as its weight says.
 
     Each round multiplies a thin matrix by A and by its transpose: tasks do this
-    for their rows, blocks of terms are summed by Spark, and the driver only
+    for their texts, blocks of terms are summed by Spark, and the driver only
     makes the columns orthogonal again.
     """
-    spark, width = rows.sparkSession, RANK + OVERSAMPLE
-    basis = np.random.default_rng(seed).standard_normal((TERMS, width)).astype(np.float32)
-    product = basis
-    for _ in range(POWER_ROUNDS + 1):
+    spark, width = texts.sparkSession, RANK + OVERSAMPLE
+    product = np.random.default_rng(seed).standard_normal((TERMS, width)).astype(np.float32)
+    for _ in range(POWER_ROUNDS):
         basis = np.linalg.qr(product)[0].astype(np.float32)
         shared = spark.sparkContext.broadcast((basis, idf))
 
         def partial(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             q, weight = shared.value
-            total = np.zeros_like(q)
+            padded, total = np.append(weight, np.float32(0)), np.zeros_like(q)
+            weighted = np.vstack([q, q[:1]]) * padded[:, None]
             for batch in batches:
-                for raw in batch.column(0).to_pylist():
-                    ids, counts = np.unique(_terms(raw), return_counts=True)
-                    values = (counts * weight[ids]).astype(np.float32)
-                    values /= max(float(np.linalg.norm(values)), 1e-9)
-                    total[ids] += values[:, None] * (values @ q[ids])[None, :]
-            parts = [p.tobytes() for p in np.split(total, BLOCKS)]
+                for raws, own in _slices(batch):
+                    rows, n = _passages(raws, size)
+                    add_product(total, rows, np.repeat(own, n), weighted, padded)
+            parts = [p.tobytes() for p in np.split(total * weight[:, None], BLOCKS)]
             yield pa.RecordBatch.from_arrays([pa.array(range(BLOCKS), pa.int32()), pa.array(parts, pa.binary())], names=["block", "part"])
 
         def summed(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
             total = np.sum([np.frombuffer(p, dtype=np.float32) for p in group["part"]], axis=0, dtype=np.float32)
             return pd.DataFrame({"block": [key[0]], "part": [total.tobytes()]})
 
-        parts = rows.mapInArrow(partial, "block int, part binary").groupBy("block").applyInPandas(summed, "block int, part binary")
+        parts = texts.select("terms", "weight").mapInArrow(partial, "block int, part binary").groupBy("block").applyInPandas(summed, "block int, part binary")
         blocks = {r["block"]: r["part"] for r in parts.collect()}  # BLOCKS rows
         shared.destroy()
         if not blocks:
-            break
+            return np.zeros((TERMS, RANK), dtype=np.float32)
         product = np.concatenate([np.frombuffer(blocks[i], dtype=np.float32) for i in range(BLOCKS)]).reshape(TERMS, width)
-    values, turn = np.linalg.eigh(basis.T.astype(np.float64) @ product)
+    return nystrom(basis, product)
+
+
+def nystrom(basis: np.ndarray, product: np.ndarray) -> np.ndarray:
+    """The leading eigenvectors of a matrix, over the roots of their eigenvalues, from its product with a basis.
+
+    Nystrom's method: the last product serves for the directions too, so two passes tell what took three.
+    """
+    width = basis.shape[1]
+    inner, gram = np.zeros((width, width)), np.zeros((width, width))
+    shift = SHIFT * max(float(np.linalg.norm(product)), 1e-9)
+    shifted = product + np.float32(shift) * basis
+    for q, y in zip(np.split(basis, BLOCKS), np.split(shifted, BLOCKS)):
+        wide = y.astype(np.float64)
+        inner += q.astype(np.float64).T @ wide
+        gram += wide.T @ wide
+    # Directions that are rounding errors are left out before the inner matrix is inverted.
+    known, turn = np.linalg.eigh((inner + inner.T) / 2)
+    sound = known > shift / 2
+    half = turn[:, sound] / np.sqrt(known[sound])
+    values, vectors = np.linalg.eigh(half.T @ gram @ half)
     leading = np.argsort(-values)[:RANK]
-    # Where the rows have fewer directions than RANK, the others are rounding errors and count nothing.
-    real = values[leading] > FLAT * max(float(values.max()), 1e-9)
-    strength = np.where(real, np.sqrt(np.where(real, values[leading], 1.0)), np.inf)
-    return (basis @ turn[:, leading] / strength).astype(np.float32)
+    vectors, values = half @ vectors[:, leading], values[leading]
+    # Where the rows have fewer directions than RANK, the others count nothing.
+    own = np.maximum(values - shift, 0)
+    real = own > FLAT * max(float(own.max(initial=0)), 1e-9)
+    strength = np.where(real, np.sqrt(np.where(real, values * own, 1.0)), np.inf)
+    space = np.zeros((TERMS, RANK), dtype=np.float32)
+    space[:, : len(leading)] = shifted @ (vectors / strength).astype(np.float32)
+    return space
 
 
 @dataclass
@@ -296,8 +406,8 @@ MATCH_SCHEMA = "doc_id bigint, item_id bigint, cosine double, item_share double,
 def find_items(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """One row for each document and benchmark item found in its text.
 
-    Document frequencies count all texts; every passage of every whole text is
-    compared with every item of its size. ``item_share`` is the part of the item's
+    Document frequencies count all texts, and the latent space is fitted on every
+    text and item, cut into passages. Every passage of every whole text is compared with every item of its size. ``item_share`` is the part of the item's
     words that the passage has in order, ``answer_share`` that of its answer.
     Null and empty texts and items match nothing. An item that comes several
     times in a text gives one row; rows of ``docs`` or ``benchmark`` that repeat
@@ -308,13 +418,15 @@ def find_items(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     items = term_table(benchmark.where(F.col("item_id").isNotNull() & F.col("text").isNotNull()), "item_id")
     table = term_table(docs.where(F.col("text").isNotNull()), "doc_id")
-    counts, number = document_frequencies(table)
+    counts, number, words = document_frequencies(table)
     idf = np.log((1 + number) / (1 + counts)).astype(np.float32) + np.float32(0.01)
     lengths = items.agg(F.sum(F.octet_length("terms").cast("long")).alias("bytes"), F.count("*").alias("rows")).first()
     item_bytes = lengths["bytes"] or 0
     typical = item_bytes // (WORD_BYTES * max(1, lengths["rows"]))
-    sampled = _sample(table, items, passage_size(int(typical or 1)), number)
-    space = randomised_svd(sampled, idf) * idf[:, None]
+    size = passage_size(int(typical or 1))
+    weight = max(1.0, ITEM_PART * words / size)
+    fitted = table.select("terms", F.lit(1e0).alias("weight")).unionByName(items.select("terms", F.lit(weight).alias("weight")))
+    space = randomised_svd(fitted, idf, size) * idf[:, None]
 
     passes = max(1, -(-lengths["rows"] // ITEMS_PER_PASS), -(-item_bytes // ITEM_BYTES_PER_PASS))
     whole = None

@@ -5,6 +5,7 @@ import random
 import pytest
 
 from subsight.llm import decontaminate, html_text, lcs, pseudonyms
+from subsight.llm.words import lower_words
 
 
 @pytest.mark.parametrize("size", [1, 2, 3, 10, 97, 1000])
@@ -179,6 +180,49 @@ def test_items_against_every_window(spark, monkeypatch):
     assert {(r.doc_id, r.item_id, r.item_share) for r in again} == {(r.doc_id, r.item_id, r.item_share) for r in rows}
 
 
+def test_latent_space_is_fitted_on_every_passage_of_every_text(spark, monkeypatch):
+    np, rng = decontaminate.np, random.Random(9)
+    monkeypatch.setattr(decontaminate, "FIT_WORDS", 300)
+    monkeypatch.setattr(decontaminate, "FIT_ROWS", 7)
+    monkeypatch.setattr(decontaminate, "FEW", 4)
+    lengths = (0, 1, 5, 8, 9, 40, 900)
+    texts = [" ".join(f"w{min(rng.randrange(60), rng.randrange(60))}" for _ in range(lengths[i % 7])) for i in range(70)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    table = decontaminate.term_table(docs, "doc_id")
+    n, number, words = decontaminate.document_frequencies(table)
+    raws = [r.terms for r in table.collect()]
+    wanted = np.zeros(decontaminate.TERMS, dtype=int)
+    for raw in raws:
+        wanted[np.unique(decontaminate._terms(bytes(raw)))] += 1
+    assert number == 70 and words == sum(map(len, raws)) // 4 and (n == wanted).all()
+    idf = (np.log((1 + number) / (1 + n)) + 0.01).astype(np.float32)
+    space = decontaminate.randomised_svd(table.selectExpr("terms", "1 + doc_id % 3 AS weight"), idf, 8)
+    texts = [(decontaminate._terms(bytes(r.terms)), 1 + r.doc_id % 3) for r in table.collect()]
+    every = [terms[at : at + 8] for terms, weight in texts for _ in range(weight) for at in range(0, len(terms), 8)]
+    vectors = np.array([np.bincount(p, minlength=decontaminate.TERMS) * idf for p in every], dtype=np.float64)
+    vectors /= np.linalg.norm(vectors, axis=1, keepdims=True)
+    # 60 words span no more directions than the space has, so its answer is exact: left singular vectors.
+    left = vectors @ space
+    real = np.abs(space).max(axis=0) > 0
+    assert real.sum() == np.linalg.matrix_rank(vectors, tol=1e-3) and len(every) > 1000
+    assert np.abs(left[:, real].T @ left[:, real] - np.eye(real.sum())).max() < 1e-2
+
+
+def test_word_hashes_tell_the_same_words_apart(monkeypatch):
+    ids, rng = decontaminate._WordIds(), random.Random(3)
+    edge, signs = decontaminate._EDGE, b"aAbZz09.,;-'\xc3\xa9 \t\n\x0b\x0c\r\x1f\x85"
+    texts = [bytes(rng.choice(signs) for _ in range(rng.randrange(200))) for _ in range(300)] + [None, b"", b" ", b"...", b"x", b"\0", b"\0\0"]
+    wanted = [[w for w in (x.strip(edge) for x in lower_words(t)) if w] for t in texts]
+    monkeypatch.setattr(decontaminate._WordIds, "AT_ONCE", 1000)
+    found = list(ids.of_all(texts))
+    assert len(found) == len(texts) and all((ids.of(t) == f).all() for t, f in zip(texts, found))
+    known = {}
+    for words, hashes in zip(wanted, found):
+        assert len(words) == len(hashes)
+        assert all(known.setdefault(w, h) == h for w, h in zip(words, hashes.tolist()))
+    assert len(set(known.values())) == len(known) > 1000
+
+
 def test_search_is_the_same_in_any_blocks(monkeypatch):
     rng = random.Random(4)
     words = [f"w{i}".encode() for i in range(300)]
