@@ -74,6 +74,17 @@ def test_no_cell_holds_more_than_its_bound(rows, monkeypatch):
         assert (top.rows["feature"] != LEAF).any()
 
 
+def test_more_rows_bring_no_more_nodes_to_the_driver(rows):
+    def held(model):
+        cells = sum(len(c["nodes"]) for c in model.cells.select("nodes").collect())
+        return sum(len(top.rows) for top in model.tops), cells
+
+    settings = {"maxDepth": 30, "featureSubsetStrategy": "2"}
+    few, many = held(fitted(rows.where("subid < 100"), **settings)), held(fitted(rows, **settings))
+    assert many[1] > 2 * few[1]
+    assert few[0] == many[0] == 4
+
+
 def test_a_shallow_forest_is_the_beginning_of_a_deep_one(rows):
     few, many = fitted(rows, numTrees=2, maxDepth=30), fitted(rows, numTrees=4, maxDepth=30)
     assert few.depths == many.depths[:2]
