@@ -118,7 +118,9 @@ def near_pairs(classes: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
 
     ``classes`` has one row per fingerprint. Distance and uniqueness are checked
     as the join meets the rows, so only true pairs leave it; a variant shared by
-    very many fingerprints is split over tasks by adaptive skew handling.
+    very many fingerprints is split over tasks by adaptive skew handling. Spark sizes the
+    variants like the fingerprints they come from, 64 of them as one, and would broadcast far
+    too many; so the join is a merge whatever Spark makes of their size.
     """
     keyed = classes.select("fingerprint", F.explode(variants(F.col("fingerprint"), max_bits)).alias("key"))
     left = keyed.select(F.col("fingerprint").alias("a"), "key")
@@ -131,7 +133,7 @@ def near_pairs(classes: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
         & (F.bit_count(differs) <= max_bits)
         & _first_meeting(differs, bit, max_bits)
     )
-    return left.join(right, near).select("a", "b", F.bit_count(differs).cast("int").alias("bits"))
+    return left.join(right.hint("merge"), near).select("a", "b", F.bit_count(differs).cast("int").alias("bits"))
 
 
 def near_duplicates(

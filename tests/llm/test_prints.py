@@ -6,6 +6,7 @@ from collections import Counter
 
 import numpy as np
 import xxhash
+from pyspark.sql import functions as F
 
 from subsight.llm import fingerprints, simhash
 from subsight.llm.components import connected
@@ -76,6 +77,13 @@ def test_every_near_pair_once(spark):
         assert found == Counter(near)
 
 
+def test_variants_are_not_broadcast(spark):
+    """Few fingerprints by Spark's count of bytes are 64 times as many variants."""
+    few = spark.range(1000).select(F.xxhash64("id").alias("fingerprint"))
+    plan = simhash.near_pairs(few)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 def test_long_chain(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(300)] + [(900, 901), (901, 900), (5, 5)], "u long, v long")
     assert {r.node: r.root for r in connected(links, "u", "v").collect()} == {i: 0 for i in range(301)} | {900: 900, 901: 900}
