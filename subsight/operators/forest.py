@@ -28,11 +28,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from subsight.functions.sizes import small_side
 from subsight.sources.tables import materialize
 
 #: A node whose drawn rows weigh at most so much is grown to the end in one task.
 CELL_ROWS = 1 << 15
-#: About so many rows to score meet a cell at once.
+#: A cell that more rows to score come to is copied to several tasks, one for so many.
 PART_ROWS = 1 << 18
 #: Values of a feature that splits tell apart.
 MAX_BINS = 32
@@ -507,7 +508,6 @@ class CellForestModel(Model):
         rows = rows.withColumn("rest", F.col("rest").cast(kind))
         blocks = _blocks(rows, cuts, ["rest"])
         total = blocks.agg(F.sum("n")).first()[0] or 0
-        parts = max(1, -(-total // PART_ROWS))
 
         def sent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -546,8 +546,7 @@ class CellForestModel(Model):
             return pa.table({"rest": rest["rest"], "p": pa.array(np.clip(sums / len(nodes), 0, 1))})
 
         routed = materialize(blocks.select("block", "bins").mapInArrow(sent, "block long, tree int, cell int, rows binary, bins binary"))
-        keyed = routed.where("tree >= 0").withColumn("part", F.pmod(F.xxhash64("block"), F.lit(parts)).cast("int"))
-        cells = self.cells.select("tree", "cell", "nodes").withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+        keyed, cells = _dealt(routed.where("tree >= 0"), self.cells.select("tree", "cell", "nodes"), total)
         by = ["tree", "cell", "part"]
 
         answers = keyed.groupBy(*by).cogroup(cells.groupBy(*by)).applyInPandas(scored, "block long, rows binary, p binary, tree int, cell int")
@@ -564,6 +563,18 @@ class CellForestModel(Model):
         )
 
 
+def _dealt(routed: DataFrame, cells: DataFrame, total: int) -> tuple[DataFrame, DataFrame]:
+    """Both with a ``part``: a cell is copied for each ``PART_ROWS`` of its own rows, so copies do not grow with cells times rows."""
+    if total <= PART_ROWS:  # no cell has more
+        return routed.withColumn("part", F.lit(0)), cells.withColumn("part", F.lit(0))
+    count = F.ceil(F.sum(F.octet_length("rows") / 4) / PART_ROWS).cast("int")
+    crowded = small_side(routed.groupBy("tree", "cell").agg(count.alias("parts")).where("parts > 1"))
+    parts = F.coalesce("parts", F.lit(1))
+    dealt = routed.join(crowded, ["tree", "cell"], "left").withColumn("part", F.pmod(F.xxhash64("block"), parts).cast("int"))
+    copied = cells.join(crowded, ["tree", "cell"], "left").withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1)))
+    return dealt.drop("parts"), copied.drop("parts")
+
+
 def _nullable(kind: T.DataType) -> T.DataType:
     """The type with nulls allowed throughout, as Arrow hands it back."""
     text = kind.json().replace('"nullable":false', '"nullable":true').replace('"containsNull":false', '"containsNull":true')

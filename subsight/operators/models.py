@@ -27,7 +27,6 @@ from subsight.constants import (
     TOP_VOTES,
     TREES,
 )
-from subsight.functions.hashing import hash_uniform
 from subsight.operators import prep
 from subsight.operators.forest import CellForest, CellForestModel
 from subsight.sources.tables import materialize
@@ -35,9 +34,6 @@ from subsight.sources.tables import materialize
 LABEL = "churn"
 # Spark grows trees to this depth at most.
 DEEPEST = 30
-# About so many train rows are fitted; more are thinned by a hash of the key. Trees lie on the driver
-# and grow with the rows, so this bounds them.
-MAX_TRAIN_ROWS = 1_000_000
 # A step of a logistic fit is a job of its own. With no more tasks than the rows need, sums of few rows
 # do not meet in shuffles of their own.
 ROWS_PER_TASK = 1 << 16
@@ -56,11 +52,10 @@ class TrainingData:
         return self.names.index(name)
 
 
-def training_data(people: DataFrame, max_train_rows: int = MAX_TRAIN_ROWS) -> TrainingData:
+def training_data(people: DataFrame) -> TrainingData:
     """Encode, split exactly, scale on train rows, deal folds evenly by class and assemble.
 
-    Scaling sees all train rows; fits see about ``max_train_rows`` of them. Test
-    rows and those to score are never thinned. The merged rows are written once, as encoding and scaling look at them
+    Scaling and fits see all train rows. The merged rows are written once, as encoding and scaling look at them
     first. So are the assembled ones, which all fits read: a lost executor
     costs a re-read and not a re-join.
     """
@@ -81,10 +76,8 @@ def training_data(people: DataFrame, max_train_rows: int = MAX_TRAIN_ROWS) -> Tr
     table = materialize(
         prep.assemble(folded, plain).select("subid", LABEL, "fold", "is_test", "features")
     )
-    train_rows = table.where(~F.col("is_test")).drop("is_test")
-    share = max_train_rows / max(1, train_rows.count())
     return TrainingData(
-        train=train_rows.where(hash_uniform("subid", "fit") < share) if share < 1 else train_rows,
+        train=table.where(~F.col("is_test")).drop("is_test"),
         test=table.where("is_test").drop("is_test"),
         names=names,
         everyone=table.drop("is_test"),

@@ -123,3 +123,14 @@ def test_forests_of_several_depths_are_grown_once(rows, monkeypatch):
             assert model.depths == own.depths and model.featureImportances == own.featureImportances
             expected = {r.subid: r.probability[1] for r in own.transform(rows).collect()}
             assert {r.subid: r.probability[1] for r in model.transform(rows).collect()} == expected
+
+
+def test_only_crowded_cells_are_copied(spark, monkeypatch):
+    """A cell is copied by its own rows, not by all rows there are."""
+    monkeypatch.setattr(forest, "PART_ROWS", 10)
+    routed = spark.createDataFrame([(b, 0, c, bytes(4 * n)) for b in range(8) for c, n in ((1, 1), (2, 6))], "block long, tree int, cell int, rows binary")
+    cells = spark.createDataFrame([(0, 1, b"a"), (0, 2, b"b"), (1, 1, b"c")], "tree int, cell int, nodes binary")
+    dealt, copied = forest._dealt(routed, cells, 56)
+    found = {(r.tree, r.cell, r.part): bytes(r.nodes) for r in copied.collect()}
+    assert found == {(0, 1, 0): b"a", **{(0, 2, p): b"b" for p in range(5)}, (1, 1, 0): b"c"}
+    assert dealt.count() == 16 and {(r.tree, r.cell, r.part) for r in dealt.collect()} <= set(found)

@@ -6,6 +6,7 @@ import pytest
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
+from subsight.constants import CATEGORICAL_FEATURES, NUMERIC_FEATURES, TEST_SHARE
 from subsight.operators import models, tuning
 from subsight.operators.models import TrainingData
 
@@ -24,6 +25,16 @@ def data(spark):
     return TrainingData(df.where("subid < 160"), df.where("subid >= 160"), ["a", "b", "c", "d"])
 
 
+def test_fits_see_every_train_row(spark):
+    """More train rows than a fit once took: none is left out."""
+    n = 1_800_000
+    numbers = [F.lit(0e0).alias(c) for c in NUMERIC_FEATURES]
+    people = spark.range(n).select(F.col("id").alias("subid"), (F.col("id") % 2).alias("churn"), *numbers, *[F.lit("a").alias(c) for c in CATEGORICAL_FEATURES])
+    found = models.training_data(people)
+    held_out = math.ceil(TEST_SHARE * n)
+    assert (found.train.count(), found.test.count(), found.everyone.count()) == (n - held_out, held_out, n)
+
+
 def matrix(df):
     rows = df.orderBy("subid").collect()
     return np.array([r.features.toArray() for r in rows]), np.array([r.churn for r in rows])
