@@ -96,6 +96,44 @@ def test_pages_with_an_article_are_differenced_too():
     assert html_text.main_text(a, None) == ("own a Same in both", 0)
 
 
+def test_differencing_decides_on_lines_beside_an_article():
+    page = "<p>Shared head</p><p>Title %s</p><article><p>own %s</p><p>Same in both</p></article><p>Shared foot</p>"
+    a, b = (html_text.page_lines(PAGE % (page % (n, n))) for n in "ab")
+    assert html_text.main_text(a, b) == ("Title a own a Same in both", 2)
+    assert html_text.main_text(a, a) == html_text.main_text(a, []) == ("own a Same in both", 0)
+
+
+def plain_texts(pages):
+    """Each page against the nearest pages of its host that are no copies, by looking at all of them."""
+    rows = sorted((u.split("/")[2], u.split("/", 3)[3], i, u, h) for i, u, h in pages)
+    found = []
+    for at, (host, path, i, url, page) in enumerate(rows):
+        lines = html_text.page_lines(page)
+        sides = [next((r for r in part if r[0] == host and r[4] != page), None) for part in (rows[:at][::-1], rows[at + 1 :])]
+        near = [r for r in sides if r and html_text.page_lines(r[4]) not in ([], lines)]
+        other = max(near, key=lambda r: html_text._common("/" + r[1], "/" + path), default=None)
+        found.append((i, *html_text.main_text(lines, other and html_text.page_lines(other[4]))))
+    return sorted(found)
+
+
+def test_pages_are_paired_across_ranges_and_copies(spark, monkeypatch):
+    rng = random.Random(4)
+    pages = []
+    for i in range(120):
+        host, kind = f"h{rng.randrange(3)}", rng.randrange(4)
+        own = f"<p>Head {rng.randrange(2)}</p><p>own {rng.choice([1, 1, 1, i])}</p><p>Foot</p>"
+        page = "" if kind == 0 and i % 5 == 0 else PAGE % (f"<article><p>text {i}</p><p>Foot</p></article>{own}" if kind == 1 else own)
+        pages.append((i, f"http://{host}/{rng.choice('abc')}/{i:03}", page + "<!-- same -->" * (i % 7 == 0)))
+    pages += [(200 + i, f"http://h1/b/{50 + i // 9:03}", PAGE % "<p>Head 1</p><p>copy</p><p>Foot</p>") for i in range(40)]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string").repartition(3)
+    expected = plain_texts(pages)
+    for size in (500, 40, 7, 1):
+        monkeypatch.setattr(html_text, "PAGES_PER_RANGE", size)
+        assert sorted((r.page_id, r.text, r.shared_lines) for r in html_text.extract(df).collect()) == expected
+    # Every copy is differenced, and all alike.
+    assert {(text, gone) for i, text, gone in expected if i >= 200} == {("copy", 2)}
+
+
 def test_items_are_found(spark):
     rng = random.Random(5)
     vocabulary = [f"{a}{b}" for a in "tra pel mon sik dor".split() for b in "ba ce di fo gu ha je".split()] + [f"n{i}" for i in range(400)]
